@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import perspectives, pii, quality
 from .common import table
 
 
@@ -12,8 +13,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mask as text: start:end spans, comma-joined."""
+    out = perspectives.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return out.withColumn("mask", F.array_join(spans, ","))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents"), pii.train(spark)))
+
+
 QUERIES = {
+    "op3_chat_perspectives": op3_chat_perspectives,
     "op7_quality_rules": op7_quality_rules,
+    "op8_pii": op8_pii,
 }
 
 ORACLES: dict[str, str] = {}
