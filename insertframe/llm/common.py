@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session, so that they can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_insertframe_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="insertframe-")) / f"insertframe-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(top.rglob("*.py")):
+            out.write(f, f"{top.name}/{f.relative_to(top)}")
+    context.addPyFile(str(path))
+    context._insertframe_shipped = True
+
+
 class Stage:
     """Tables written to the shared folder to cut lineage; lost executors lose none of them.
 
