@@ -1,12 +1,13 @@
 """Toxicity: a counterfactually regularised classifier.
 
-Logistic regression over the words of a text (present or not). Labelled texts that mention
+Logistic regression over the words of a text and the beginnings of its words, each by
+whether it occurs once, twice, three times or more. Labelled texts that mention
 a group get counterfactual twins, the same words with every identity term replaced by
 another of its set; training penalises the squared difference of the two scores, so a mention
 of one group rather than another can't move a score, and neutral mentions stop counting.
 
-The labelled sample is bounded (``max_rows`` rows of lowest hash of their key), its texts are
-cut to distinct words on the executors, and only those reach the driver. Every document is
+The labelled sample is bounded (``max_rows`` rows of lowest hash of their key), its texts
+are cut to word counts on the executors, and only those reach the driver. Every document is
 scored whole. Null or empty text gets the model's score for no words. Without any labelled
 row, or with one class only, the score is the rate of toxic rows in the sample (0 if none).
 Rows with a null label teach nothing. Labels of one document that disagree all count.
@@ -17,7 +18,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -48,10 +48,31 @@ IDENTITY_SETS = (
 
 _BREAK = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
+#: A feature is a word, or a word's first bytes after a caret, that occurs at least 1, 2 or 3 times.
+LEVELS = 3
+PREFIXES = (4, 5, 6, 7, 8)
+#: Words whose features a worker remembers at once.
+REMEMBERED = 300_000
 
-def distinct_words(text: str | None) -> set[bytes]:
-    """The distinct lower-case words of a text, without ASCII punctuation."""
-    return set((text or "").lower().encode("utf-8", "replace").translate(_BREAK).split())
+Feature = tuple[bytes, int]
+
+
+def word_counts(text: str | None) -> Counter:
+    """The lower-case words of a text, without ASCII punctuation, counted."""
+    return Counter((text or "").lower().encode("utf-8", "replace").translate(_BREAK).split())
+
+
+def names_of(word: bytes) -> list[bytes]:
+    """What a word counts for: itself and its beginnings."""
+    return [word, *(b"^" + word[:k] for k in PREFIXES if len(word) >= k)]
+
+
+def features_of(counts: Counter) -> set[Feature]:
+    total: Counter = Counter()
+    for word, n in counts.items():
+        for name in names_of(word):
+            total[name] += n
+    return {(name, level) for name, n in total.items() for level in range(1, min(n, LEVELS) + 1)}
 
 
 def swaps(sets: tuple[tuple[str, ...], ...] = IDENTITY_SETS) -> dict[bytes, bytes]:
@@ -59,35 +80,50 @@ def swaps(sets: tuple[tuple[str, ...], ...] = IDENTITY_SETS) -> dict[bytes, byte
     return {a.encode(): b.encode() for s in sets for a, b in zip(s, s[1:] + s[:1])}
 
 
-@dataclass(frozen=True)
 class Model:
-    bias: float
-    weights: dict[bytes, float] = field(default_factory=dict)
+    """A bias and the weights of features."""
+
+    def __init__(self, bias: float, weights: dict[Feature, float] | None = None):
+        self.bias, self.weights = bias, weights or {}
+        self.known = {name for name, _ in self.weights}
+        self._seen: dict[bytes, tuple[bytes, ...]] = {}
+
+    def __reduce__(self):
+        return Model, (self.bias, self.weights)
 
     def score(self, text: str | None) -> float:
-        own = self.weights.keys() & distinct_words(text)
-        z = self.bias + math.fsum(self.weights[w] for w in own)
+        total: dict[bytes, int] = {}
+        seen = self._seen
+        for word, n in word_counts(text).items():
+            names = seen.get(word)
+            if names is None:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                names = seen[word] = tuple(x for x in names_of(word) if x in self.known)
+            for name in names:
+                total[name] = total.get(name, 0) + n
+        z = self.bias + math.fsum(self.weights.get((name, level), 0.0) for name, n in total.items() for level in range(1, min(n, LEVELS) + 1))
         return 1 / (1 + math.exp(-min(max(z, -60.0), 60.0)))
 
 
-def _select(docs: list[set[bytes]], y: np.ndarray, min_rows: int, max_features: int, always: set[bytes]) -> list[bytes]:
-    """The words whose presence tells the classes apart best, by the z-score of their log odds."""
+def _select(docs: list[set[Feature]], y: np.ndarray, min_rows: int, max_features: int, always: set[Feature]) -> list[Feature]:
+    """The features that tell the classes apart best, by the z-score of their log odds."""
     pos, neg = Counter(), Counter()
-    for words, label in zip(docs, y):
-        (pos if label else neg).update(words)
+    for own, label in zip(docs, y):
+        (pos if label else neg).update(own)
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
     ranked = []
-    for w in pos.keys() | neg.keys():
-        a, b = pos[w], neg[w]
+    for f in pos.keys() | neg.keys():
+        a, b = pos[f], neg[f]
         if a + b >= min_rows:
             odds = math.log((a + 0.5) / (n_pos - a + 0.5)) - math.log((b + 0.5) / (n_neg - b + 0.5))
             z = abs(odds) / math.sqrt(1 / (a + 0.5) + 1 / (n_pos - a + 0.5) + 1 / (b + 0.5) + 1 / (n_neg - b + 0.5))
-            ranked.append((-z, w))
-    chosen = [w for z, w in sorted(ranked)[:max_features] if z <= -2.5]
+            ranked.append((-z, f))
+    chosen = [f for z, f in sorted(ranked)[:max_features] if z <= -2.5]
     return sorted(set(chosen) | (always & (pos.keys() | neg.keys())))
 
 
-def fit(docs: list[set[bytes]], labels: list[int], penalty: float = 5.0, l2: float = 1.0, max_features: int = 2048, min_rows: int = 3, steps: int = 300, terms: dict[bytes, bytes] | None = None) -> Model:
+def fit(docs: list[Counter], labels: list[int], penalty: float = 5.0, l2: float = 0.3, max_features: int = 2048, min_rows: int = 3, steps: int = 300, terms: dict[bytes, bytes] | None = None) -> Model:
     """Gradient descent (Adam, full batch, fixed start: deterministic) on
     log loss + l2 |w|^2 / n + penalty * mean((score - score of the twin)^2), scores as log odds.
     """
@@ -96,21 +132,26 @@ def fit(docs: list[set[bytes]], labels: list[int], penalty: float = 5.0, l2: flo
     if len(y) == 0 or y.min() == y.max():
         rate = min(max(float(y.mean()) if len(y) else 0.0, 1e-9), 1 - 1e-9)
         return Model(math.log(rate / (1 - rate)))
-    vocabulary = {w: i for i, w in enumerate(_select(docs, y, min_rows, max_features, set(terms)))}
-    # twins may use terms that the sample lacks
-    for w in sorted(set(terms.values())):
-        if any(t in vocabulary for t in (w, *[k for k, v in terms.items() if v == w])):
-            vocabulary.setdefault(w, len(vocabulary))
-
-    def sparse(sets: list[set[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        rows = [(i, vocabulary[w]) for i, s in enumerate(sets) for w in s & vocabulary.keys()]
+    own = [features_of(d) for d in docs]
+    mention = [i for i, d in enumerate(docs) if not terms.keys().isdisjoint(d)]
+    twins = []
+    for i in mention:
+        twin: Counter = Counter()
+        for word, n in docs[i].items():
+            twin[terms.get(word, word)] += n
+        twins.append(features_of(twin))
+    vocabulary = {f: i for i, f in enumerate(_select(own, y, min_rows, max_features, {(t, 1) for t in terms}))}
+    for f in sorted({(terms[w], 1) for i in mention for w in docs[i] if w in terms}):  # terms that only twins have
+        vocabulary.setdefault(f, len(vocabulary))
+
+    def sparse(sets: list[set[Feature]]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [(i, vocabulary[f]) for i, s in enumerate(sets) for f in s & vocabulary.keys()]
         pairs = np.array(rows, dtype=np.int64).reshape(-1, 2)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         return pairs[:, 0], pairs[:, 1]
 
-    mention = [i for i, s in enumerate(docs) if not terms.keys().isdisjoint(s)]
-    twins = [{terms.get(w, w) for w in docs[i]} for i in mention]
-    r, c = sparse(docs)
-    a_r, a_c = sparse([docs[i] for i in mention])
+    r, c = sparse(own)
+    a_r, a_c = sparse([own[i] for i in mention])
     b_r, b_c = sparse(twins)
     n, m = len(vocabulary), len(mention)
     w, bias = np.zeros(n), math.log(y.mean() / (1 - y.mean()))
@@ -126,12 +167,12 @@ def fit(docs: list[set[bytes]], labels: list[int], penalty: float = 5.0, l2: flo
         state = [0.9 * state[0] + 0.1 * g, 0.99 * state[1] + 0.01 * g * g]
         move = 0.1 * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    return Model(float(bias), {k: float(w[i]) for k, i in vocabulary.items() if abs(w[i]) > 1e-6})
+    return Model(float(bias), {f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 1e-3})
 
 
 def _word_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"label": pdf["label"], "words": [b" ".join(sorted(distinct_words(t))) for t in pdf["text"]]})
+        yield pd.DataFrame({"label": pdf["label"], "words": [b" ".join(w for w, n in sorted(word_counts(t).items()) for _ in range(min(n, LEVELS))) for t in pdf["text"]]})
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held_out: int = 0, max_rows: int = 6000, **options) -> Model:
@@ -147,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(sample), key).select("label", "text")
     found = rows.mapInPandas(_word_sets, "label int, words binary").collect()
     found.sort(key=lambda r: (bytes(r["words"]), r["label"]))
-    return fit([set(bytes(r["words"]).split()) for r in found], [r["label"] for r in found], **options)
+    return fit([Counter(bytes(r["words"]).split()) for r in found], [r["label"] for r in found], **options)
 
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
