@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, perspectives, pii, quality, simhash, toxicity
-from .common import fold, table
+from . import bloomlm, langid, perspectives, pii, quality, simhash, toxicity
+from .common import Stage, fold, table
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    model = bloomlm.train(docs.filter(~held_out), Stage(spark, "bloomlm"))
+    return bloomlm.score_documents(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score"
+    )
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +53,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_chat_perspectives": op3_chat_perspectives,
+    "op4_lm_scoring": op4_lm_scoring,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_pii": op8_pii,
