@@ -106,11 +106,11 @@ class Model:
         return 1 / (1 + math.exp(-min(max(z, -60.0), 60.0)))
 
 
-def _select(docs: list[set[Feature]], y: np.ndarray, min_rows: int, max_features: int, always: set[Feature]) -> list[Feature]:
+def _select(docs: list[bytes], y: np.ndarray, min_rows: int, max_features: int, always: set[Feature]) -> list[Feature]:
     """The features that tell the classes apart best, by the z-score of their log odds."""
     pos, neg = Counter(), Counter()
-    for own, label in zip(docs, y):
-        (pos if label else neg).update(own)
+    for words, label in zip(docs, y):
+        (pos if label else neg).update(features_of(Counter(words.split())))
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
     ranked = []
     for f in pos.keys() | neg.keys():
@@ -123,36 +123,35 @@ def _select(docs: list[set[Feature]], y: np.ndarray, min_rows: int, max_features
     return sorted(set(chosen) | (always & (pos.keys() | neg.keys())))
 
 
-def fit(docs: list[Counter], labels: list[int], penalty: float = 5.0, l2: float = 0.3, max_features: int = 2048, min_rows: int = 3, steps: int = 300, terms: dict[bytes, bytes] | None = None) -> Model:
+def fit(docs: list[bytes], labels: list[int], penalty: float = 5.0, l2: float = 0.3, max_features: int = 2048, min_rows: int = 3, steps: int = 300, terms: dict[bytes, bytes] | None = None) -> Model:
     """Gradient descent (Adam, full batch, fixed start: deterministic) on
     log loss + l2 |w|^2 / n + penalty * mean((score - score of the twin)^2), scores as log odds.
+
+    ``docs`` are words joined by spaces. Features are made a text at a time, so memory holds the
+    texts and the counts of features, not the features of every text.
     """
     terms = swaps() if terms is None else terms
     y = np.array([1.0 if v else 0.0 for v in labels])
     if len(y) == 0 or y.min() == y.max():
         rate = min(max(float(y.mean()) if len(y) else 0.0, 1e-9), 1 - 1e-9)
         return Model(math.log(rate / (1 - rate)))
-    own = [features_of(d) for d in docs]
-    mention = [i for i, d in enumerate(docs) if not terms.keys().isdisjoint(d)]
-    twins = []
-    for i in mention:
-        twin: Counter = Counter()
-        for word, n in docs[i].items():
-            twin[terms.get(word, word)] += n
-        twins.append(features_of(twin))
-    vocabulary = {f: i for i, f in enumerate(_select(own, y, min_rows, max_features, {(t, 1) for t in terms}))}
-    for f in sorted({(terms[w], 1) for i in mention for w in docs[i] if w in terms}):  # terms that only twins have
+
+    def twin_of(words: bytes) -> bytes:
+        return b" ".join(terms.get(w, w) for w in words.split())
+
+    mention = [i for i, d in enumerate(docs) if not terms.keys().isdisjoint(d.split())]
+    vocabulary = {f: i for i, f in enumerate(_select(docs, y, min_rows, max_features, {(t, 1) for t in terms}))}
+    for f in sorted({(terms[w], 1) for i in mention for w in docs[i].split() if w in terms}):  # terms that only twins have
         vocabulary.setdefault(f, len(vocabulary))
 
-    def sparse(sets: list[set[Feature]]) -> tuple[np.ndarray, np.ndarray]:
-        rows = [(i, vocabulary[f]) for i, s in enumerate(sets) for f in s & vocabulary.keys()]
+    def sparse(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [(i, j) for i, t in enumerate(texts) for j in sorted(vocabulary[f] for f in features_of(Counter(t.split())) & vocabulary.keys())]
         pairs = np.array(rows, dtype=np.int64).reshape(-1, 2)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         return pairs[:, 0], pairs[:, 1]
 
-    r, c = sparse(own)
-    a_r, a_c = sparse([own[i] for i in mention])
-    b_r, b_c = sparse(twins)
+    r, c = sparse(docs)
+    a_r, a_c = sparse([docs[i] for i in mention])
+    b_r, b_c = sparse([twin_of(docs[i]) for i in mention])
     n, m = len(vocabulary), len(mention)
     w, bias = np.zeros(n), math.log(y.mean() / (1 - y.mean()))
     state = [np.zeros(n + 1), np.zeros(n + 1)]
@@ -175,7 +174,7 @@ def _word_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"label": pdf["label"], "words": [b" ".join(w for w, n in sorted(word_counts(t).items()) for _ in range(min(n, LEVELS))) for t in pdf["text"]]})
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held_out: int = 0, max_rows: int = 6000, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held_out: int = 0, max_rows: int = 4000, **options) -> Model:
     """Fits the model on a bounded sample of the labelled rows outside the held-out fold."""
     ship(docs.sparkSession)
     sample = (
@@ -188,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(sample), key).select("label", "text")
     found = rows.mapInPandas(_word_sets, "label int, words binary").collect()
     found.sort(key=lambda r: (bytes(r["words"]), r["label"]))
-    return fit([Counter(bytes(r["words"]).split()) for r in found], [r["label"] for r in found], **options)
+    return fit([bytes(r["words"]) for r in found], [r["label"] for r in found], **options)
 
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
