@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloomlm, langid, perspectives, pii, quality, simhash, toxicity
+from . import bloomlm, decontaminate, langid, perspectives, pii, quality, simhash, toxicity
 from .common import Stage, fold, table
 
 
@@ -27,6 +27,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mask as text: start:end spans, comma-joined."""
     out = perspectives.rotate(table(spark, sf_dir, "conversations"))
@@ -52,6 +56,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_chat_perspectives": op3_chat_perspectives,
     "op4_lm_scoring": op4_lm_scoring,
     "op6_simhash": op6_simhash,
