@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloomlm, decontaminate, langid, perspectives, pii, quality, simhash, toxicity
+from . import bloomlm, decontaminate, langid, linededup, perspectives, pii, quality, simhash, toxicity
 from .common import Stage, fold, table
 
 
@@ -18,6 +18,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -59,6 +63,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_chat_perspectives": op3_chat_perspectives,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_pii": op8_pii,
