@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloomlm, decontaminate, langid, linededup, perspectives, pii, quality, simhash, toxicity
+import corpus_pipeline
+
+from . import bloomlm, decontaminate, langid, linededup, mixing, perspectives, pii, quality, simhash, toxicity
 from .common import Stage, fold, table
 
 
@@ -35,6 +37,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, mixing.domains_of(table(spark, sf_dir, "labels")), mixing.TARGETS)
+
+
 def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mask as text: start:end spans, comma-joined."""
     out = perspectives.rotate(table(spark, sf_dir, "conversations"))
@@ -61,6 +68,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_mixing": op2_mixing,
     "op3_chat_perspectives": op3_chat_perspectives,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_line_dedup": op5_line_dedup,
@@ -69,6 +77,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
