@@ -14,20 +14,20 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ENTRY = struct.Struct(">4sihhiii")
+ENTRY = ">4sihhiii"
 
 
 def parse(data: bytes) -> tuple[str, bytes | None]:
     """Base calls (edited ones, tag number 2, before others) and qualities; ValueError if none."""
     if len(data) < 34 or data[:4] != b"ABIF":
         raise ValueError("not an ABIF/AB1 file (bad magic)")
-    count, start = ENTRY.unpack_from(data, 6)[4], ENTRY.unpack_from(data, 6)[6]
+    count, start = struct.unpack_from(ENTRY, data, 6)[4], struct.unpack_from(ENTRY, data, 6)[6]
     calls: dict[bool, str] = {}
     quality = None
     for at in range(start, start + 28 * max(count, 0), 28):
         if at < 0 or at + 28 > len(data):
             break
-        name, number, kind, _, _, size, offset = ENTRY.unpack_from(data, at)
+        name, number, kind, _, _, size, offset = struct.unpack_from(ENTRY, data, at)
         # values of up to four bytes stand in the offset's place
         begin = at + 20 if size <= 4 else offset
         if begin < 0 or begin + max(size, 0) > len(data):
