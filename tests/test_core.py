@@ -279,7 +279,7 @@ def test_abif(spark, tmp_path):
     start = 34 + len(data) + len(quality)
     inline = int.from_bytes(b"TTTT", "big")
     body = entry(b"PBAS", 1, 2, 4, inline) + entry(b"PBAS", 2, 2, len(data), 34) + entry(b"PCON", 2, 2, len(quality), 34 + len(data))
-    root = struct.pack(">4sihhiii", b"tdir", 1, 1023, 28, 3, 84, start)
+    root = struct.pack(">4sihhiii", b"tdir", 1, 1023, 28, 3, 84, start) + b"\0" * 4
     (tmp_path / "r1.ab1").write_bytes(b"ABIF\0\1" + root + data + quality + body)
     (tmp_path / "bad.ab1").write_bytes(b"nothing")
     rows = {r["record_id"]: r for r in abif.read(spark, str(tmp_path)).collect()}
