@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bloomlm, decontaminate, langid, linededup, mixing, perspectives, pii, quality, simhash, toxicity
+from . import bloomlm, decontaminate, langid, linededup, mixing, perspectives, pii, quality, simhash, sql, toxicity
 from .common import Stage, fold, table
 
 
@@ -80,4 +80,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat_perspectives": sql.CHAT, "op7_quality_rules": sql.QUALITY}
