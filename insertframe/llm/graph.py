@@ -17,11 +17,13 @@ def components(edges: DataFrame, stage: Stage, name: str = "cc", a: str = "a", b
     neighbours. Labels are written to the shared folder each round; only a count of changes
     reaches the driver. Raises if the labels still change after ``max_rounds``.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b).alias("u"), F.col(a).alias("v")))
-    both = stage.put(both.filter("u <> v").distinct(), f"{name}-edges")
-    labels = stage.put(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), f"{name}-0")
+    edges = stage.put(edges.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), f"{name}-edges")
+    first = edges.select(F.col("b").alias("node"), F.col("a").alias("label")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")))
+    labels = stage.put(first.groupBy("node").agg(F.min("label").alias("label")), f"{name}-0")
     for k in range(1, max_rounds + 1):
-        sent = both.join(labels, both["v"] == labels["node"]).select(F.col("u").alias("node"), "label")
+        up = edges.join(labels, edges["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
+        down = edges.join(labels, edges["a"] == labels["node"]).select(F.col("b").alias("node"), "label")
+        sent = up.union(down)
         near = labels.select("node", "label").union(sent).groupBy("node").agg(F.min("label").alias("label"))
         near = stage.put(near, f"{name}-{k}-near")
         # the label's own label, if it has a smaller one by now
