@@ -8,7 +8,7 @@ Four kinds: email, ip, card, phone. For each kind
   at sign, colon-separated addresses, shorter card numbers, numbers without a plus sign;
 * **boosted trees** over format and context features score every proposal, and proposals at
   or above a threshold, chosen per kind on held-out examples for a wanted precision, are
-  added where they overlap no base span and no better proposal.
+  added where they overlap no base span of any kind and no better proposal of their own.
 
 The trees are trained on the driver from examples that this module generates by rule (no
 corpus rows). Training and scoring use the same feature expressions; the trees become
@@ -295,59 +295,63 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def spans_of(text: Column, kind: str, model: Model) -> tuple[Column, Column]:
-    """The base spans of a kind, and those that the model adds to them."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    base = F.transform(
-        F.filter(_guarded(text, NEEDS[kind](text), BASE[kind]), lambda m: CHECKS[kind](m["value"])),
-        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")),
+def base_spans(text: Column, kind: str) -> Column:
+    """The base spans of a kind as (start, end)."""
+    good = F.filter(_guarded(text, NEEDS[kind](text), BASE[kind]), lambda m: CHECKS[kind](m["value"]))
+    return F.transform(good, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+
+
+def added_spans(text: Column, kind: str, model: Model, taken: Column) -> Column:
+    """The proposals of a kind that the model accepts, best first, that overlap none of ``taken``
+    and no better one."""
+
+    def scored(m: Column) -> Column:
+        before = F.substring(text, F.greatest(m["start"] - CONTEXT, F.lit(0)) + 1, F.least(m["start"], F.lit(CONTEXT)))
+        after = F.substring(text, m["end"] + 1, F.lit(2))
+        x = F.struct(*[v.alias(k) for k, v in features(F.lit(kind), m["value"], before, after).items()])
+        score = let(x, lambda x: sum((t.column(x) for t in model.trees[kind]), F.lit(0.0)))
+        return F.struct((-score).alias("loss"), m["start"].alias("start"), m["end"].alias("end"))
+
+    free = F.filter(_guarded(text, WIDE_NEEDS[kind](text), WIDE[kind]), lambda m: ~F.exists(taken, lambda k: _overlaps(k, m)))
+    good = F.filter(F.transform(free, scored), lambda s: s["loss"] <= -model.threshold[kind])
+    return F.aggregate(
+        F.sort_array(good),
+        F.array().cast("array<struct<start:int,end:int>>"),
+        lambda a, s: F.when(F.exists(a, lambda k: _overlaps(k, s)), a).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
     )
 
-    def add(kept: Column) -> Column:
-        def scored(m: Column) -> Column:
-            before = F.substring(text, F.greatest(m["start"] - CONTEXT, F.lit(0)) + 1, F.least(m["start"], F.lit(CONTEXT)))
-            after = F.substring(text, m["end"] + 1, F.lit(2))
-            f = features(F.lit(kind), m["value"], before, after)
-            x = F.struct(*[v.alias(k) for k, v in f.items()])
-            score = let(x, lambda x: sum((t.column(x) for t in model.trees[kind]), F.lit(0.0)))
-            return F.struct((-score).alias("loss"), m["start"].alias("start"), m["end"].alias("end"))
-
-        proposals = F.filter(_guarded(text, WIDE_NEEDS[kind](text), WIDE[kind]), lambda m: ~F.exists(kept, lambda k: _overlaps(k, m)))
-        good = F.filter(F.transform(proposals, scored), lambda s: s["loss"] <= -model.threshold[kind])
-        return F.aggregate(
-            F.sort_array(good),
-            none,
-            lambda a, s: F.when(F.exists(a, lambda k: _overlaps(k, s)), a).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-        )
 
-    # `kept` is bound by the caller, so base spans are found once
-    return base, add
+def spans_of(text: Column, model: Model) -> Column:
+    """A struct of kinds, each with its base and its added spans. Base spans are found once."""
 
+    def both(base: Column) -> Column:
+        taken = F.concat(*[base[k] for k in KINDS])
+        return let(taken, lambda all_base: F.struct(*[F.struct(base[k].alias("base"), added_spans(text, k, model, all_base).alias("added")).alias(k) for k in KINDS]))
 
-def detect(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, spans of each kind as base_<kind> and added_<kind>)."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    return let(F.struct(*[base_spans(text, k).alias(k) for k in KINDS]), both)
 
-    def both(kind: str) -> Column:
-        base, add = spans_of(t, kind, model)
-        return let(base, lambda kept: F.struct(kept.alias("base"), add(kept).alias("added"))).alias(kind)
 
-    return docs.select(F.col(key), *map(both, KINDS))
+def detect(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, and for each kind a struct of its base and its added spans)."""
+    found = spans_of(F.coalesce(F.col(text), F.lit("")), model)
+    return docs.select(F.col(key), found.alias("__found")).select(key, "__found.*")
 
 
 def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents with every span in ``text`` replaced by ``[KIND]``; other columns as they are.
 
-    Where spans of several kinds overlap, the first in the order of KINDS covers its part and
-    the rest of the later one is cut as well.
+    Of base spans that overlap, the one that starts first is replaced (the longer, then the
+    earlier kind, of those that start together), and the rest of the others is cut as well.
     """
     t = F.coalesce(F.col(text), F.lit(""))
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def ranked(rank: int) -> Column:
-        base, add = spans_of(t, KINDS[rank], model)
-        return let(base, lambda kept: F.transform(F.concat(kept, add(kept)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(rank).alias("rank"))))
+    def ranked(found: Column) -> Column:
+        def of(rank: int) -> Column:
+            own = found[KINDS[rank]]
+            return F.transform(F.concat(own["base"], own["added"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(rank).alias("rank")))
 
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+        return F.sort_array(F.concat(*map(of, range(len(KINDS)))))
 
     def cut(spans: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -355,11 +359,14 @@ def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         def step(a: Column, s: Column) -> Column:
             fresh = s["start"] >= a["at"]
             piece = F.when(fresh, F.concat(F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["rank"]))).otherwise(F.lit(""))
-            return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(piece)).alias("out"))
+            return F.struct(F.greatest(a["at"], -s["back"]).alias("at"), F.concat(a["out"], F.array(piece)).alias("out"))
+
+        return F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t))))
 
-        return F.aggregate(F.sort_array(spans), start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t))))
+    def clean(spans: Column) -> Column:
+        return F.when(F.size(spans) == 0, F.col(text)).otherwise(cut(spans))
 
-    return docs.withColumn(text, let(F.concat(*map(ranked, range(len(KINDS)))), lambda s: F.when(F.size(s) == 0, F.col(text)).otherwise(cut(s))))
+    return docs.withColumn(text, let(let(spans_of(t, model), ranked), clean))
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
