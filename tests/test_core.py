@@ -319,3 +319,41 @@ def test_stream(spark, tmp_path):
 
 def test_anchor_is_in_the_constant_region():
     assert plain.translate(CONSTANT).startswith(ANCHOR) and plain.translate(LEADER)
+
+
+def test_sql_functions(spark):
+    from insertframe.functions import register, text
+
+    register.register(spark)
+    rows = ["ATGGCC", "CTNTAR", "auG taa", "", "QQ"]
+    spark.createDataFrame([(r,) for r in rows], "x string").createOrReplaceTempView("sql_rows")
+    got = spark.sql("SELECT x, seq_translate(x) AS t, seq_revcomp(x) AS r, seq_gc(x) AS g, seq_type(x) AS k, seq_clean(x) AS c, seq_sha256(x) AS h FROM sql_rows").collect()
+    for r in got:
+        assert r["t"] == plain.translate(r["x"]) and r["c"] == plain.clean(r["x"])
+    assert {r["x"]: r["k"] for r in got}["QQ"] == "aa"
+    a = spark.sql("SELECT align_protein('MAG', 'MAG') AS a, circular_identity('ACGT', 'TA') AS c").first()
+    assert a["a"]["matches"] == 3 and a["c"] == 1.0
+    assert value(spark, text.html_escape(F.lit("<a&b>"))) == "&lt;a&amp;b&gt;" and value(spark, text.short(F.lit("abcdef"), 4)) == "abc…"
+    assert value(spark, text.sanitize_id(F.lit("Aé-9"))) == "a__9" and value(spark, text.group_thousands(F.lit(1234567))) == "1,234,567"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from insertframe.__main__ import main
+
+    lib, _ = _planted()
+    (tmp_path / "lib.json5").write_text(lib.to_json())
+    (tmp_path / "o.fasta").write_text(f">a_heavy\n{OH['IGH'][0] + CORE + OH['IGH'][1]}\n>b_heavy\nACGT\n")
+    (tmp_path / "r.fasta").write_text(f">a_heavy\n{seq_whole(lib, CORE)}\n")
+    (tmp_path / "v.gb").write_text(GB)
+    main(["order-qc", "--library", str(tmp_path / "lib.json5"), "--order", str(tmp_path / "o.fasta"), "--csv", str(tmp_path / "csv"), "--html", str(tmp_path / "x.html")])
+    main(["sequencing-qc", "--library", str(tmp_path / "lib.json5"), "--order", str(tmp_path / "o.fasta"), "--reads", str(tmp_path / "r.fasta")])
+    main(["inspect-vector", str(tmp_path / "v.gb")])
+    out = capsys.readouterr().out
+    assert "Antibodies: 1 of 2 pass all chains" in out and "tiny: 24 bp, circular" in out and "PASS" in out
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "csv")).collect()]
+    assert lines[0].startswith("record_id,ab_id") and len(lines) == 3
+
+
+def seq_whole(lib, core):
+    v = lib.vectors[0]
+    return v.clean[: v.oh5_end] + core + v.clean[v.oh3_start :]
