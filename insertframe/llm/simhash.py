@@ -97,8 +97,9 @@ def near(queries: np.ndarray, blocks: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def links_in(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs within the radius that share a group; rows sorted by group.
+def link_chunks(fps: np.ndarray, group: np.ndarray, radius: int, chunk: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs within the radius that share a group, at most 64 * ``chunk`` at a
+    time; rows sorted by group.
 
     Block pairs that hold no common group are never compared. Pairs of different groups that
     share a block pair and are within the radius are links as well, and are kept.
@@ -114,45 +115,54 @@ def links_in(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarra
     # the last block that a query's group reaches
     ends = np.append(np.flatnonzero(group[1:] != group[:-1]), n - 1)
     last = ends[np.searchsorted(ends, np.arange(n))] // LANES
-    left, right = [], []
     step = 0
     own = np.arange(n) // LANES
     active = np.arange(n)
     while len(active):
         active = active[own[active] + step <= last[active]]
-        for lo in range(0, len(active), 1 << 15):
-            q = active[lo : lo + (1 << 15)]
+        for lo in range(0, len(active), chunk):
+            q = active[lo : lo + chunk]
             block = own[q] + step
             hits = near(fps[q], sliced[block], radius) & valid[block]
             if step == 0:  # lanes after the query's own
                 lane = (q % LANES).astype(np.uint64)
-                hits &= ~((np.uint64(2) << lane) - np.uint64(1)) if len(q) else hits
+                hits &= ~((np.uint64(2) << lane) - np.uint64(1))
             some = np.flatnonzero(hits)
             if len(some):
                 bits = np.unpackbits(hits[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 row, lane = np.nonzero(bits)
-                left.append(q[some[row]])
-                right.append(block[some[row]] * LANES + lane)
+                yield q[some[row]], block[some[row]] * LANES + lane
         step += 1
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
 
 
-def forest(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints joined to the smallest one of their component under the links (a, b)."""
+def links_in(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``link_chunks`` at once."""
+    parts = list(link_chunks(fps, group, radius))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *[a for a, _ in parts]]), np.concatenate([none, *[b for _, b in parts]])
+
+
+def forest(fps: np.ndarray, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints joined to the smallest one of their component.
+
+    Links are merged into labels as they come, so memory holds a chunk of them at a time.
+    """
     values, index = np.unique(fps, return_inverse=True)
-    a, b = index[a], index[b]
     label = np.arange(len(values))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+    for a, b in links:
+        a, b = index[a], index[b]
+        while True:
+            x, y = label[a], label[b]
+            apart = x != y
+            if not apart.any():
+                break
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            low = np.minimum(x, y)
+            # roots hook to smaller roots, then every label points to its root
+            np.minimum.at(label, x, low)
+            np.minimum.at(label, y, low)
+            while not (label[label] == label).all():
+                label = label[label]
     own = np.flatnonzero(label != np.arange(len(values)))
     return values[own], values[label[own]]
 
@@ -167,9 +177,7 @@ def compare_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[
     def flush(k: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(k) > 1:
             u = fp.view(np.uint64)
-            left, right = links_in(u, k, radius)
-            differ = u[left] != u[right]
-            x, y = forest(u, left[differ], right[differ])
+            x, y = forest(u, link_chunks(u, k, radius))
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
 
