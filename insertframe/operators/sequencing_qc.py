@@ -163,8 +163,12 @@ def _swaps(df: DataFrame, truth: DataFrame, protein: kernels.Scoring) -> DataFra
     sides = p.select("ab_key", F.lit(True).alias("is_heavy"), F.col("heavy").alias("t")).union(p.select("ab_key", F.lit(False).alias("is_heavy"), F.col("light").alias("t"))).filter("t is not null")
     proteins = sides.select("ab_key", "is_heavy", truth_protein(F.col("t")).alias("panel_aa"))
     firsts = proteins.groupBy("is_heavy", "panel_aa").agg(F.min("ab_key").alias("ab_key"))
-    # every mutated protein is held against every panel protein of its chain: a query set against all rows
-    pairs = wanted.repartition("obs_v").join(firsts, "is_heavy").withColumn("pair_al", kernels.align(F.col("obs_v"), F.col("panel_aa"), protein))
+    # every mutated protein is held against every panel protein of its chain: a query set against
+    # all rows, the panel in shards so that no task gets all of either
+    n = 2 * df.sparkSession.sparkContext.defaultParallelism
+    queries = wanted.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(n, "is_heavy", "shard")
+    shards = firsts.withColumn("shard", F.pmod(F.xxhash64("panel_aa"), F.lit(n)).cast("int")).repartition(n, "is_heavy", "shard")
+    pairs = queries.join(shards, ["is_heavy", "shard"]).withColumn("pair_al", kernels.align(F.col("obs_v"), F.col("panel_aa"), protein))
     scored = pairs.select("obs_v", "is_heavy", "ab_key", kernels.identity(F.col("pair_al")).alias("fit_id"))
     best = scored.groupBy("obs_v", "is_heavy").agg(F.min(F.struct((-F.col("fit_id")).alias("loss"), "ab_key")).alias("b"))
     best = best.select(F.col("obs_v").alias("s_v"), F.col("is_heavy").alias("s_heavy"), F.col("b.ab_key").alias("s_key"), (-F.col("b.loss")).alias("s_id"))
