@@ -21,7 +21,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.report(table(spark, sf_dir, "documents").select("doc_id", "text"), **linededup.WHOLE)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

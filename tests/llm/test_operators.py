@@ -352,6 +352,32 @@ def test_cascade_order():
 
 # ---------------------------------------------------------------------------------- op8
 
+def simhash_of(line, bits):
+    hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in line.split(" ")]
+    return sum(1 << b for b in range(bits) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def query_drops(spark, tmp_path, docs):
+    """(doc, line) pairs that the registered query drops."""
+    spark.createDataFrame([*docs.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.op5_line_dedup(spark, str(tmp_path)).collect()
+    return {(r["doc_id"], int(j)) for r in rows for j in r["dropped_lines"].split(",") if j}
+
+
+def test_line_dedup_whole_radius(spark, tmp_path):
+    """The query links lines that are three of 64 bits apart."""
+    rng = random.Random(5)
+    docs = {}
+    while len(docs) < 6:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+        b = [*a]
+        b[rng.randrange(30)] = f"w{rng.randrange(10**6)}"
+        a, b = " ".join(a), " ".join(b)
+        if bin(simhash_of(a, 64) ^ simhash_of(b, 64)).count("1") == 3 and bin(simhash_of(a, 60) ^ simhash_of(b, 60)).count("1") == 3:
+            docs |= {len(docs): a, len(docs) + 1: b}
+    assert query_drops(spark, tmp_path, docs) == {(i, 0) for i in range(1, len(docs), 2)}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
