@@ -378,6 +378,41 @@ def test_line_dedup_whole_radius(spark, tmp_path):
     assert query_drops(spark, tmp_path, docs) == {(i, 0) for i in range(1, len(docs), 2)}
 
 
+def test_line_dedup_permuted(spark, tmp_path):
+    """Lines of one SimHash are held against each other, not against the first alone."""
+    rng = random.Random(6)
+    docs, want = {}, set()
+    for g in range(4):
+        n = 10 + 7 * g
+        a = [f"p{rng.randrange(10**6)}" for _ in range(n)]
+        b = a[::-1]
+        c = [b[1], b[0], *b[2:]]
+        d = rng.sample(a, n)
+        docs |= {len(docs) + i: " ".join(x) for i, x in enumerate((a, b, c, d))}
+        want.add((len(docs) - 2, 0))
+    assert query_drops(spark, tmp_path, docs) == want
+
+
+def test_line_dedup_near_groups(spark):
+    """Against brute force, with several lines of many SimHashes and near ones."""
+    rng = random.Random(9)
+    docs = {}
+    for g in range(12):
+        base = [f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 45))]
+        for _ in range(10):
+            line = [*base]
+            if rng.random() < 0.5:  # another order
+                random.Random(rng.randrange(3)).shuffle(line)
+            if rng.random() < 0.5:
+                line[rng.randrange(len(line))] = f"q{rng.randrange(10**6)}"
+            if rng.random() < 0.5:
+                i = rng.randrange(len(line) - 1)
+                line[i], line[i + 1] = line[i + 1], line[i]
+            docs[len(docs)] = " ".join(line)
+    got = {(r["k"], r["line"]): (r["kept"]["k"], r["kept"]["line"]) for r in linededup.dropped_lines(spark.createDataFrame([*docs.items()], "doc_id long, text string")).collect()}
+    assert got == line_model(docs)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
