@@ -413,6 +413,20 @@ def test_line_dedup_near_groups(spark):
     assert got == line_model(docs)
 
 
+def test_line_dedup_long_lines(spark, tmp_path):
+    """Lines longer than a lane counts have their SimHash, and an edited copy goes."""
+    rng = random.Random(10)
+    line = [f"l{rng.randrange(10**6)}" for _ in range(40_001)]
+    edited = [*line[:20_000], "edited", *line[20_001:]]
+    docs = {0: " ".join(line), 1: " ".join(edited), 2: " ".join(line[:16_383]), 3: " ".join(line[:16_384]), 4: " ".join(rng.sample(line, 20_000))}
+    rows = [(i, t.split(" ")) for i, t in docs.items()]
+    frame = spark.createDataFrame([(i, 0, 0, ws) for i, ws in rows], "k long, th long, line int, ws array<string>")
+    for bits in (60, 64):
+        got = {r["k"]: r["fp"] % 2**64 for r in linededup.simhashes(frame, bits).collect()}
+        assert got == {i: simhash_of(t, bits) for i, t in docs.items()}
+    assert query_drops(spark, tmp_path, docs) == {(1, 0), (3, 0)}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
