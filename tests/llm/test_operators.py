@@ -427,6 +427,13 @@ def test_line_dedup_long_lines(spark, tmp_path):
     assert query_drops(spark, tmp_path, docs) == {(1, 0), (3, 0)}
 
 
+def test_line_dedup_short_lines(spark, tmp_path):
+    """Equal lines of one to four words go but for the first; different ones and blank ones stay."""
+    docs = {0: "Menu\nhome page\n\nread more about us\n--", 1: "\nmenu!\nhome pages\nRead more about us\n--", 2: "home, page\nread more about them"}
+    assert query_drops(spark, tmp_path, docs) == {(1, 1), (1, 3), (2, 0)}
+    assert [linededup.least_words(x) for x in (0.8, 0.9, 0.5)] == [4, 9, 1]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
