@@ -6,8 +6,8 @@ it takes, the closer the text is to the language. Phrases are counted per symbol
 language with the fewest wins, ties by name.
 
 Labelled text is a bounded sample: of each language, the ``train_rows`` documents of lowest
-hash outside the held-out fold, up to ``train_chars`` symbols; at most ``max_languages``
-languages, most frequent first. Every document is parsed whole, in blocks of ``BLOCK``
+hash outside the held-out fold, up to ``train_chars`` symbols. Every language that has a
+labelled text is learned, and every letter of the sample has a symbol. Every document is parsed whole, in blocks of ``BLOCK``
 symbols whose borders end a phrase for all languages alike. Texts are lower-cased, and runs
 of anything but letters become one space.
 
@@ -34,6 +34,8 @@ BLOCK = 256
 LANES = 8192
 SHARP = 40.0
 SPACE, OTHER = 0, 1
+#: Bytes of transitions that are held as a plain table; the others are hashed. It moves work, not results.
+DENSE = 64 << 20
 
 
 @functools.lru_cache(maxsize=1)
@@ -50,7 +52,7 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
     found = _letters()[np.minimum(codes, 0xFFFF)]
     high = codes > 0xFFFF
     if high.any():
-        found[high] = [chr(c).isalpha() for c in codes[high]]
+        found[high] = [unicodedata.category(chr(c))[0] in "LM" for c in codes[high]]
     return found
 
 
@@ -66,8 +68,8 @@ def normal(text: str) -> str:
     return out[keep].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Transitions (states, size) of the automaton of all substrings, -1 where there is none."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton of all substrings."""
     moves, link, length = [{}], [-1], [0]
     last = 0
     for s in symbols:
@@ -93,33 +95,78 @@ def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    table = np.full((len(moves), size), -1, dtype=np.int32)
-    for i, m in enumerate(moves):
-        for s, j in m.items():
-            table[i, s] = j
-    return table
+    return moves
 
 
 class Parser:
-    """The automata of all languages in one transition table."""
+    """The automata of all languages: moves by the most frequent symbols in one table, the others hashed."""
 
-    def __init__(self, texts: tuple[tuple[str, str], ...], max_symbols: int):
+    def __init__(self, texts: tuple[tuple[str, str], ...], max_symbols: int | None = None, dense: int = DENSE):
         self.languages = [name for name, _ in texts]
         seen = Counter(c for _, t in texts for c in t if c != " ")
-        alphabet = sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:max_symbols])
+        alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:max_symbols]]
         self.size = len(alphabet) + 2
         code = {c: i + 2 for i, c in enumerate(alphabet)} | {" ": SPACE}
-        self.lut = np.where(_letters(), OTHER, SPACE).astype(np.uint8 if self.size < 256 else np.uint16)
+        kind = np.uint8 if self.size < 1 << 8 else np.uint16 if self.size < 1 << 16 else np.int32
+        self.lut = np.where(_letters(), OTHER, SPACE).astype(kind)
+        high = sorted((ord(c), i) for c, i in code.items() if ord(c) > 0xFFFF)
+        self.high, self.high_symbols = np.array([c for c, _ in high], dtype=np.uint32), np.array([i for _, i in high], dtype=kind)
         for c, i in code.items():
             if ord(c) < 0x10000 and c != " ":
                 self.lut[ord(c)] = i
-        tables = [suffix_automaton([code.get(c, OTHER) for c in t], self.size) for _, t in texts]
-        for t in tables:  # an unknown letter matches nothing
-            t[:, OTHER] = -1
-        self.base = np.cumsum([0, *[len(t) for t in tables[:-1]]]).astype(np.int32)
-        # states are numbered through all tables; what has no move stays negative
-        self.moves = np.concatenate([np.where(t >= 0, t + b, -1) for t, b in zip(tables, self.base)]).astype(np.int32).ravel()
+        # states are numbered through all automata, of which one at a time is held as dictionaries
+        parts, base, states = [np.zeros((0, 3), dtype=np.int64)], [], 0
+        for _, t in texts:
+            automaton = suffix_automaton([code.get(c, OTHER) for c in t])
+            base.append(states)
+            # an unknown letter matches nothing
+            parts.append(np.array([(i, c, j) for i, m in enumerate(automaton) for c, j in m.items() if c != OTHER], dtype=np.int64).reshape(-1, 3) + [states, 0, states])
+            states += len(automaton)
+        rows = np.concatenate(parts)
+        self.base = np.array(base, dtype=np.int32)
         self.root = self.base[:, None]
+        self.near = min(self.size, max(2, dense // (4 * max(states, 1))))
+        near = rows[:, 1] < self.near
+        self.moves = np.full(states * self.near, -1, dtype=np.int32)
+        self.moves[rows[near, 0] * self.near + rows[near, 1]] = rows[near, 2]
+        self._hash(rows[~near, 0] * self.size + rows[~near, 1], rows[~near, 2])
+
+    def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """A table of open addressing, half empty at least."""
+        self.width = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.width, -1, dtype=np.int64), np.full(1 << self.width, -1, dtype=np.int32)
+        slot = self._slot(keys)
+        while len(keys):
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.keys[slot[first]] < 0]
+            self.keys[slot[first]], self.values[slot[first]] = keys[first], values[first]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[first] = False
+            keys, values, slot = keys[rest], values[rest], slot[rest] + 1 & (1 << self.width) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.width)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        out, live, slot = np.full(len(keys), -1, dtype=np.int32), np.arange(len(keys)), self._slot(keys)
+        while len(live):
+            there = self.keys[slot]
+            hit = there == keys[live]
+            out[live[hit]] = self.values[slot[hit]]
+            on = ~hit & (there >= 0)
+            live, slot = live[on], slot[on] + 1 & (1 << self.width) - 1
+        return out
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Where states (..., n) go by symbols (n); -1 where there is no move."""
+        if self.near == self.size:
+            return self.moves[states * self.near + symbols]
+        far = symbols >= self.near
+        to = self.moves[states * self.near + np.where(far, OTHER, symbols)]
+        if far.any():
+            keys = states[..., far].astype(np.int64) * self.size + symbols[far]
+            to[..., far] = self._find(keys.ravel()).reshape(keys.shape)
+        return to
 
     def symbols(self, text: str) -> np.ndarray:
         """The symbols of a text, runs of spaces as one; empty if it has no letter."""
@@ -129,7 +176,11 @@ class Parser:
         out = self.lut[np.minimum(codes, 0xFFFF)]
         high = codes > 0xFFFF
         if high.any():
-            out[high] = np.where(_is_letter(codes[high]), OTHER, SPACE)
+            own = codes[high]
+            out[high] = np.where(_is_letter(own), OTHER, SPACE)
+            if len(self.high):
+                at = np.minimum(np.searchsorted(self.high, own), len(self.high) - 1)
+                out[high] = np.where(self.high[at] == own, self.high_symbols[at], out[high])
         keep = np.ones(len(out), dtype=bool)
         keep[1:] = (out[1:] != SPACE) | (out[:-1] != SPACE)
         out = out[keep]
@@ -163,12 +214,12 @@ class Parser:
             k = int(np.searchsorted(-sizes, -j, side="left"))
             symbol = flat[starts[:k] + j].astype(np.int32)
             now = state[:, :k]
-            to = self.moves[now * self.size + symbol]
+            to = self.step(now, symbol)
             lang, lane = np.nonzero(to < 0)
             if len(lang):
                 # a phrase ends before this symbol, unless none was begun
                 begun = now[lang, lane] != self.base[lang]
-                again = self.moves[self.base[lang] * self.size + symbol[lane]]
+                again = self.step(self.base[lang], symbol[lane])
                 unknown = again < 0
                 count[lang, lane] += begun.astype(np.int32) + unknown
                 to[lang, lane] = np.where(unknown, self.base[lang], again)
@@ -177,7 +228,7 @@ class Parser:
 
 
 @functools.lru_cache(maxsize=2)
-def parser(texts: tuple[tuple[str, str], ...], max_symbols: int) -> Parser:
+def parser(texts: tuple[tuple[str, str], ...], max_symbols: int | None) -> Parser:
     return Parser(texts, max_symbols)
 
 
@@ -186,29 +237,24 @@ def _normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(text=[normal(t) for t in pdf["text"]])
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2, train_rows: int = 40, train_chars: int = 12_000, max_languages: int = 64) -> tuple[tuple[str, str], ...]:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2, train_rows: int = 40, train_chars: int = 12_000) -> tuple[tuple[str, str], ...]:
     """(language, labelled text) pairs, by name: a bounded sample outside the held-out fold."""
     ship(docs.sparkSession)
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & (fold(F.col(key), folds) != held_out)).select(
         F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("text")
     )
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     # Spark limits each group in every task before it shuffles; texts follow only the chosen keys
     top = Window.partitionBy("lang").orderBy("h", "k")
-    chosen = labelled.select("k", "lang", "h").withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= train_rows).filter(F.col("lang").isin([r["lang"] for r in counts]))
-    ids = [(r["k"], r["lang"], r["rank"]) for r in chosen.collect()]  # max_languages * train_rows rows
-    if not ids:
-        return ()
-    rows = labelled.filter(F.col("k").isin([i[0] for i in ids])).select("k", "lang", F.left("text", F.lit(train_chars)).alias("text")).mapInPandas(_normalised, "k " + dict(labelled.dtypes)["k"] + ", lang string, text string").collect()
-    rank = {(k, name): r for k, name, r in ids}
+    chosen = labelled.select("k", "lang", "h").withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= train_rows).groupBy("k", "lang").agg(F.max("rank").alias("rank"))
+    # train_rows rows of each language
+    rows = labelled.join(F.broadcast(chosen), ["k", "lang"]).select("lang", "rank", F.left("text", F.lit(train_chars)).alias("text")).mapInPandas(_normalised, "lang string, rank int, text string").collect()
     texts: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], rank.get((r["k"], r["lang"]), 0), r["text"])):
-        if (r["k"], r["lang"]) in rank:
-            texts[r["lang"]] = (texts.get(r["lang"], "") + " " + r["text"].strip())[: train_chars + 1]
+    for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
+        texts[r["lang"]] = (texts.get(r["lang"], "") + " " + r["text"].strip())[: train_chars + 1]
     return tuple(sorted((name, t) for name, t in texts.items() if t.strip()))
 
 
-def predict(docs: DataFrame, model: tuple[tuple[str, str], ...], key: str = "doc_id", text: str = "text", max_symbols: int = 120) -> DataFrame:
+def predict(docs: DataFrame, model: tuple[tuple[str, str], ...], key: str = "doc_id", text: str = "text", max_symbols: int | None = None) -> DataFrame:
     """Rows (key, lang_pred, score, phrases_per_symbol) for every document."""
 
     ship(docs.sparkSession)

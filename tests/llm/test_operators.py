@@ -545,6 +545,23 @@ def test_language(spark, odd, empty):
     assert langid.normal("Été,  2 cafés!") == "été cafés "
 
 
+def test_language_many_letters_and_languages(spark):
+    """Every letter has a symbol, above the basic plane too, and every language is learned."""
+    rng = random.Random(4)
+    alphabets = {f"l{i:02d}": [chr(0x4E00 + 40 * i + j) for j in range(40)] for i in range(70)} | {"zz": [chr(0x20000 + j) for j in range(40)]}
+    say = lambda name: "".join(rng.choice(alphabets[name]) for _ in range(60))
+    rows = [(k, say(name), name) for k, name in enumerate(sorted(alphabets) * 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert [name for name, _ in model] == sorted(alphabets)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(df, model).collect()}
+    assert got == {k: name for k, _, name in rows}
+    parsers = [langid.Parser(model, None, dense) for dense in (0, 1 << 20, 1 << 30)]
+    assert parsers[0].near == 2 and parsers[2].near == parsers[2].size
+    texts = [p.symbols(" ".join(t for _, t, _ in rows[:5])) for p in parsers]
+    assert len({p.phrases([t]).tobytes() for p, t in zip(parsers, texts)}) == 1
+
+
 def test_fold(spark):
     got = spark.range(50).select("id", fold(F.col("id"), 7).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 7 for r in got)
