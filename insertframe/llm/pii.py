@@ -5,7 +5,9 @@ Four kinds: email, ip, card, phone. For each kind
 * a **base** pattern with a check (octets at most 255, Luhn digits, digit counts) finds
   leftmost non-overlapping spans, all of which are kept;
 * high-recall **generators** propose further, overlapping spans: addresses with a spelled-out
-  at sign, colon-separated addresses, shorter card numbers, numbers without a plus sign;
+  at sign, colon-separated addresses, shorter card numbers, numbers without a plus sign. In a
+  run of digit groups every window of groups with the digits of a card or a phone number is
+  proposed, and of a spelled-out address every end;
 * **boosted trees** over format and context features score every proposal, and proposals at
   or above a threshold, chosen per kind on held-out examples for a wanted precision, are
   added where they overlap no base span of any kind and no better proposal of their own.
@@ -42,13 +44,17 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: High-recall generators of further proposals.
+#: High-recall generators: matches hold the proposals that ``proposals`` takes from them.
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63})++",
     "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![0-9+.])\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,14}(?![0-9])",
+    "card": r"[0-9](?:[\x20-]?+[0-9])*+",
+    "phone": r"\(?+[0-9](?:[\x20()./-]{0,2}+[0-9])*+",
 }
+#: How many digits a proposed window of digit groups has.
+DIGITS = {"card": (13, 19), "phone": (7, 15)}
+#: The end of a spelled-out address.
+PART = r"\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63}"
 #: What must be in a text for a pattern to match; saves the scan where it is not.
 NEEDS = {
     "email": lambda t: t.contains("@"),
@@ -128,6 +134,51 @@ def _guarded(text: Column, needs: Column, pattern: str) -> Column:
     return F.when(needs, find(text, pattern)).otherwise(none)
 
 
+def _windows(m: Column, kind: str) -> Column:
+    """Every window of the digit groups of a match that has the digits of the kind."""
+    least, most = DIGITS[kind]
+    value = m["value"]
+
+    def of(groups: Column) -> Column:
+        def window(i: Column, j: Column) -> Column:
+            first = groups[i]["start"]
+            # a group's opening parenthesis is part of it
+            begin = first - F.when((first > 0) & (F.substring(value, first, F.lit(1)) == "("), 1).otherwise(0)
+            end = groups[j]["end"]
+            return F.struct((m["start"] + begin).alias("start"), (m["start"] + end).alias("end"), F.substring(value, begin + 1, end - begin).alias("value"))
+
+        def from_group(i: Column) -> Column:
+            ends = F.sequence(i, F.least(i + most - 1, F.size(groups) - 1))
+            return F.filter(F.transform(ends, lambda j: window(i, j)), lambda w: F.length(digits(w["value"])).between(least, most))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), from_group))
+
+    return let(find(value, "[0-9]++"), of)
+
+
+def _ends(m: Column) -> Column:
+    """A spelled-out address with every end that leaves it one."""
+    cut = F.transform(
+        find(m["value"], PART),
+        lambda p: F.struct(m["start"].alias("start"), (m["start"] + p["end"]).alias("end"), F.substring(m["value"], F.lit(1), p["end"]).alias("value")),
+    )
+    return F.array_union(F.filter(cut, lambda x: x["value"].rlike(f"^{WIDE['email']}$")), F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))))
+
+
+def proposals(text: Column, kind: str) -> Column:
+    """Proposed spans (start, end, value) of a kind, which may overlap."""
+    found = _guarded(text, WIDE_NEEDS[kind](text), WIDE[kind])
+    if kind == "email":
+        return F.flatten(F.transform(found, _ends))
+    if kind not in DIGITS:
+        return found
+    least = DIGITS[kind][0]
+    some = F.flatten(F.transform(F.filter(found, lambda m: F.length(m["value"]) >= least), lambda m: _windows(m, kind)))
+    if kind == "phone":  # a part of a signed or dotted number is none
+        some = F.filter(some, lambda w: (w["start"] == 0) | ~F.substring(text, w["start"], F.lit(1)).isin("+", "."))
+    return some
+
+
 # --------------------------------------------------------------------------- features
 
 def features(kind: Column, value: Column, before: Column, after: Column) -> dict[str, Column]:
@@ -310,9 +361,10 @@ def added_spans(text: Column, kind: str, model: Model, taken: Column) -> Column:
         after = F.substring(text, m["end"] + 1, F.lit(2))
         x = F.struct(*[v.alias(k) for k, v in features(F.lit(kind), m["value"], before, after).items()])
         score = let(x, lambda x: sum((t.column(x) for t in model.trees[kind]), F.lit(0.0)))
-        return F.struct((-score).alias("loss"), m["start"].alias("start"), m["end"].alias("end"))
+        # of equal scores the longer span is the better one
+        return F.struct((-score).alias("loss"), (m["start"] - m["end"]).alias("back"), m["start"].alias("start"), m["end"].alias("end"))
 
-    free = F.filter(_guarded(text, WIDE_NEEDS[kind](text), WIDE[kind]), lambda m: ~F.exists(taken, lambda k: _overlaps(k, m)))
+    free = F.filter(proposals(text, kind), lambda m: ~F.exists(taken, lambda k: _overlaps(k, m)))
     good = F.filter(F.transform(free, scored), lambda s: s["loss"] <= -model.threshold[kind])
     return F.aggregate(
         F.sort_array(good),

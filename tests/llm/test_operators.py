@@ -467,6 +467,23 @@ def test_pii(spark, docs, texts, odd, empty):
     assert pii.redact(odd, model).columns == odd.columns and pii.detect(empty, model).count() == 0
 
 
+def test_pii_beside_other_digits(spark):
+    """Numbers in lists and beside other digits are found whole, each by itself."""
+    want = {
+        "order 12 378282246310005": {"378282246310005"},
+        "tel 415-555-2671 415-555-9999": {"415-555-2671", "415-555-9999"},
+        "room 2024 (415) 555-2671": {"(415) 555-2671"},
+        "(415) 555-2671 (415) 555-9999 (212) 555-1234": {"(415) 555-2671", "(415) 555-9999", "(212) 555-1234"},
+    }
+    rows = list(enumerate([*want, "7 " * 3000]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.digest(pii.detect(df, pii.train(spark))).collect()}
+    for i, t in rows[:-1]:
+        assert {t[int(a) : int(b)] for _, a, b in (x.split(":") for x in found[i].split(","))} == want[t], t
+    proposed = df.filter("doc_id = 1").select(F.transform(pii.proposals(F.col("text"), "phone"), lambda m: m["value"]).alias("p")).first()["p"]
+    assert {"415-555-2671", "555-2671 415", "415-555-2671 415", "415-555-9999"} <= set(proposed)
+
+
 # ---------------------------------------------------------------------------------- op9
 
 def test_toxicity(spark, odd, empty):
