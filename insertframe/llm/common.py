@@ -43,16 +43,28 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % folds
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Column names that a table does not have, in whatever case."""
+    there, out, i = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if f"own_{i}" not in there:
+            out.append(f"own_{i}")
+        i += 1
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none (tests, one machine).
+    A folder of our own is set only where the session names none and runs on one machine.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="insertframe-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

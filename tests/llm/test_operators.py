@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -183,19 +184,15 @@ def test_bloom_filter_counts():
 
 # ---------------------------------------------------------------------------------- op5
 
-def line_model(docs, min_words=5, radius=2, least=0.8):
-    """Brute force over all pairs of distinct lines."""
+def line_model(docs, min_words=5, least=0.8):
+    """Brute force over all pairs of distinct lines, by edit similarity alone."""
     seen = {}
     for i in sorted(docs):
         for j, raw in enumerate(docs[i].split("\n")):
             n = re.sub(r"[^\w]+|_+", " ", raw.lower()).strip()
-            if len(n.split(" ")) >= min_words:
+            if n and len(n.split(" ")) >= min_words:
                 seen.setdefault(n, []).append((i, j))
 
-    def simhash60(n):
-        hs = [int(np.int64(np.uint64(xxhash.xxh64_intdigest(w.encode(), 42)))) for w in n.split(" ")]
-        return sum(1 << b for b in range(60) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
     def distance(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -204,15 +201,14 @@ def line_model(docs, min_words=5, radius=2, least=0.8):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         return row[-1]
 
-    u, fps = Union(), {n: simhash60(n) for n in seen}
-    names = sorted(seen)
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            if bin(fps[a] ^ fps[b]).count("1") <= radius:
-                x, y = a.split(" "), b.split(" ")
-                longer = max(len(x), len(y))
-                if distance(x, y) <= math.floor(longer * (1 - least) + 1e-9):
-                    u.join(seen[a][0], seen[b][0])
+    u = Union()
+    names = {n: (n.split(" "), Counter(n.split(" "))) for n in sorted(seen)}
+    for (a, (x, cx)), (b, (y, cy)) in combinations(names.items(), 2):
+        longer = max(len(x), len(y))
+        most = math.floor(longer * (1 - least) + 1e-9)
+        # lines that differ in more words than may be edited need no more
+        if longer - (cx & cy).total() <= most and distance(x, y) <= most:
+            u.join(seen[a][0], seen[b][0])
     kept = {}
     groups = defaultdict(list)
     for n, at in seen.items():
@@ -237,9 +233,9 @@ def test_line_dedup(spark, odd, empty):
         docs[i] = "\n".join([*own, "short"])
     df = spark.createDataFrame([*docs.items()], "doc_id long, text string")
     want = line_model(docs)
-    for hot in (1024, 1):
-        got = {(r["k"], r["line"]): (r["kept"]["k"], r["kept"]["line"]) for r in linededup.dropped_lines(df, hot=hot).collect()}
-        assert got == want
+    for most in (16, 2):
+        got = {(r["k"], r["line"]): (r["kept"]["k"], r["kept"]["line"]) for r in linededup.dropped_lines(df, most=most).collect()}
+        assert {*got} <= {*want} and len(got) >= len(want) - 3 * (most == 2), most
     left = {r["doc_id"]: r["text"] for r in linededup.deduplicate(df).collect()}
     for i, t in docs.items():
         keep = "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in want)
@@ -352,11 +348,6 @@ def test_cascade_order():
 
 # ---------------------------------------------------------------------------------- op8
 
-def simhash_of(line, bits):
-    hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in line.split(" ")]
-    return sum(1 << b for b in range(bits) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
-
 def query_drops(spark, tmp_path, docs):
     """(doc, line) pairs that the registered query drops."""
     spark.createDataFrame([*docs.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -364,22 +355,52 @@ def query_drops(spark, tmp_path, docs):
     return {(r["doc_id"], int(j)) for r in rows for j in r["dropped_lines"].split(",") if j}
 
 
-def test_line_dedup_whole_radius(spark, tmp_path):
-    """The query links lines that are three of 64 bits apart."""
-    rng = random.Random(5)
+@pytest.mark.parametrize("n", [5, 6, 8, 12, 20, 40, 80, 200])
+def test_line_dedup_recall(spark, tmp_path, n):
+    """Of lines with a word, a tenth or a fifth of the words changed, or a word more, nine in ten
+    are found at least; unlike lines stay."""
+    rng = random.Random(n)
+    word = lambda: f"w{rng.randrange(3000)}"
+    docs, kinds = {}, {}
+    for kind in ("one", "tenth", "fifth", "more"):
+        for _ in range(40):
+            a = [word() for _ in range(n)]
+            b = [*a]
+            if kind == "more":
+                b.insert(rng.randrange(n + 1), word())
+            else:
+                for j in rng.sample(range(n), {"one": 1, "tenth": max(1, n // 10), "fifth": n // 5}[kind]):
+                    b[j] = word()
+            kinds[len(docs) + 1] = kind
+            docs |= {len(docs): " ".join(a), len(docs) + 1: " ".join(b)}
+    found = query_drops(spark, tmp_path, docs)
+    hits = Counter(kinds[i] for i, _ in found)
+    assert all(hits[k] >= 36 for k in ("one", "tenth", "fifth", "more")), hits
+
+
+def test_line_dedup_recall_on_documents(spark, texts):
+    """Against brute force over the lines of the documents: nine in ten of those that go, no other."""
+    own = dict(list(sorted(texts.items()))[:120])
+    df = spark.createDataFrame([*own.items()], "doc_id long, text string")
+    got = {(r["k"], r["line"]) for r in linededup.dropped_lines(df, **linededup.WHOLE).collect()}
+    want = set(line_model(own, min_words=1))
+    assert got <= want and len(got) >= 0.9 * len(want) > 0
+
+
+def test_line_dedup_frequent_pieces(spark, tmp_path):
+    """Many lines with the same beginning: unlike ones stay, and edited copies go."""
+    rng = random.Random(11)
     docs = {}
-    while len(docs) < 6:
-        a = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+    for _ in range(60):
+        a = "all rights reserved by the owner of this".split(" ") + [f"w{rng.randrange(10**6)}" for _ in range(14)]
         b = [*a]
-        b[rng.randrange(30)] = f"w{rng.randrange(10**6)}"
-        a, b = " ".join(a), " ".join(b)
-        if bin(simhash_of(a, 64) ^ simhash_of(b, 64)).count("1") == 3 and bin(simhash_of(a, 60) ^ simhash_of(b, 60)).count("1") == 3:
-            docs |= {len(docs): a, len(docs) + 1: b}
-    assert query_drops(spark, tmp_path, docs) == {(i, 0) for i in range(1, len(docs), 2)}
+        b[rng.randrange(8, 22)] = "edited"
+        docs |= {len(docs): " ".join(a), len(docs) + 1: " ".join(b)}
+    assert query_drops(spark, tmp_path, docs) == {(i, 0) for i in range(1, 120, 2)}
 
 
 def test_line_dedup_permuted(spark, tmp_path):
-    """Lines of one SimHash are held against each other, not against the first alone."""
+    """Lines of the same words in another order are told apart."""
     rng = random.Random(6)
     docs, want = {}, set()
     for g in range(4):
@@ -414,19 +435,22 @@ def test_line_dedup_near_groups(spark):
 
 
 def test_line_dedup_long_lines(spark, tmp_path):
-    """Lines longer than a lane counts have their SimHash, and an edited copy goes."""
+    """An edited copy of a very long line goes, parts of it and its words in another order stay."""
     rng = random.Random(10)
     line = [f"l{rng.randrange(10**6)}" for _ in range(40_001)]
     edited = [*line[:20_000], "edited", *line[20_001:]]
     docs = {0: " ".join(line), 1: " ".join(edited), 2: " ".join(line[:16_383]), 3: " ".join(line[:16_384]), 4: " ".join(rng.sample(line, 20_000))}
-    rows = [(i, t.split(" ")) for i, t in docs.items()]
-    frame = spark.createDataFrame([(i, 0, 0, ws) for i, ws in rows], "k long, th long, line int, ws array<string>")
-    for bits in (60, 64):
-        got = {r["k"]: r["fp"] % 2**64 for r in linededup.simhashes(frame, bits).collect()}
-        assert got == {i: simhash_of(t, bits) for i, t in docs.items()}
     assert query_drops(spark, tmp_path, docs) == {(1, 0), (3, 0)}
 
 
+def test_line_dedup_clashing_names(spark):
+    """A caller's columns may have any name."""
+    rows = [(1, "one two three four five\nsix", "x", 1), (2, "one two three four five\nseven", "y", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own_0 string, OWN_1 int").withColumns({c: F.lit(1) for c in ("k", "th", "line", "at", "id", "ps", "n")})
+    out = linededup.deduplicate(df)
+    assert out.columns == df.columns and {r["text"] for r in out.collect()} == {rows[0][1], "seven"}
+
+
 def test_line_dedup_short_lines(spark, tmp_path):
     """Equal lines of one to four words go but for the first; different ones and blank ones stay."""
     docs = {0: "Menu\nhome page\n\nread more about us\n--", 1: "\nmenu!\nhome pages\nRead more about us\n--", 2: "home, page\nread more about them"}
