@@ -6,10 +6,12 @@ filter once for each level 1..q(c). A count is read back by probing levels until
 absent; the estimate is the mean of the level's range. False positives only ever raise a
 count, by one level with the filter's error rate, two with its square.
 
-The filter has ``bits`` bits whatever the input: that is its broadcast bound. Single tokens
-and n-grams enter if their count reaches a cutoff, the least one at which the filter's load
-stays within ``bits * ln 2 / probes`` entries; the cutoff comes from the whole count-of-counts
-table. N-grams below it back off to the lower order, as those never seen do.
+Every n-gram enters, whatever the size of the input: the filter has the bits that its entries
+need, 2^k with at most ``bits * ln 2 / probes`` entries, counted over the whole table. It is cut by
+hash into pieces, each written by a task and kept in the shared folder. A filter of at most
+``most_bytes`` (128 MB) is broadcast. The probes of a larger one are routed instead: each task
+holds ``most_bytes`` of it at a time, batches of texts send their distinct n-grams there and get
+levels back. Both ways probe the same bits and so give the same scores.
 
 Text: A-Z lower-cased, words split at ASCII white space, then one end token. Probability of a
 token: P1 = (c + 1) / (N + V + 1) for single tokens and, for longer contexts, interpolated
@@ -26,6 +28,7 @@ Null text is empty and has the end token alone. With no training rows all counts
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -218,17 +221,21 @@ def value_of(level: np.ndarray, base: float) -> np.ndarray:
     return np.where(level > 0, (low + high) / 2, 0.0)
 
 
-#: The filter's pieces; an n-gram's bits all lie in the piece of its hash's top bits.
-PIECES = 64
+def places(h: np.ndarray, level: int, probes: int, bits: int, pieces: int) -> Iterator[np.ndarray]:
+    """The filter's bits of n-grams at a level, probe by probe; both sizes are powers of two.
 
-
-def places(h: np.ndarray, level: int, probes: int, bits: int) -> Iterator[np.ndarray]:
-    """The filter's bits of n-grams at a level, probe by probe; ``bits`` is a power of two."""
+    An n-gram's bits all lie in the piece of its hash's top bits.
+    """
     a = mix(h + np.uint64(0x632BE59BD9B4E019 * level & 0xFFFFFFFFFFFFFFFF))
     b = mix(a + MIX1) | np.uint64(1)
-    piece = (h >> np.uint64(58)) * np.uint64(bits // PIECES)
+    size = bits // pieces
+    piece = piece_of(h, pieces) * np.uint64(size)
     for i in range(probes):
-        yield piece + ((a + np.uint64(i) * b) & np.uint64(bits // PIECES - 1))
+        yield piece + ((a + np.uint64(i) * b) & np.uint64(size - 1))
+
+
+def piece_of(h: np.ndarray, pieces: int) -> np.ndarray:
+    return h >> np.uint64(65 - pieces.bit_length()) if pieces > 1 else np.zeros(len(h), np.uint64)
 
 
 @dataclass
@@ -238,16 +245,19 @@ class Filter:
     probes: int
     base: float
     max_level: int
+    pieces: int
+    #: The bit that ``data`` begins with, where it is a part of the filter.
+    start: int = 0
 
     def has(self, h: np.ndarray, level: int) -> np.ndarray:
         ok = np.arange(len(h))
-        for p in places(h, level, self.probes, self.bits):
-            p = p[ok]
+        for p in places(h, level, self.probes, self.bits, self.pieces):
+            p = p[ok] - np.uint64(self.start)
             ok = ok[(self.data[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
         return ok
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        """Estimated counts: levels are probed until one is absent."""
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Levels are probed until one is absent."""
         level = np.zeros(len(h), dtype=np.int64)
         live = np.arange(len(h))
         for j in range(1, self.max_level + 1):
@@ -255,26 +265,37 @@ class Filter:
             if not len(live):
                 break
             level[live] = j
-        return value_of(level, self.base)
+        return level
+
+    def count(self, h: np.ndarray) -> np.ndarray:
+        """Estimated counts."""
+        return value_of(self.levels(h), self.base)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], cutoff_level: int, probes: int, bits: int) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Answers:
+    """The filter's levels of a batch's n-grams, sorted by hash: what probes would give."""
+
+    hashes: np.ndarray
+    level: np.ndarray
+    base: float
+
+    def count(self, h: np.ndarray) -> np.ndarray:
+        return value_of(self.level[np.searchsorted(self.hashes, h)], self.base)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], probes: int, bits: int, pieces: int) -> Iterator[pa.RecordBatch]:
     """The filter's set bits from counted n-grams, as bitmaps of pieces (piece, bitmap)."""
-    size = bits // PIECES
+    size = bits // pieces
     for batch in batches:
-        for hashes, levels in zip(column(batch, 1), column(batch, 2)):
-            h, level = unpack_hashes(hashes), np.frombuffer(levels, np.uint8)
-            keep = level >= cutoff_level
-            h, level = h[keep], level[keep]
-            piece = h >> np.uint64(58)
-            for k in np.unique(piece):
-                own, levels = h[piece == k], level[piece == k].astype(np.int64)
-                bitmap = np.zeros(size, dtype=np.uint8)
-                for j in range(1, int(levels.max()) + 1):
-                    for p in places(own[levels >= j], j, probes, bits):
-                        bitmap[(p & np.uint64(size - 1)).astype(np.int64)] = 1
-                packed = np.packbits(bitmap, bitorder="little").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([packed], pa.binary())], ["piece", "bitmap"])
+        for piece, hashes, levels in zip(*(column(batch, i) for i in range(3))):
+            h, level = unpack_hashes(hashes), np.frombuffer(levels, np.uint8).astype(np.int64)
+            bitmap = np.zeros(size, dtype=np.uint8)
+            for j in range(1, int(level.max(initial=0)) + 1):
+                for p in places(h[level >= j], j, probes, bits, pieces):
+                    bitmap[(p & np.uint64(size - 1)).astype(np.int64)] = 1
+            packed = np.packbits(bitmap, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([packed], pa.binary())], ["piece", "bitmap"])
 
 
 def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,12 +321,16 @@ class Model:
     n: int
     v: int
     head: tuple[np.ndarray, np.ndarray]
+    #: The whole filter, where it may be broadcast; else without data.
     filter: Filter
+    #: Rows (piece, bitmap): the filter.
+    pieces: DataFrame
+    most_bytes: int
     order: int
     strength: float
 
 
-def train(texts: DataFrame, stage: Stage, text: str = "text", order: int = 2, bits: int = 1 << 27, probes: int = 4, base: float = 1.5, strength: float = 2.0, head: int = 1 << 18) -> Model:
+def train(texts: DataFrame, stage: Stage, text: str = "text", order: int = 2, most_bytes: int = 1 << 27, probes: int = 4, base: float = 1.5, strength: float = 2.0, head: int = 1 << 18) -> Model:
     """Counts all training texts and builds the filter."""
     spark = texts.sparkSession
     ship(spark)
@@ -326,26 +351,26 @@ def train(texts: DataFrame, stage: Stage, text: str = "text", order: int = 2, bi
     logs = np.array([math.log10(r["c"] + 1) for r in top])
     by_key = np.argsort(keys)
     # small shards: a task holds one at a time
-    shards = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    shards = 1 << (4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) - 1).bit_length()
     packed = rows.mapInArrow(lambda b: _packed_grams(b, order, shards), "shard int, hashes binary, counts binary")
     dealt = packed.repartition(shards, "shard").sortWithinPartitions("shard")
     counted = stage.put(dealt.mapInArrow(lambda b: _sum_shards(b, base), "shard int, hashes binary, levels binary"), "grams")
     # how many n-grams have each level: a few rows
     of_level = dict(counted.mapInArrow(lambda b: _levels(b), "level int, n long").groupBy("level").agg(F.sum("n")).collect())
     max_level = max(of_level, default=1)
-    room, cutoff_level = bits * math.log(2) / probes, 1
-    for lowest in range(1, max_level + 1):
-        cutoff_level = lowest
-        # an n-gram of level q makes q entries
-        if sum(q * n for q, n in of_level.items() if q >= lowest) <= room:
-            break
-    piece_bits = bits // PIECES
-    pieces = counted.mapInArrow(lambda b: _pieces(b, cutoff_level, probes, bits), "piece int, bitmap binary").repartition("piece").sortWithinPartitions("piece").mapInArrow(_join_pieces, "piece int, bitmap binary")
-    data = np.zeros(bits // 8, dtype=np.uint8)
-    for r in pieces.toLocalIterator():  # bits / 8 bytes in all
-        at = r["piece"] * piece_bits // 8
-        data[at : at + piece_bits // 8] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
-    return Model(counts, int(total["n"] or 0), int(total["v"] or 0), (keys[by_key], logs[by_key]), Filter(data, bits, probes, base, max_level), order, strength)
+    # an n-gram of level q makes q entries; eight bits are a byte of a piece's
+    entries = sum(q * n for q, n in of_level.items())
+    bits = max(8 * shards, 1 << math.ceil(math.log2(max(entries * probes / math.log(2), 1))))
+    pieces = counted.mapInArrow(lambda b: _pieces(b, probes, bits, shards), "piece int, bitmap binary").repartition(shards, "piece").sortWithinPartitions("piece").mapInArrow(_join_pieces, "piece int, bitmap binary")
+    pieces = stage.put(pieces, "filter")
+    stage.drop("grams")
+    data = np.zeros(bits // 8 if bits // 8 <= most_bytes else 0, dtype=np.uint8)
+    if len(data):
+        for r in pieces.toLocalIterator():  # most_bytes in all
+            at = r["piece"] * (bits // shards // 8)
+            data[at : at + bits // shards // 8] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+    head = (keys[by_key], logs[by_key])
+    return Model(counts, int(total["n"] or 0), int(total["v"] or 0), head, Filter(data, bits, probes, base, max_level, shards), pieces, most_bytes, order, strength)
 
 
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +380,7 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(n, pa.int64())], ["level", "n"])
 
 
-def log_probability(flat: np.ndarray, real: np.ndarray, single: np.ndarray, f: Filter, n: int, v: int, order: int, strength: float) -> np.ndarray:
+def log_probability(flat: np.ndarray, real: np.ndarray, single: np.ndarray, f: Filter | Answers, n: int, v: int, order: int, strength: float) -> np.ndarray:
     """log10 probability of each real token after those before it, from probes of the filter.
 
     ``single`` has the filter's counts of single tokens.
@@ -371,25 +396,54 @@ def log_probability(flat: np.ndarray, real: np.ndarray, single: np.ndarray, f: F
     return np.log10(p)
 
 
+def text_scores(hashes: list[np.ndarray], end: np.uint64, f: Filter | Answers, n: int, v: int, order: int, strength: float) -> np.ndarray:
+    """The log10 probability of each text, given as hashes of its tokens."""
+    flat, real = lay(hashes, order, end)
+    starts = np.cumsum([0, *[len(h) + order - 1 for h in hashes[:-1]]])
+    distinct, again = np.unique(flat, return_inverse=True)
+    single, logs = f.count(grams(distinct, 1))[again], np.zeros(len(flat))
+    for lo in range(0, len(flat), 1 << 17):  # memory does not grow with the text
+        back = min(lo, 2 * order)
+        own = slice(lo - back, lo + (1 << 17))
+        found = np.zeros(len(flat[own]))
+        found[real[own]] = log_probability(flat[own], real[own], single[own], f, n, v, order, strength)
+        logs[lo : lo + (1 << 17)] = found[back:]
+    return np.add.reduceat(logs, starts)
+
+
+def all_grams(hashes: list[np.ndarray], end: np.uint64, order: int) -> np.ndarray:
+    """The distinct n-grams that scoring asks for, sorted; single ends are among them."""
+    flat, real = lay(hashes, order, end)
+    return np.unique(np.concatenate([grams(flat, 1), *[grams(flat, k)[real] for k in range(2, order + 1)]]))
+
+
+#: Tokens of texts that are scored at once.
+BATCH = 100_000
+#: Columns of what a task makes of its texts; batches of token hashes only where probes are routed.
+PARTS = "key {}, row long, token binary, tf long, size long, known long, base double, score double, batch string, rows array<long>, sizes array<long>"
+
+
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_tokens, n_known, base_score, score) for every document.
 
-    A task scores its texts from the broadcast filter and head and leaves one row per document
-    and one per document and distinct token beyond the head; those meet their counts by a join
-    on the token.
+    A task makes one row per document and one per document and distinct token beyond the head;
+    those meet their counts by a join on the token. Scores come from the broadcast filter, or
+    from levels that batches of n-grams get from the tasks that hold the filter's parts.
     """
     spark = docs.sparkSession
     ship(spark)
+    routed = not len(model.filter.data)
     sent = spark.sparkContext.broadcast((model.filter.data, model.head))
     f, n, v, order, strength = model.filter, model.n, model.v, model.order, model.strength
-    shape = (f.bits, f.probes, f.base, f.max_level)
+    shape = (f.bits, f.probes, f.base, f.max_level, f.pieces)
     floor = math.log10(n + v + 1)
+    rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    kind = dict(rows.dtypes)["key"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, head = sent.value
         filt = Filter(data, *shape)
         hasher = Hasher()
-        end = hasher([END])[0]
         for batch in batches:
             ids, held, size = [], [], 0
             for doc, row, t in zip(column(batch, 0), column(batch, 1), column(batch, 2)):
@@ -397,57 +451,58 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
                 ids.append((doc, row))
                 held.append(words)
                 size += len(words)
-                if size > 100_000:
-                    yield pack(ids, held, hasher, end, filt, head, batch)
+                if size > BATCH:
+                    yield pack(ids, held, hasher, filt, head, batch)
                     ids, held, size = [], [], 0
             if ids:
-                yield pack(ids, held, hasher, end, filt, head, batch)
+                yield pack(ids, held, hasher, filt, head, batch)
 
-    def pack(ids: list[tuple], held: list[list[bytes]], hasher: Hasher, end: np.uint64, filt: Filter, head: tuple, batch: pa.RecordBatch) -> pa.RecordBatch:
+    def pack(ids: list[tuple], held: list[list[bytes]], hasher: Hasher, filt: Filter, head: tuple, batch: pa.RecordBatch) -> pa.RecordBatch:
         """A row per text, with what filter and head tell, and rows of its tokens beyond the head."""
         hashes = [hasher(w) for w in held]
-        flat, real = lay(hashes, order, end)
-        starts = np.cumsum([0, *[len(h) + order - 1 for h in hashes[:-1]]])
+        flat = np.concatenate(hashes)
+        starts = np.cumsum([0, *[len(h) for h in hashes[:-1]]])
         distinct, again = np.unique(flat, return_inverse=True)
         keys, values = head
         at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
         hit = keys[at] == distinct if len(keys) else np.zeros(len(distinct), dtype=bool)
-        base = np.add.reduceat((np.where(hit, values[at], 0.0) if len(keys) else np.zeros(len(distinct)))[again] * real, starts)
-        known = np.add.reduceat((hit[again] & real).astype(np.int64), starts)
-        single, logs = filt.count(grams(distinct, 1))[again], np.zeros(len(flat))
-        for lo in range(0, len(flat), 1 << 17):  # memory does not grow with the text
-            back = min(lo, 2 * order)
-            own = slice(lo - back, lo + (1 << 17))
-            found = np.zeros(len(flat[own]))
-            found[real[own]] = log_probability(flat[own], real[own], single[own], filt, n, v, order, strength)
-            logs[lo : lo + (1 << 17)] = found[back:]
-        total = np.add.reduceat(logs, starts)
-        out: list[list] = [[] for _ in range(8)]
+        base = np.add.reduceat((np.where(hit, values[at], 0.0) if len(keys) else np.zeros(len(distinct)))[again], starts)
+        known = np.add.reduceat(hit[again].astype(np.int64), starts)
+        total = np.zeros(len(held)) if routed else text_scores(hashes, hasher([END])[0], filt, n, v, order, strength)
+        out: list[list] = [[] for _ in range(11)]
         for (doc, row), words, k, b, s in zip(ids, held, known.tolist(), base.tolist(), total.tolist()):
-            for i, x in enumerate((doc, row, b" %d" % row, 0, len(words), k, b - len(words) * floor, s)):
+            for i, x in enumerate((doc, row, b" %d" % row, 0, len(words), k, b - len(words) * floor, s, None, None, None)):
                 out[i].append(x)
-        beyond = np.flatnonzero(~hit[again] & real)
+        beyond = np.flatnonzero(~hit[again])
         text = np.searchsorted(starts, beyond, side="right") - 1
-        place = beyond - starts[text] - (order - 1)
-        counts = Counter((d, held[d][p]) for d, p in zip(text.tolist(), place.tolist()))
+        counts = Counter((d, held[d][p]) for d, p in zip(text.tolist(), (beyond - starts[text]).tolist()))
         m = len(counts)
         out[0] += [ids[d][0] for d, _ in counts]
         out[1] += [ids[d][1] for d, _ in counts]
         out[2] += [w for _, w in counts]
         out[3] += counts.values()
-        for i, zero in ((4, 0), (5, 0), (6, 0.0), (7, 0.0)):
+        for i, zero in ((4, 0), (5, 0), (6, 0.0), (7, 0.0), (8, None), (9, None), (10, None)):
             out[i] += [zero] * m
-        kinds = (batch.schema.field(0).type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["key", "row", "token", "tf", "size", "known", "base", "score"])
-
-    rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    kind = dict(rows.dtypes)["key"]
-    parts = rows.mapInArrow(score, f"key {kind}, row long, token binary, tf long, size long, known long, base double, score double")
+        if routed:
+            for i, x in enumerate((None, None, flat.tobytes(), 0, 0, 0, 0.0, 0.0, uuid.uuid4().hex, [r for _, r in ids], [len(h) for h in hashes])):
+                out[i].append(x)
+        kinds = (batch.schema.field(0).type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["key", "row", "token", "tf", "size", "known", "base", "score", "batch", "rows", "sizes"])
+
+    parts = rows.mapInArrow(score, PARTS.format(kind))
+    none = F.lit(None)
+    if routed:
+        stage = Stage(spark, "bloomscore")
+        parts = stage.put(parts, "parts")
+        routes = _routed(parts.filter("batch is not null").select("batch", "rows", "sizes", F.col("token").alias("hashes")), model, stage)
+        found = routes.select(none.cast(kind).alias("key"), "row", F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary").alias("token"), *[F.lit(0).cast(t).alias(c) for c, t in (("tf", "long"), ("size", "long"), ("known", "long"), ("base", "double"))], "score")
+        parts = parts.filter("batch is null").select(found.columns).union(found)
     met = parts.join(model.counts, "token", "left")
     tf, c = F.col("tf"), F.coalesce("c", F.lit(0))
     return (
-        met.groupBy("key", "row")
+        met.groupBy("row")
         .agg(
+            F.max("key").alias("key"),
             F.sum("size").alias("n_tokens"),
             F.sum(F.col("known") + F.when(c > 0, tf).otherwise(0)).alias("n_known"),
             F.sum(F.col("base") + tf * F.log10(c + 1)).alias("base_score"),
@@ -455,3 +510,75 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
         )
         .select(F.col("key").alias(key), "n_tokens", "n_known", "base_score", "score")
     )
+
+
+def _routed(texts: DataFrame, model: Model, stage: Stage) -> DataFrame:
+    """Rows (row, score) from batches (batch, rows, sizes, hashes) of texts.
+
+    A route is a run of the filter's pieces of at most ``most_bytes``, or one piece. Its task
+    reads them first, and then answers the batches' n-grams that lie there with their levels.
+    """
+    f, n, v, order, strength = model.filter, model.n, model.v, model.order, model.strength
+    shape = (f.bits, f.probes, f.base, f.max_level, f.pieces)
+    total = f.bits // 8
+    routes = min(f.pieces, 1 << max(0, (total - 1) // max(model.most_bytes, 1)).bit_length())
+    part = total // routes
+    schema = "route int, batch string, piece int, data binary"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = Hasher()([END])[0]
+        for batch in batches:
+            for name, sizes, hashes in zip(*(column(batch, i) for i in (0, 2, 3))):
+                own = all_grams(split(sizes, hashes), end, order)
+                at = piece_of(own, routes)
+                some = np.unique(at)
+                cuts = [own[at == r] for r in some]
+                k = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32), pa.int32()), pa.array([name] * k, pa.string()), pa.array([None] * k, pa.int32()), pa.array([pack_hashes(c) for c in cuts], pa.binary())], ["route", "batch", "piece", "data"])
+
+    def split(sizes: list[int], hashes: bytes) -> list[np.ndarray]:
+        return np.split(np.frombuffer(hashes, np.uint64), np.cumsum(sizes)[:-1])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, filt = None, None
+        for batch in batches:
+            for route, name, piece, data in zip(*(column(batch, i) for i in range(4))):
+                if route != now:
+                    now, filt = route, Filter(np.zeros(part, np.uint8), *shape, start=route * part * 8)
+                if name is None:
+                    at = piece * (total // f.pieces) - route * part
+                    filt.data[at : at + len(data)] = np.frombuffer(data, np.uint8)
+                else:
+                    found = filt.levels(unpack_hashes(data)).astype(np.uint8).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([route], pa.int32()), pa.array([name], pa.string()), pa.array([found], pa.binary())], ["route", "batch", "data"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = Hasher()([END])[0]
+        name, rows, texts, parts = None, None, None, []
+
+        def out() -> pa.RecordBatch:
+            level = np.concatenate([np.frombuffer(x, np.uint8) for x in parts]).astype(np.int64)
+            own = text_scores(texts, end, Answers(all_grams(texts, end, order), level, f.base), n, v, order, strength)
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(own, pa.float64())], ["row", "score"])
+
+        for batch in batches:
+            for one, route, ids, sizes, data in zip(*(column(batch, i) for i in range(5))):
+                if one != name:
+                    if name is not None:
+                        yield out()
+                    name, parts = one, []
+                if route is None:
+                    rows, texts = ids, split(sizes, data)
+                else:
+                    parts.append(data)
+        if name is not None:
+            yield out()
+
+    asked = texts.mapInArrow(ask, schema)
+    filters = model.pieces.select(F.shiftright("piece", f.pieces.bit_length() - routes.bit_length()).alias("route"), F.lit(None).cast("string").alias("batch"), "piece", F.col("bitmap").alias("data"))
+    # nulls come first: a route's pieces before its batches, a batch's texts before its answers
+    answers = stage.put(asked.union(filters).repartition(routes, "route").sortWithinPartitions("route", "batch").mapInArrow(answer, "route int, batch string, data binary"), "answers")
+    both = texts.select("batch", F.lit(None).cast("int").alias("route"), "rows", "sizes", F.col("hashes").alias("data")).union(
+        answers.select("batch", "route", F.lit(None).cast("array<long>"), F.lit(None).cast("array<long>"), "data")
+    )
+    return both.repartition("batch").sortWithinPartitions("batch", "route").mapInArrow(finish, "row long, score double")

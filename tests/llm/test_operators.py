@@ -156,14 +156,41 @@ def test_lm_scoring(spark, docs, texts, odd, empty):
         exact = sum(math.log10((min(pairs[u, x], c[u]) + 2 * (c[x] + 1) / (n + v + 1)) / (c[u] + 2)) for u, x in zip([b" end", *w], w))
         gap.append((r["score"] - exact) / len(w))
     assert max(map(abs, gap)) < 0.3 and abs(sum(gap) / len(gap)) < 0.05
-    model = bloomlm.train(odd, Stage(spark, "t"), bits=1 << 20, head=2)
+    model = bloomlm.train(odd, Stage(spark, "t"), head=2)
     assert bloomlm.score_documents(odd, model).count() == odd.count()
-    none = bloomlm.train(empty, Stage(spark, "t"), bits=1 << 20)
+    none = bloomlm.train(empty, Stage(spark, "t"))
     assert bloomlm.score_documents(empty, none).count() == 0
     blank = {r["n_known"] for r in bloomlm.score_documents(odd, none).collect()}
     assert blank == {0}
 
 
+@pytest.mark.parametrize("most_bytes", [1 << 16, 1 << 12, 1])
+def test_lm_routed_probes(spark, docs, odd, empty, most_bytes):
+    """A filter too large to broadcast gives the scores of one that is not, to the last bit, whatever
+    the number of its parts; every n-gram is in it."""
+    held = docs.filter(fold(F.col("doc_id"), 7) != 2)
+    whole = bloomlm.train(held, Stage(spark, "t"))
+    parts = bloomlm.train(held, Stage(spark, "t"), most_bytes=most_bytes)
+    assert len(whole.filter.data) == whole.filter.bits // 8 == parts.filter.bits // 8 > most_bytes and not len(parts.filter.data)
+    for df in (docs, odd, empty):
+        rows = [sorted((repr(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in bloomlm.score_documents(df, m).collect()) for m in (whole, parts)]
+        assert rows[0] == rows[1] and len(rows[0]) == df.count()
+
+
+def test_lm_filter_grows(spark, texts):
+    """The filter has room for all n-grams at any size: the rarest are told from those never seen."""
+    sizes = []
+    for n in (20, 100, 200):
+        own = dict(list(sorted(texts.items()))[:n])
+        m = bloomlm.train(spark.createDataFrame([*own.items()], "doc_id long, text string"), Stage(spark, "t"))
+        pairs = np.unique(np.concatenate([bloomlm.grams(bloomlm.lay([h], 2, bloomlm.Hasher()([bloomlm.END])[0])[0], 2)[1:] for t in own.values() for h in [bloomlm.Hasher()(bloomlm.tokens(t))]]))
+        assert (m.filter.count(pairs) >= 1).all()
+        never = np.random.default_rng(n).integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2) & bloomlm.KEPT
+        assert (m.filter.count(never) > 0).mean() < 0.08
+        sizes.append(m.filter.bits)
+    assert sizes == sorted(sizes) and sizes[-1] > sizes[0]
+
+
 def test_bloom_filter_counts():
     rng = np.random.default_rng(0)
     h = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64) & bloomlm.KEPT)
@@ -172,9 +199,9 @@ def test_bloom_filter_counts():
     bits = 1 << 22
     data = np.zeros(bits, dtype=np.uint8)
     for j in range(1, int(level.max()) + 1):
-        for p in bloomlm.places(h[level >= j], j, 4, bits):
+        for p in bloomlm.places(h[level >= j], j, 4, bits, 64):
             data[p.astype(np.int64)] = 1
-    f = bloomlm.Filter(np.packbits(data, bitorder="little"), bits, 4, 1.5, int(level.max()))
+    f = bloomlm.Filter(np.packbits(data, bitorder="little"), bits, 4, 1.5, int(level.max()), 64)
     got = f.count(h)
     want = bloomlm.value_of(level, 1.5)
     assert (got >= want).all() and (got == want).mean() > 0.99
