@@ -70,7 +70,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Hashes of tokens, the latest ones remembered."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 300_000):
         self.seen: dict[bytes, int] = {}
         self.most = most
 
@@ -224,14 +224,18 @@ def value_of(level: np.ndarray, base: float) -> np.ndarray:
 def places(h: np.ndarray, level: int, probes: int, bits: int, pieces: int) -> Iterator[np.ndarray]:
     """The filter's bits of n-grams at a level, probe by probe; both sizes are powers of two.
 
-    An n-gram's bits all lie in the piece of its hash's top bits.
+    An n-gram's bits all lie in the piece of its hash's top bits. Where the receiver sends
+    positions back, only the n-grams there go on.
     """
+    size = np.uint64(bits // pieces)
+    base = piece_of(h, pieces) * size
     a = mix(h + np.uint64(0x632BE59BD9B4E019 * level & 0xFFFFFFFFFFFFFFFF))
-    b = mix(a + MIX1) | np.uint64(1)
-    size = bits // pieces
-    piece = piece_of(h, pieces) * np.uint64(size)
-    for i in range(probes):
-        yield piece + ((a + np.uint64(i) * b) & np.uint64(size - 1))
+    step = (a >> np.uint64(32)) | np.uint64(1)
+    for _ in range(probes):
+        ok = yield base + (a & (size - np.uint64(1)))
+        if ok is not None:
+            base, a, step = base[ok], a[ok], step[ok]
+        a = a + step
 
 
 def piece_of(h: np.ndarray, pieces: int) -> np.ndarray:
@@ -250,11 +254,17 @@ class Filter:
     start: int = 0
 
     def has(self, h: np.ndarray, level: int) -> np.ndarray:
-        ok = np.arange(len(h))
-        for p in places(h, level, self.probes, self.bits, self.pieces):
-            p = p[ok] - np.uint64(self.start)
-            ok = ok[(self.data[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-        return ok
+        """Positions of the n-grams that are there at a level."""
+        live = np.arange(len(h))
+        asked = places(h, level, self.probes, self.bits, self.pieces)
+        p = next(asked)
+        for left in reversed(range(self.probes)):
+            p = (p - np.uint64(self.start)).view(np.int64)
+            ok = np.flatnonzero((self.data[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
+            live = live[ok]
+            if left:
+                p = asked.send(ok if len(ok) < len(p) else None)
+        return live
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Levels are probed until one is absent."""
@@ -268,8 +278,9 @@ class Filter:
         return level
 
     def count(self, h: np.ndarray) -> np.ndarray:
-        """Estimated counts."""
-        return value_of(self.levels(h), self.base)
+        """Estimated counts; each distinct n-gram is probed once."""
+        distinct, again = np.unique(h, return_inverse=True)
+        return value_of(self.levels(distinct), self.base)[again]
 
 
 @dataclass
@@ -418,7 +429,7 @@ def all_grams(hashes: list[np.ndarray], end: np.uint64, order: int) -> np.ndarra
 
 
 #: Tokens of texts that are scored at once.
-BATCH = 100_000
+BATCH = 200_000
 #: Columns of what a task makes of its texts; batches of token hashes only where probes are routed.
 PARTS = "key {}, row long, token binary, tf long, size long, known long, base double, score double, batch string, rows array<long>, sizes array<long>"
 
@@ -469,25 +480,28 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
         base = np.add.reduceat((np.where(hit, values[at], 0.0) if len(keys) else np.zeros(len(distinct)))[again], starts)
         known = np.add.reduceat(hit[again].astype(np.int64), starts)
         total = np.zeros(len(held)) if routed else text_scores(hashes, hasher([END])[0], filt, n, v, order, strength)
-        out: list[list] = [[] for _ in range(11)]
-        for (doc, row), words, k, b, s in zip(ids, held, known.tolist(), base.tolist(), total.tolist()):
-            for i, x in enumerate((doc, row, b" %d" % row, 0, len(words), k, b - len(words) * floor, s, None, None, None)):
-                out[i].append(x)
         beyond = np.flatnonzero(~hit[again])
         text = np.searchsorted(starts, beyond, side="right") - 1
         counts = Counter((d, held[d][p]) for d, p in zip(text.tolist(), (beyond - starts[text]).tolist()))
-        m = len(counts)
-        out[0] += [ids[d][0] for d, _ in counts]
-        out[1] += [ids[d][1] for d, _ in counts]
-        out[2] += [w for _, w in counts]
-        out[3] += counts.values()
-        for i, zero in ((4, 0), (5, 0), (6, 0.0), (7, 0.0), (8, None), (9, None), (10, None)):
-            out[i] += [zero] * m
-        if routed:
-            for i, x in enumerate((None, None, flat.tobytes(), 0, 0, 0, 0.0, 0.0, uuid.uuid4().hex, [r for _, r in ids], [len(h) for h in hashes])):
-                out[i].append(x)
+        m, own = len(counts), [d for d, _ in counts]
+        sizes = np.array([len(w) for w in held])
+        more = [None] * routed  # a row with the batch itself
+        zeros = np.zeros(m + routed, dtype=np.int64)
+        columns = (
+            [doc for doc, _ in ids] + [ids[d][0] for d in own] + more,
+            [row for _, row in ids] + [ids[d][1] for d in own] + more,
+            [b" %d" % row for _, row in ids] + [w for _, w in counts] + [flat.tobytes()] * routed,
+            np.concatenate([np.zeros(len(ids), np.int64), np.fromiter(counts.values(), np.int64, m), zeros[:routed]]),
+            np.concatenate([sizes, zeros]),
+            np.concatenate([known, zeros]),
+            np.concatenate([base - sizes * floor, zeros.astype(np.float64)]),
+            np.concatenate([total, zeros.astype(np.float64)]),
+            [None] * (len(ids) + m) + [uuid.uuid4().hex] * routed,
+            [None] * (len(ids) + m) + [[r for _, r in ids]] * routed,
+            [None] * (len(ids) + m) + [sizes.tolist()] * routed,
+        )
         kinds = (batch.schema.field(0).type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["key", "row", "token", "tf", "size", "known", "base", "score", "batch", "rows", "sizes"])
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["key", "row", "token", "tf", "size", "known", "base", "score", "batch", "rows", "sizes"])
 
     parts = rows.mapInArrow(score, PARTS.format(kind))
     none = F.lit(None)
