@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insertframe.operators import order_qc, rollup, sequencing_qc
-from insertframe.operators.library import Library, Project
+from insertframe.operators.library import Library, Project, load
 from insertframe.sources import genbank, reads, tables
 
 
@@ -36,6 +36,7 @@ def main(argv: list[str] | None = None) -> None:
     for name in ("order-qc", "sequencing-qc"):
         c = sub.add_parser(name)
         c.add_argument("--library", required=True)
+        c.add_argument("--project", help="JSON5 of a project; else the library's first vectors, set and profile")
         c.add_argument("--order", required=name == "order-qc")
         c.add_argument("--ground-truth")
         c.add_argument("--heavy-vector")
@@ -58,14 +59,15 @@ def main(argv: list[str] | None = None) -> None:
             for role, f in sorted(genbank.roles([x.asDict() for x in r["features"]]).items()):
                 print(f"  {role:16} {f['start']}..{f['end']}  {f['name'] or ''}")
         return
-    library = Library.from_json5("\n".join(r["value"] for r in spark.read.text(args.library, wholetext=True).collect()))
-    project = Project.ad_hoc(library, args.heavy_vector, args.overhang_set)
+    library = load(spark, args.library, Library)
+    project = load(spark, args.project, Project) if args.project else Project.ad_hoc(library, args.heavy_vector, args.overhang_set)
+    overrides = project.overrides_frame(spark) if project.overrides else None
     if project.overhang_set not in library.overhang_sets:
         raise SystemExit(f"overhang set '{project.overhang_set}' not found")
     truth = _panel(spark, args.ground_truth)
     order = tables.read_id_sequence(spark, args.order) if args.order else None
     if args.command == "order-qc":
-        verdicts = order_qc.run(order, library, project, truth, has_overhangs=not args.no_overhangs).persist()
+        verdicts = order_qc.run(order, library, project, truth, overrides, not args.no_overhangs).persist()
         verdicts.select("record_id", "ab_id", "chain_class", "kind", "reason").show(100, truncate=60)
         rolled = rollup.rollup_order(verdicts).agg(F.count_if("passed").alias("p"), F.count("*").alias("n")).first()
         print(f"Antibodies: {rolled['p']} of {rolled['n']} pass all chains")
@@ -73,7 +75,7 @@ def main(argv: list[str] | None = None) -> None:
     else:
         cores = order_qc.order_cores(order, library, project, not args.no_overhangs) if order is not None else None
         mode = "partial_sanger" if args.partial_sanger else "full"
-        verdicts = sequencing_qc.run(reads.read(spark, args.reads), library, project, cores, truth, mode).persist()
+        verdicts = sequencing_qc.run(reads.read(spark, args.reads), library, project, cores, truth, mode, overrides).persist()
         verdicts.select("record_id", "ab_id", "chain_class", "kind", "backbone_vector", "reason").show(100, truncate=60)
         _write(verdicts, rollup.READ_COLUMNS, args, reads=verdicts)
 

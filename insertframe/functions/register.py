@@ -7,16 +7,15 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from insertframe.functions import kernels
-from insertframe.functions.seq import AMINO_ACIDS, BASES
+from insertframe.functions.seq import AMINO_ACIDS, BASES, FAMILIES
 
 _CLEAN = "upper(regexp_replace(s, '[^A-Za-z]', ''))"
-_FAMILY = "'CT,L,GT,V,TC,S,CC,P,AC,T,GC,A,CG,R,GG,G'"
+_FAMILY = "map(" + ", ".join(f"'{pair}', '{amino}'" for pair, amino in FAMILIES.items()) + ")"
 _AT = "(instr('{b}', substr(c, {i}, 1)) - 1)"
 _INDEX = " + ".join(f"{16 // 4**i} * {_AT.format(b=BASES, i=i + 1)}" for i in range(3))
 _AMINO = (
     f"CASE WHEN c RLIKE '^[{BASES}]+$' THEN substr('{AMINO_ACIDS}', {_INDEX} + 1, 1) "
-    f"WHEN map_contains_key(str_to_map(regexp_replace({_FAMILY}, '([ACGT]{{2}}),(.)', '$1:$2')), left(c, 2)) "
-    f"THEN str_to_map(regexp_replace({_FAMILY}, '([ACGT]{{2}}),(.)', '$1:$2'))[left(c, 2)] ELSE 'X' END"
+    f"ELSE coalesce(try_element_at({_FAMILY}, left(c, 2)), 'X') END"
 )
 #: Name, parameters and body of each native function.
 NATIVE = {

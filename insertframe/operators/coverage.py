@@ -56,20 +56,20 @@ def statistics(depths: DataFrame, key: str = "ref_id") -> DataFrame:
 
 def chart(depths: DataFrame, columns: int, key: str = "ref_id") -> DataFrame:
     """The largest depth in each of ``columns`` equal stretches."""
-    n = depths.groupBy(key).agg(F.count("*").alias("n"))
-    return depths.join(n, key).groupBy(key, F.floor(F.col("pos") * columns / F.col("n")).cast("int").alias("column")).agg(F.max("depth").alias("depth"))
+    n = F.count("*").over(Window.partitionBy(key))
+    return depths.withColumn("n", n).groupBy(key, F.floor(F.col("pos") * columns / F.col("n")).cast("int").alias("column")).agg(F.max("depth").alias("depth"))
 
 
 def construct(records: DataFrame) -> DataFrame:
     """Facts of assembled constructs (record_id, vector_seq, core, oh5_end, oh3_start): length, insert,
-    GC share, ORF residues before the first stop, and the junction's 22 letters on either side."""
+    the insert's GC share, ORF residues before the first stop, and the junction's 22 letters on either side."""
     whole = seq.assemble(F.col("vector_seq"), F.col("core"), F.col("oh5_end"), F.col("oh3_start"))
     lo = F.greatest(F.col("oh5_end") - 22, F.lit(0))
     return records.select(
         "record_id",
         F.length(whole).alias("total_bp"),
         F.length("core").alias("insert_bp"),
-        seq.gc_fraction(whole).alias("gc"),
+        seq.gc_fraction(F.col("core")).alias("gc"),
         F.length(seq.translate_to_stop(whole)).alias("orf_aa"),
         F.substring(whole, lo + 1, F.col("oh5_end") + 22 - lo).alias("junction"),
     )

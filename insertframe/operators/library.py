@@ -6,7 +6,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from insertframe.functions.seq import CLASS_OF
@@ -78,6 +78,23 @@ class Library:
     def vector(self, id: str | None) -> Vector | None:
         return next((v for v in self.vectors if v.id == id), None)
 
+    def merge_from(self, other: Library) -> list[str]:
+        """Adds another library's vectors, overhang sets and profiles; what is there stays. The settings
+        stay as well. Says which vectors came in under another id than the first of their sequence."""
+        conflicts = []
+        for v in list(other.vectors):
+            first = next((e for e in self.vectors if e.clean == v.clean), None)
+            if first is not None and first.id == v.id:
+                continue
+            if first is not None:
+                conflicts.append(f"vector '{v.id}' has the same sequence as existing '{first.id}'; kept both")
+            self.vectors.append(v)
+        for id, own in other.overhang_sets.items():
+            self.overhang_sets.setdefault(id, own)
+        for id, own in other.profiles.items():
+            self.profiles.setdefault(id, own)
+        return conflicts
+
     @classmethod
     def from_json5(cls, text: str) -> Library:
         raw = parse_json5(text)
@@ -115,11 +132,42 @@ class Library:
 
 @dataclass
 class Project:
-    """What a campaign uses: a vector for each chain class, an overhang set, a naming profile."""
+    """A campaign: a vector for each chain class, an overhang set, a naming profile, its files, and
+    names that override parsed ones, as {record: (ab_id, chain_class)}."""
 
     assignments: dict[str, str] = field(default_factory=dict)
     overhang_set: str = ""
     profile: str = ""
+    name: str = ""
+    created: str = ""
+    description: str = ""
+    ground_truth: dict | None = None
+    order: dict | None = None
+    sequencing: dict | None = None
+    overrides: dict[str, tuple[str, str]] = field(default_factory=dict)
+    schema_version: int = 1
+
+    @classmethod
+    def from_json5(cls, text: str) -> Project:
+        """``name``, ``overhang_set`` and ``vector_assignments`` must be there; the rest has defaults."""
+        raw = parse_json5(text)
+        missing = [k for k in ("name", "overhang_set", "vector_assignments") if k not in raw]
+        if missing:
+            raise ValueError(f"project: no {', '.join(missing)}")
+        files = {"ground_truth": {"format": "", "columns": {}}, "order": {"format": "", "has_overhangs": True}, "sequencing": {"mode": "", "inputs": []}}
+        specs = {k: default | raw[k] if raw.get(k) is not None else None for k, default in files.items()}
+        own = {k: (v["ab_id"], v["chain_class"]) for k, v in raw.get("name_overrides", {}).items()}
+        return cls(dict(raw["vector_assignments"]), raw["overhang_set"], raw.get("naming_profile", "default"), raw["name"], raw.get("created", ""), raw.get("description", ""), *specs.values(), own, raw.get("schema_version", 1))
+
+    def to_json(self) -> str:
+        specs = {k: v for k, v in (("ground_truth", self.ground_truth), ("order", self.order), ("sequencing", self.sequencing)) if v is not None}
+        own = {k: {"ab_id": a, "chain_class": c} for k, (a, c) in sorted(self.overrides.items())}
+        head = {"schema_version": self.schema_version, "name": self.name, "created": self.created, "description": self.description, "naming_profile": self.profile, "overhang_set": self.overhang_set, "vector_assignments": dict(sorted(self.assignments.items()))}
+        return json.dumps(head | specs | {"name_overrides": own}, indent=2, ensure_ascii=False)
+
+    def overrides_frame(self, spark: SparkSession) -> DataFrame:
+        """Rows (record_id, ab_id, chain_class), as ``naming.with_names`` takes them."""
+        return spark.createDataFrame([(k, a, c) for k, (a, c) in self.overrides.items()], "record_id string, ab_id string, chain_class string")
 
     @classmethod
     def ad_hoc(cls, library: Library, heavy_vector: str | None = None, overhang_set: str | None = None) -> Project:
@@ -151,16 +199,28 @@ def first_wins(rows: DataFrame, keys: list[str], idx: str, values: list[str]) ->
 def merge(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Additive merge of (id, sha256, idx, ...): rows to append, and conflicts (id, sha256, existing_id).
 
-    An incoming row of a known hash and id is skipped; of a known hash under a new id it is
-    kept and reported; of a new hash it is appended. Incoming rows count as known for later ones.
+    Each incoming row is held against the first entry of its hash, incoming ones counting for those
+    after them: under the same id it is skipped, under another it is kept and reported; of a new
+    hash it is appended. A first entry is a partial minimum, so no hash gathers its rows.
     """
-    before = Window.partitionBy("sha256").orderBy("__new", "idx").rowsBetween(Window.unboundedPreceding, -1)
-    rows = existing.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
-    seen = rows.withColumn("__first", F.first("id").over(before)).withColumn("__rank", F.row_number().over(Window.partitionBy("sha256", "id").orderBy("__new", "idx")))
-    fresh = seen.filter((F.col("__new") == 1) & (F.col("__rank") == 1))
-    appended = fresh.select(*incoming.columns)
-    conflicts = fresh.filter(F.col("__first").isNotNull()).select("id", "sha256", F.col("__first").alias("existing_id"))
-    return appended, conflicts
+    side = lambda df, new: df.select("sha256", F.struct(F.lit(new).alias("new"), F.col("idx").cast("long").alias("idx"), "id").alias("e"))
+    firsts = side(existing, 0).union(side(incoming, 1)).groupBy("sha256").agg(F.min("e").alias("first"))
+    own = (F.col("first.new") == 1) & (F.col("first.idx") == F.col("idx")) & (F.col("first.id") == F.col("id"))
+    rows = incoming.join(firsts, "sha256").withColumn("own", own).filter(F.col("own") | (F.col("first.id") != F.col("id")))
+    return rows.select(*incoming.columns), rows.filter("not own").select("id", "sha256", F.col("first.id").alias("existing_id"))
+
+
+def load(spark: SparkSession, path: str, kind: type[Library] | type[Project]) -> Library | Project:
+    """A library or a project from a JSON5 file, wherever Spark reads."""
+    return kind.from_json5("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def save(spark: SparkSession, path: str, what: Library | Project) -> None:
+    """Writes a library or a project as one JSON file, wherever Spark writes."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(what.to_json(), "utf-8"))
+    out.close()
 
 
 def vectors_frame(spark: SparkSession, vectors: list[Vector]) -> DataFrame:

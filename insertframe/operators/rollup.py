@@ -93,8 +93,11 @@ def write_csv(verdicts: DataFrame, columns: tuple[str, ...], path: str) -> None:
 COLORS = {"Pass": "#1b7f3b", "Advisory": "#b07a00", "Fail": "#b3261e"}
 
 
-def html_report(title: str, order: DataFrame | None = None, reads: DataFrame | None = None, most: int = 5000) -> str:
-    """A self-contained page of up to ``most`` verdicts of each kind: a report for people."""
+def html_report(title: str, order: DataFrame | None = None, reads: DataFrame | None = None, most: int | None = None) -> str:
+    """A self-contained page of all verdicts, in input order.
+
+    ``most`` limits the rows of each table; the page then says how many there are.
+    """
     esc = lambda x: html.escape("" if x is None else str(x), quote=False)
     out = [f"<!doctype html><meta charset='utf-8'><title>{esc(title)}</title><style>body{{font-family:sans-serif}}td,th{{padding:4px 8px;text-align:left}}</style><h1>{esc(title)}</h1>"]
     for name, df in (("Order QC", order), ("Sequencing QC", reads)):
@@ -104,7 +107,11 @@ def html_report(title: str, order: DataFrame | None = None, reads: DataFrame | N
         if name == "Order QC":
             out.append("<p>" + " ".join(f"<b>{esc(r['kind'])}: {r['n']}</b>" for r in summary(df).collect()) + "</p>")
         out.append("<table><tr><th>Record<th>Antibody<th>Chain<th>Verdict<th>Reason</tr>")
-        for r in df.withColumn("sev", severity(F.col("kind"))).orderBy("record_idx").limit(most).toLocalIterator():
+        rows = df.withColumn("sev", severity(F.col("kind"))).orderBy("record_idx")
+        if most is not None and (total := df.count()) > most:
+            out.insert(-1, f"<p>The first {most} of {total} records.</p>")
+            rows = rows.limit(most)
+        for r in rows.toLocalIterator():
             out.append(f"<tr><td>{esc(r['record_id'])}<td>{esc(r['ab_id'])}<td>{esc(r['chain_class'])}<td style='color:{COLORS[r['sev']]}'>{esc(r['kind'])}<td>{esc(r['reason'])}</tr>")
         out.append("</table>")
     return "\n".join(out)

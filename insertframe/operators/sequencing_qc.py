@@ -8,7 +8,7 @@ substitutions with the panel, distinct proteins once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from insertframe.functions import kernels, seq
@@ -19,6 +19,19 @@ from insertframe.operators.order_qc import _case, panel, truth_protein
 PASSING = ("PASS", "SILENT_VARIANT")
 # Severity ranks of verdicts, worst first.
 RANK = {"WRONG_VECTOR": 7, "EMPTY_VECTOR": 6, "JUNCTION_FRAMESHIFT": 5, "WRONG_INSERT_SWAP": 4, "POINT_MUTATION": 3, "SILENT_VARIANT": 2, "INSUFFICIENT_READ": 1, "PASS": 0}
+
+
+def rank(kind: Column) -> Column:
+    """How bad a verdict on a read is, from 7 for the wrong vector to 0 for a pass."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), kind)
+
+
+def worst(verdicts: DataFrame) -> DataFrame:
+    """Rows (ab_id, kind, rank): each antibody's worst verdict."""
+    r = verdicts.withColumn("rank", rank(F.col("kind")))
+    return r.groupBy("ab_id").agg(F.max(F.struct("rank", "kind")).alias("w")).select("ab_id", "w.kind", "w.rank")
+
+
 MUTATIONS = "array<struct<position_aa:int,wt:string,mut_aa:string>>"
 
 
@@ -175,8 +188,3 @@ def _swaps(df: DataFrame, truth: DataFrame, protein: kernels.Scoring) -> DataFra
     out = df.join(best, (F.col("obs_v") == F.col("s_v")) & (heavy == F.col("s_heavy")), "left")
     return out.withColumn("swap", F.when((F.col("s_id") >= 0.95) & (F.col("s_key") != upper_col(F.col("ab_id"))), F.col("s_key")))
 
-
-def top_by(df: DataFrame, keys: list[str], score: str, ordinal: str) -> DataFrame:
-    """The best row of each key, ties by the ordinal."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), ordinal))
-    return df.withColumn("__r", rank).filter("__r = 1").drop("__r")

@@ -14,12 +14,12 @@ from insertframe.operators import coverage, library, naming, order_qc, rollup, s
 
 ALPHABET, DEALT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC"
 
-# Overhangs of the planted constructs, and a small vector that holds them.
-OH = {"IGH": ("GCTGGGTTTTCCTTGTTGCT", "GCTAGCACCAAGGGCCCATC"), "IGK": ("ATCCTTTTTCTAGTAGCAAC", "CGTACGGTGGCTGCACCATC"), "IGL": ("ATCCTTTTTCTAGTAGCAAC", "GGTCAGCCCAAGGCTGCCCC")}
-LEADER = "ATGGAACTGGGGCTCCGCTGGGTTTTCCTTGTTGCT"
-CONSTANT = "GCTAGCACCAAGGGCCCATCGGTCTTCCCCCTGGCACCCTAA"
-ANCHOR = "ASTKGPSV"
-LANDMARKS = {"v0": "GCTAGCACCAAGGGCCCATC", "v1": "CGTACGGTGGCTGCACCATC", "v2": "GGTCAGCCCAAGGCTGCCCC"}
+# Overhangs of the planted constructs, and a small vector that holds them: letters of our own.
+OH = {"IGH": ("TCGGACTGCATAAGGAACCT", "GATCCGAACTACGTTTGGCA"), "IGK": ("CTAGAACCTTGGAACGTCAT", "TTCAGGACCCATGATCGTAC"), "IGL": ("CTAGAACCTTGGAACGTCAT", "AAGCTCTGGTACCCGATGAA")}
+LEADER = "ATGGCTCAAACCGATT" + OH["IGH"][0]
+CONSTANT = OH["IGH"][1] + "TACCAAAGGCTCTCTGGCATAA"
+ANCHOR = "DPNYVWHT"
+LANDMARKS = {f"v{i}": ends[1] for i, ends in enumerate(OH.values())}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -280,9 +280,8 @@ def core_lookup(spark, d):
 
 @query("""WITH e AS (SELECT 'P' || p_partkey % 700 AS id, sha256(p_brand || p_size) AS h, 0 AS new, p_partkey AS idx FROM part WHERE p_partkey % 2 = 0),
 i AS (SELECT 'P' || p_partkey % 900 AS id, sha256(p_brand || p_size) AS h, 1 AS new, p_partkey AS idx FROM part WHERE p_partkey % 2 = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY h, id ORDER BY new, idx) AS rk, first_value(id) OVER (PARTITION BY h ORDER BY new, idx) AS f FROM (SELECT * FROM e UNION ALL SELECT * FROM i)),
-q AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY new, idx) AS n FROM (SELECT * FROM e UNION ALL SELECT * FROM i))
-SELECT r.id, r.h AS sha256, r.idx, CASE WHEN q.n > 1 THEN r.f END AS existing_id FROM r JOIN q ON r.h = q.h AND r.id = q.id AND r.idx = q.idx AND r.new = q.new WHERE r.new = 1 AND r.rk = 1""")
+f AS (SELECT h, min((new, idx, id)) AS first FROM (SELECT * FROM e UNION ALL SELECT * FROM i) GROUP BY h)
+SELECT i.id, i.h AS sha256, i.idx, CASE WHEN first[3] <> i.id THEN first[3] END AS existing_id FROM i JOIN f USING (h) WHERE first[3] <> i.id OR (first[1] = 1 AND first[2] = i.idx)""")
 def library_merge(spark, d):
     p = _table(spark, d, "part")
 
@@ -290,7 +289,7 @@ def library_merge(spark, d):
         return p.filter(F.col("p_partkey") % 2 == odd).select(F.concat(F.lit("P"), (F.col("p_partkey") % ids).cast("string")).alias("id"), F.sha2(F.concat(F.col("p_brand"), F.col("p_size").cast("string")), 256).alias("sha256"), F.col("p_partkey").alias("idx"))
 
     appended, conflicts = library.merge(side(0, 700), side(1, 900))
-    return appended.join(conflicts, ["id", "sha256"], "left").select("id", "sha256", "idx", "existing_id")
+    return appended.join(conflicts.distinct(), ["id", "sha256"], "left").select("id", "sha256", "idx", "existing_id")
 
 
 # ---- rollups --------------------------------------------------------------------------------
@@ -421,13 +420,13 @@ def coverage_chart(spark, d):
     return coverage.chart(_depths(spark, d), 20, "item_id")
 
 
-@query(f"""SELECT doc_id AS record_id, length(w) AS total_bp, length(s) AS insert_bp, length(split_part({_sql_translate('w')}, '*', 1)) AS orf_aa, substr(w, {len(LEADER) - 22 + 1}, 44) AS junction
+@query(f"""SELECT doc_id AS record_id, CASE WHEN s = '' THEN 0.0::double ELSE round(length(regexp_replace(s, '[^GC]', '', 'g')) / length(s)::double, 6) END AS gc, length(w) AS total_bp, length(s) AS insert_bp, length(split_part({_sql_translate('w')}, '*', 1)) AS orf_aa, substr(w, {len(LEADER) - 22 + 1}, 44) AS junction
 FROM (SELECT doc_id, s, '{LEADER}' || s || '{CONSTANT}' AS w FROM (SELECT doc_id, {NT} AS s FROM documents))""")
 def construct_facts(spark, d):
     n = len(LEADER)
     rows = _docs(spark, d).select(F.col("doc_id").alias("record_id"), F.lit(LEADER + CONSTANT).alias("vector_seq"), F.col("nt").alias("core"), F.lit(n).alias("oh5_end"), F.lit(n).alias("oh3_start"))
-    out = coverage.construct(rows).drop("gc")
-    return out.select("record_id", *[F.col(c).cast("long").alias(c) for c in ("total_bp", "insert_bp", "orf_aa")], "junction")
+    out = coverage.construct(rows)
+    return out.select("record_id", F.round("gc", 6).alias("gc"), *[F.col(c).cast("long").alias(c) for c in ("total_bp", "insert_bp", "orf_aa")], "junction")
 
 
 # ---- whole gates ----------------------------------------------------------------------------
@@ -505,6 +504,3 @@ def panel_swap(spark, d):
     moved = reads.withColumn("record_id", F.concat(F.lit("ab"), (F.col("record_idx") + 6).cast("string"), F.lit("_heavy")))
     return sequencing_qc.run(moved, lib, project, cores, truth).select("record_idx", "ab_id", "kind", "suspected_identity")
 
-
-QUERIES["order_qc"] = order_qc_verdicts
-ORACLES["order_qc"] = _ORDER_SQL

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from insertframe.functions.seq import clean
-from insertframe.sources import abif
+from insertframe.sources import abif, genbank, tables
 from insertframe.sources.tables import EXTENSIONS, format_of, read_id_sequence
 
 
@@ -20,18 +20,30 @@ def read(spark: SparkSession, path: str, declared: str = "") -> DataFrame:
     if format_of(path, declared) != "ab1":
         return read_id_sequence(spark, path, declared)
     good = abif.read(spark, path).filter("error is null")
-    from pyspark.sql import Window
+    # names alone meet in one task, not the sequences
+    number = (F.row_number().over(Window.orderBy("source_file")) - 1).cast("long").alias("record_idx")
+    return good.join(good.select("source_file").distinct().select("source_file", number), "source_file").select("record_id", clean(F.col("bases")).alias("sequence"), "source_file", "record_idx")
 
-    # one row per trace file
-    return good.select("record_id", clean(F.col("bases")).alias("sequence"), "source_file", (F.row_number().over(Window.orderBy("source_file")) - 1).cast("long").alias("record_idx"))
+
+def unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (source_file, error): the folder's traces, workbooks and GenBank files that reading leaves out."""
+    at = lambda kind: f"{folder.rstrip('/')}/*.{{{','.join(e for e, f in EXTENSIONS.items() if f == kind)}}}"
+    there = set(_kinds(spark, folder))
+    parts = [find(spark, at(kind)).filter("error is not null").select("source_file", "error") for kind, find in (("ab1", abif.read), ("genbank", genbank.read), ("xlsx", tables.errors)) if kind in there]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "source_file string, error string")
+
+
+def _kinds(spark: SparkSession, folder: str) -> list[str]:
+    """The formats of a folder's files."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)]
+    return sorted({EXTENSIONS[n.rsplit(".", 1)[-1].lower()] for n in names if n.rsplit(".", 1)[-1].lower() in EXTENSIONS})
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """All reads of a folder, by format; records of later formats are numbered after earlier ones."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    names = sorted(s.getPath().getName() for s in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root))
-    kinds = sorted({EXTENSIONS[n.rsplit(".", 1)[-1].lower()] for n in names if n.rsplit(".", 1)[-1].lower() in EXTENSIONS} - {"genbank"})
+    """All reads of a folder, by format; records of later formats are numbered after earlier ones.
+    Files that can't be read are left out; ``unreadable`` names them."""
+    kinds = [k for k in _kinds(spark, folder) if k != "genbank"]
     parts = []
     for k, kind in enumerate(kinds):
         own = ",".join(e for e, f in EXTENSIONS.items() if f == kind)

@@ -55,7 +55,8 @@ def find_column(headers: list[str], names: tuple[str, ...]) -> str | None:
 def _numbered(df: DataFrame) -> DataFrame:
     """Adds record_idx over (source_file, place): places of a file after those of earlier files.
 
-    File sizes are summed per file (few rows) before the places are shifted by them.
+    File sizes are summed per file before the places are shifted by them: a row per file, the
+    only thing that meets in one task.
     """
     sizes = df.groupBy("source_file").agg(F.max("place").alias("m"))
     before = F.coalesce(F.sum(F.col("m") + 1).over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -64,13 +65,25 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Records after each ``>``: the first word is the id (may be empty), the lines are joined."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.regexp_replace("value", "\r", "").alias("value"))
-    parts = F.slice(F.split(F.concat(F.lit("\n"), "value"), "\n>", -1), 2, 1 << 30)
-    rows = files.select("source_file", F.posexplode(parts).alias("place", "part"))
+    """Records after each ``>``: the first word is the id (may be empty), the lines are joined.
+
+    The reader splits at line ends before a ``>``, so a file of any size is read by many tasks.
+    Numbers follow the stretches of the files that tasks read: a row per stretch is summed up.
+    """
+    meta = F.col("_metadata")
+    parts = spark.read.option("lineSep", "\n>").text(path).select(meta["file_path"].alias("source_file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", "\r", "").alias("part"))
+    # rows of a stretch are numbered one after another; a row per stretch
+    blocks = parts.groupBy("source_file", "block").agg(F.min("n").alias("first"), F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("source_file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = F.min("block").over(Window.partitionBy("source_file"))
+    shift = blocks.select("source_file", "block", "first", (before - F.col("first")).alias("shift"), (F.col("block") == start).alias("top"))
+    rows = parts.join(shift, ["source_file", "block"])
+    # what a file begins with is a record only if it begins with its mark
+    head_row = F.col("top") & (F.col("n") == F.col("first"))
+    rows = rows.filter(~head_row | F.col("part").startswith(">")).withColumn("part", F.when(head_row, F.substring(F.col("part"), F.lit(2), F.length("part"))).otherwise(F.col("part")))
     head = F.substring_index("part", "\n", 1)
     body = F.substring(F.col("part"), F.length(head) + 2, F.length("part"))
-    return _numbered(rows.select(F.regexp_extract(head, r"^\s*(\S*)", 1).alias("record_id"), clean(body).alias("sequence"), "source_file", "place"))
+    return rows.select(F.regexp_extract(head, r"^\s*(\S*)", 1).alias("record_id"), clean(body).alias("sequence"), "source_file", (F.col("n") + F.col("shift")).cast("long").alias("record_idx"))
 
 
 def read_headers(spark: SparkSession, path: str) -> list[str]:
@@ -86,22 +99,32 @@ def _raw_table(spark: SparkSession, path: str, kind: str) -> tuple[list[str], Da
         rows = df.select(F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("place"), cells.alias("cells"))
         return headers, rows
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "content")
-    table = files.mapInPandas(_sheets, "source_file string, place long, names array<string>, row array<string>")
+    table = files.mapInPandas(_sheets, "source_file string, place long, names array<string>, row array<string>, error string").filter("error is null")
     first = table.filter("place = 0").limit(1).collect()
     headers = list(first[0]["names"]) if first else []
     cells = F.map_from_arrays("names", "row")
     return headers, table.filter("size(row) > 0").select("source_file", "place", cells.alias("cells"))
 
 
+def errors(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (source_file, error): the workbooks that can't be read, which reading leaves out."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "content")
+    return files.mapInPandas(_sheets, "source_file string, place long, names array<string>, row array<string>, error string").filter("error is not null").select("source_file", "error")
+
+
 def _sheets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["source_file"], pdf["content"]):
-            rows = sheet_rows(content)
+            try:
+                rows = sheet_rows(content)
+            except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError) as e:
+                yield pd.DataFrame({"source_file": [path], "place": [0], "names": [[]], "row": [[]], "error": [f"not a workbook: {e}"]})
+                continue
             names = list(dict.fromkeys(rows[0])) if rows else []
             at = [rows[0].index(n) for n in names] if rows else []
             body = [[r[i] if i < len(r) else "" for i in at] for r in rows[1:]]
             n = max(len(body), 1)
-            yield pd.DataFrame({"source_file": [path] * n, "place": range(n), "names": [names] * n, "row": body or [[]]})
+            yield pd.DataFrame({"source_file": [path] * n, "place": range(n), "names": [names] * n, "row": body or [[]], "error": [None] * n})
 
 
 def sheet_rows(content: bytes) -> list[list[str]]:

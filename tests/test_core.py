@@ -3,12 +3,13 @@
 import random
 import struct
 import zipfile
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from insertframe.functions import kernels, seq
-from insertframe.operators import coverage, library, naming, order_qc, rollup, sequencing_qc
+from insertframe.operators import constructs, coverage, library, naming, order_qc, rollup, sequencing_qc
 from insertframe.plans.queries import ANCHOR, CONSTANT, LANDMARKS, LEADER, OH, _planted
 from insertframe.sources import abif, genbank, json5, plain, tables
 
@@ -234,8 +235,57 @@ def test_library_and_json5(spark):
     known = spark.createDataFrame([("a", "h1", 0)], "id string, sha256 string, idx int")
     new = spark.createDataFrame([("a", "h1", 0), ("b", "h1", 1), ("a", "h2", 2), ("b", "h1", 3)], "id string, sha256 string, idx int")
     appended, conflicts = library.merge(known, new)
-    assert {tuple(r) for r in appended.collect()} == {("b", "h1", 1), ("a", "h2", 2)}
-    assert [tuple(r) for r in conflicts.collect()] == [("b", "h1", "a")]
+    assert {tuple(r) for r in appended.collect()} == {("b", "h1", 1), ("a", "h2", 2), ("b", "h1", 3)}
+    assert [tuple(r) for r in conflicts.collect()] == [("b", "h1", "a")] * 2
+    # an id that a later entry of the hash has is still another one than the first's
+    known = spark.createDataFrame([("a", "h", 0), ("b", "h", 1)], "id string, sha256 string, idx int")
+    assert library.merge(known, spark.createDataFrame([("b", "h", 0)], known.schema))[1].count() == 1
+    other = library.Library.from_json5(text.replace('id: "s"', 'id: "t"'))
+    vectors = [*lib.vectors]
+    assert lib.merge_from(other) == [] and lib.vectors == vectors and set(lib.overhang_sets) == {"s", "t"}
+    renamed = library.Library([replace(vectors[0], id="w"), replace(vectors[0], id="u", sequence="TT")])
+    assert len(lib.merge_from(renamed)) == 1 and [v.id for v in lib.vectors[len(vectors) :]] == ["w", "u"]
+
+
+def test_project_files(spark, tmp_path):
+    text = """{name: "n", overhang_set: "s", vector_assignments: {heavy: "v0"}, order: {file: "o.fasta"},
+      name_overrides: {"x 1": {ab_id: "X", chain_class: "heavy"}}}"""
+    p = library.Project.from_json5(text)
+    assert p.profile == "default" and p.order == {"file": "o.fasta", "format": "", "has_overhangs": True} and p.sequencing is None and p.schema_version == 1
+    library.save(spark, str(tmp_path / "p.json"), p)
+    assert library.load(spark, str(tmp_path / "p.json"), library.Project) == p
+    named = naming.with_names(spark.createDataFrame([("x 1",), ("y_kappa",)], "record_id string"), overrides=p.overrides_frame(spark))
+    assert {(r["ab_id"], r["chain_class"]) for r in named.collect()} == {("X", "heavy"), ("y", "kappa")}
+    with pytest.raises(ValueError):
+        library.Project.from_json5("{name: 'n'}")
+
+
+def test_constructs(spark):
+    lib, project = _planted()
+    v = lib.vectors[0]
+    h = OH["IGH"]
+    order = records(spark, ("Ab1_heavy", h[0] + CORE + h[1]), ("Ab1_heavy", "ACGT"), ("ab2_light", h[0] + CORE + h[1]), ("ab3_heavy", CORE))
+    verdicts = order_qc.run(order, lib, project)
+    built = constructs.build_construct(verdicts, order, lib, project)
+    rows = {(r["record_id"], r["core"]) for r in built.collect()}
+    # both verdicts of a repeated id show its first record; light chains go by their overhangs
+    assert rows == {("Ab1_heavy", CORE), ("ab2_light", CORE)} and built.count() == 3
+    spans = {(r["name"], r["start"], r["end"]) for r in constructs.features(built, lib).collect()}
+    region = v.features["constant_region"]
+    assert spans == {("insert", v.oh5_end, v.oh5_end + len(CORE)), ("constant region", region["start"] - 1 + len(CORE), region["end"] + len(CORE))}
+    f = constructs.facts(built).first()
+    assert f["gc"] == sum(c in "GC" for c in CORE) / len(CORE) and f["total_bp"] == len(v.clean) + len(CORE)
+    whole = seq_whole(lib, CORE)
+    # the last record of an antibody and class is its core: of Ab1's two, that with overhangs
+    reads = records(spark, ("AB1_heavy", whole[10:100]), ("ab1_kappa", whole[50:90]), ("ab9_heavy", whole))
+    depth = {r["pos"]: r["depth"] for r in constructs.coverage_for(verdicts, order, reads, lib, project).collect()}
+    assert len(depth) == len(whole) and [depth[i] for i in (9, 10, 60, 95, 100)] == [0, 1, 2, 1, 0]
+    assert constructs.coverage_for(verdicts, order, reads.filter("false"), lib, project).count() == 0
+
+
+def test_severity_of_reads(spark):
+    v = spark.createDataFrame([("a", "PASS"), ("a", "EMPTY_VECTOR"), ("b", "SILENT_VARIANT")], "ab_id string, kind string")
+    assert {tuple(r) for r in sequencing_qc.worst(v).collect()} == {("a", "EMPTY_VECTOR", 6), ("b", "SILENT_VARIANT", 2)}
 
 
 GB = '''LOCUS       tiny                      24 bp    DNA     circular SYN

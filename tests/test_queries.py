@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from insertframe.plans import io_queries  # noqa: F401  (registers its queries)
 from insertframe.plans.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
