@@ -38,21 +38,21 @@ SPACE, OTHER = 0, 1
 DENSE = 64 << 20
 
 
-@functools.lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
+@functools.lru_cache(maxsize=2)
+def _letters(kinds: str = "LM") -> np.ndarray:
     """Which code points of the basic plane are letters or marks."""
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x10000)])
+    return np.array([unicodedata.category(chr(c))[0] in kinds for c in range(0x10000)])
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _is_letter(codes: np.ndarray) -> np.ndarray:
-    found = _letters()[np.minimum(codes, 0xFFFF)]
+def _is_letter(codes: np.ndarray, kinds: str = "LM") -> np.ndarray:
+    found = _letters(kinds)[np.minimum(codes, 0xFFFF)]
     high = codes > 0xFFFF
     if high.any():
-        found[high] = [unicodedata.category(chr(c))[0] in "LM" for c in codes[high]]
+        found[high] = [unicodedata.category(chr(c))[0] in kinds for c in codes[high]]
     return found
 
 
@@ -171,8 +171,9 @@ class Parser:
     def symbols(self, text: str) -> np.ndarray:
         """The symbols of a text, runs of spaces as one; empty if it has no letter."""
         codes = _codes(text)
-        if not len(codes):
-            return codes.astype(self.lut.dtype)
+        # marks alone are no letters
+        if not _is_letter(codes, "L").any():
+            return np.zeros(0, dtype=self.lut.dtype)
         out = self.lut[np.minimum(codes, 0xFFFF)]
         high = codes > 0xFFFF
         if high.any():
@@ -184,7 +185,7 @@ class Parser:
         keep = np.ones(len(out), dtype=bool)
         keep[1:] = (out[1:] != SPACE) | (out[:-1] != SPACE)
         out = out[keep]
-        return out if (out != SPACE).any() else out[:0]
+        return out
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """How many phrases each text takes in each language (texts, languages)."""

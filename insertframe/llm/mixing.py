@@ -25,6 +25,7 @@ result is empty.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,11 +93,12 @@ def _largest_eigenvalue(m: list[list[float]]) -> float:
     return size
 
 
-def fit_rates(members: DataFrame, targets: list[float], stage: Stage, budget: float | None = None, tolerance: float = 1e-4, max_steps: int = 64, chain: int = 16) -> tuple[DataFrame, list[float], list[float]]:
+def fit_rates(members: DataFrame, targets: list[float], stage: Stage, budget: float | None = None, tolerance: float = 1e-4, max_steps: int = 64, chain: int = 16, strict: bool = False) -> tuple[DataFrame, list[float], list[float]]:
     """``members`` with a column ``rate``; the domain tokens reached, and those wanted.
 
     A chain of steps is one generated expression over the members; every ``chain`` steps the
-    rates so far are written down.
+    rates so far are written down. Targets that are not met after ``max_steps`` are warned of,
+    or raise if ``strict``: where no rates can meet them, the fit is the nearest.
     """
     k = len(targets)
     p = [F.col(f"p{i}") for i in range(k)]
@@ -124,6 +126,12 @@ def fit_rates(members: DataFrame, targets: list[float], stage: Stage, budget: fl
             current = stage.put(current.withColumn("rate", rate), f"rates-{t}")
             stage.drop(f"rates-{t - chain}")
             rate = F.col("rate")
+    worst = max(abs(x - y) for x, y in zip(reached, wanted)) / budget if budget else 0.0
+    if worst > tolerance:
+        said = f"mixing: after {max_steps} steps a domain is {worst:.2g} of the budget off its target"
+        if strict:
+            raise RuntimeError(said)
+        warnings.warn(said, stacklevel=2)
     return current.withColumn("rate", rate), reached, wanted
 
 

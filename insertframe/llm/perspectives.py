@@ -7,8 +7,11 @@ assistant's contents with their end marks, the text that a model is to learn.
 
 Turns are ordered by (turn, speaker, text), nulls first, repeated rows kept. A rendering is
 a row per (conversation, participant, part): part k holds the turns numbered
-``part_turns * k`` to ``part_turns * (k + 1) - 1``, so no row grows with the length of a
-conversation; a null turn counts as turn 0. Rows without a conversation are no
+``part_turns * k`` to ``part_turns * (k + 1) - 1``, and each part after the one with the dialogue's
+first system turn begins with that turn again, which ``n_turns`` doesn't count; mask spans are
+those of the part's rendering. So a row grows with the turns that share a number, not with the
+conversation. Null turns lie in part 0; if there are more than ``part_turns`` of them, they are
+dealt by hash to the parts -1, -2, ... (equal rows to one). Rows without a conversation are no
 conversation's and are left out; a null speaker is a participant named ``unknown``; null
 text is empty. A participant without a turn in some part gets that part too, with an empty
 mask. Conversations of system turns alone have no participant and so no rendering. An empty
@@ -47,20 +50,26 @@ def rotate(
     The dialogue is gathered once per part, and its participants are joined to it, so the
     texts are shuffled once whatever the number of participants.
     """
-    at = F.coalesce(F.col(turn).cast("long"), F.lit(0))
+    t, who = F.col(turn).cast("long"), F.coalesce(F.col(speaker).cast("string"), F.lit("unknown"))
+    said = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = turns.filter(F.col(conversation).isNotNull()).select(
         F.col(conversation).alias("c"),
-        F.floor(at / part_turns).cast("long").alias("part"),
-        F.struct(
-            F.col(turn).cast("long").alias("turn"),
-            F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")).alias("who"),
-            F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-        ).alias("t"),
+        F.floor(F.coalesce(t, F.lit(0)) / part_turns).cast("long").alias("part"),
+        F.when(t.isNull(), F.shiftrightunsigned(F.xxhash64(who, said), 44)).alias("sub"),
+        F.struct(t.alias("turn"), who.alias("who"), said.alias("text")).alias("t"),
     )
     is_system = F.col("t.who").isin(*system_speakers)
-    people = rows.groupBy("c").agg(F.array_sort(F.collect_set(F.when(~is_system, F.col("t.who")))).alias("people"))
-    parts = rows.groupBy("c", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    sides = parts.join(people, "c").select("c", "part", "turns", F.explode("people").alias("me"))
+    people = rows.groupBy("c").agg(
+        F.array_sort(F.collect_set(F.when(~is_system, F.col("t.who")))).alias("people"),
+        F.min(F.when(is_system, F.struct("t", "part", "sub"))).alias("system"),
+        F.ceil(F.count("sub") / part_turns).alias("spread"),
+    )
+    dealt = lambda part, sub: F.when(sub.isNotNull() & (F.col("spread") > 1), -1 - F.pmod(sub, F.greatest(F.col("spread"), F.lit(1)))).otherwise(part)
+    lists = rows.groupBy("c", "part", "sub").agg(F.collect_list("t").alias("turns")).join(people, "c")
+    # lists of a conversation are together after the join: no further shuffle
+    parts = lists.groupBy("c", dealt(F.col("part"), F.col("sub")).alias("part"), "people", dealt(F.col("system.part"), F.col("system.sub")).alias("from"), F.col("system.t").alias("system")).agg(F.sort_array(F.flatten(F.collect_list("turns"))).alias("turns"))
+    again = F.when(F.col("from") < F.col("part"), F.array("system")).otherwise(F.slice("turns", 1, 0))
+    sides = parts.select("c", "part", F.size("turns").alias("n"), F.concat(again, "turns").alias("turns"), F.explode("people").alias("me"))
 
     def piece(t: Column) -> Column:
         mine, system = t["who"] == F.col("me"), t["who"].isin(*system_speakers)
@@ -81,11 +90,11 @@ def rotate(
         span = F.struct(begin.alias("start"), end.alias("end"))
         return F.struct((end + 1).alias("at"), F.when(p["mine"], F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
 
-    return sides.select("c", "part", "me", F.transform("turns", piece).alias("p")).select(
+    return sides.select("c", "part", "n", "me", F.transform("turns", piece).alias("p")).select(
         F.col("c").alias(conversation),
         F.col("me").alias("participant"),
         "part",
-        F.size("p").cast("long").alias("n_turns"),
+        F.col("n").cast("long").alias("n_turns"),
         F.size(F.filter("p", lambda x: x["mine"])).cast("long").alias("n_own"),
         F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], F.lit("\n"))), "").alias("rendering"),
         F.aggregate("p", start, step, lambda a: a["spans"]).alias("mask"),

@@ -118,6 +118,29 @@ def test_mixing(spark, docs, odd, empty):
     assert mixing.mix(empty, labels, mixing.TARGETS).count() == 0
 
 
+def test_mixing_against_brute_force(spark, docs):
+    """Every rate is that of the same projected steps over all rows in one array."""
+    labels = mixing.domains_of(spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = mixing.mix(docs, labels, mixing.TARGETS, tolerance=1e-4, chain=3).collect()
+    names = sorted(mixing.TARGETS)
+    n = np.array([r["n_tokens"] for r in rows], float)
+    p = np.array([[r[f"p_{d}"] for d in names] for r in rows])
+    wanted = n.sum() * np.array([mixing.TARGETS[d] for d in names]) / sum(mixing.TARGETS.values())
+    a = (p * n[:, None]).T @ p
+    weight = 1 / np.diag(a)
+    step = 1 / np.linalg.eigvalsh(np.sqrt(np.outer(weight, weight)) * a)[-1]
+    rate = np.ones(len(rows))
+    for _ in range(63):
+        off = (rate * n) @ p - wanted
+        if np.abs(off).max() <= 1e-4 * n.sum():
+            break
+        rate = np.maximum(0, rate - p @ (step * weight * off))
+    assert np.allclose(rate, [r["rate"] for r in rows], atol=1e-6)
+    assert abs(np.abs((rate * n) @ p - wanted).max() / n.sum()) < 1e-3
+    with pytest.raises(RuntimeError):
+        mixing.mix(docs, labels, {"clean": 0.0, "low": 0.0, "toxic": 1.0}, max_steps=2, strict=True)
+
+
 # ---------------------------------------------------------------------------------- op3
 
 def test_perspectives(spark):
@@ -134,6 +157,30 @@ def test_perspectives(spark):
     assert perspectives.rotate(df.filter("false")).count() == 0
 
 
+def test_perspectives_of_long_dialogues(spark, tmp_path):
+    """Each part of 300 turns has the system turn; the SQL agrees; many null turns are dealt out."""
+    rows = [(1, i, ("system", "anna", "bo")[1 + i % 2 if i else 0], f"turn {i}") for i in range(300)] + [(2, i, "anna" if i != 260 else "system", f"x{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["participant"], r["part"]): r for r in perspectives.rotate(df).collect()}
+    head = "<|im_start|>system\nturn 0<|im_end|>\n"
+    for who in ("anna", "bo"):
+        for part in (0, 1):
+            r = got[1, who, part]
+            assert r["rendering"].startswith(head) and r["rendering"].count("<|im_start|>system") == 1 and r["n_turns"] == (256, 44)[part]
+            assert all(r["rendering"][s["start"] : s["end"]].startswith("turn ") for s in r["mask"])
+    # a system turn goes into the parts after its own
+    assert ["system\nx260" in got[2, "anna", k]["rendering"] for k in (0, 1, 2)] == [False, True, True]
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    own = registry.op3_chat_perspectives(spark, str(tmp_path))
+    columns = sorted(own.columns)
+    assert sorted(tuple(r[c] for c in columns) for r in own.collect()) == sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({registry.ORACLES['op3_chat_perspectives']})").fetchall())
+    nulls = spark.createDataFrame([(1, None, "anna", f"n{i}") for i in range(1500)] + [(1, 5, "bo", "z")], df.schema)
+    parts = {r["part"]: r["n_turns"] for r in perspectives.rotate(nulls).filter("participant = 'bo'").collect()}
+    assert sum(parts.values()) == 1501 and parts[0] == 1 and len(parts) == 7 and max(parts.values()) < 400
+
+
 # ---------------------------------------------------------------------------------- op4
 
 def test_lm_scoring(spark, docs, texts, odd, empty):
@@ -613,6 +660,13 @@ def test_language(spark, odd, empty):
     assert langid.normal("Été,  2 cafés!") == "été cafés "
 
 
+def test_language_marks_alone(spark):
+    """A text of combining marks and no letter is undetermined."""
+    docs = spark.createDataFrame([(i, "the cat sat on the mat", "en") for i in range(12)] + [(20, "\u0301\u0301 \u0300", "en"), (21, "e\u0301", "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, langid.train(docs)).collect()}
+    assert got[20] == ("und", 0.0) and got[21][0] == "en"
+
+
 def test_language_many_letters_and_languages(spark):
     """Every letter has a symbol, above the basic plane too, and every language is learned."""
     rng = random.Random(4)
