@@ -70,7 +70,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Hashes of tokens, the latest ones remembered."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         self.seen: dict[bytes, int] = {}
         self.most = most
 
@@ -429,7 +429,7 @@ def all_grams(hashes: list[np.ndarray], end: np.uint64, order: int) -> np.ndarra
 
 
 #: Tokens of texts that are scored at once.
-BATCH = 200_000
+BATCH = 150_000
 #: Columns of what a task makes of its texts; batches of token hashes only where probes are routed.
 PARTS = "key {}, row long, token binary, tf long, size long, known long, base double, score double, batch string, rows array<long>, sizes array<long>"
 
