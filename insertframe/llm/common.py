@@ -88,6 +88,8 @@ class Stage:
     """Tables written to the shared folder to cut lineage; lost executors lose none of them.
 
     ``drop`` removes one that nothing reads any more; what is left goes when Python ends.
+    A table once written, the shuffles that made it are dead, but Spark keeps their files until the
+    driver collects its garbage: ``release`` asks it to.
     """
 
     def __init__(self, spark: SparkSession, what: str):
@@ -99,6 +101,9 @@ class Stage:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
