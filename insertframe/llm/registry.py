@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 import corpus_pipeline
 
-from . import bloomlm, decontaminate, langid, linededup, mixing, perspectives, pii, quality, simhash, sql, toxicity
+from . import bloomlm, bpe, convrepair, decontaminate, langid, linededup, mixing, perspectives, pii, quality, simhash, sql, toxicity
 from .common import Stage, fold, table
 
 
@@ -66,6 +68,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs)).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return convrepair.report(turns, convrepair.damage(turns))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.load(public_tokenizers.path("word_bpe_49k.json"))
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "ids")
+    return bpe.decode_documents(encoded, vocabulary).select("doc_id", bpe.count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
@@ -77,6 +90,8 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_bpe": op12_bpe,
     "pipeline": corpus_pipeline.run,
 }
 
