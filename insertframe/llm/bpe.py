@@ -33,18 +33,18 @@ import json
 import re
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, unused
 
 #: Entries that the tables of pairs and of words hold at most.
 PAIRS, WORDS = 1 << 20, 1 << 18
@@ -309,36 +309,56 @@ def _of(kind, vocabulary: Vocabulary):
     return _made[key]
 
 
-def _columns(spark: SparkSession, vocabulary: Vocabulary):
-    """Functions from text to packed ids and back, as column functions."""
-    ship(spark)
-    sent = spark.sparkContext.broadcast(vocabulary)
+#: Rows that are Python objects at a time.
+ROWS = 256
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def _in_slices(batches: Iterator[pa.Array], work: Callable[[list], pa.Array]) -> Iterator[pa.Array]:
+    """A batch may hold 10,000 texts: its rows become objects, and results go, a slice at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield work(batch.slice(at, ROWS).to_pylist())
+
+
+def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
+    """The table with the packed ids of each whole text in column ``into``.
+
+    With ``decoded``, a column of that name has what the ids decode to: made by the same worker
+    from the packed ids, so that they needn't be sent to a second one.
+    """
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _of(Encoder, sent.value)
-        for texts in batches:
-            yield pd.Series([encoder.text(t) for t in texts], dtype=object)
+        yield from _in_slices(batches, lambda texts: pa.array([encoder.text(t) for t in texts], pa.binary()))
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        decoder = _of(Decoder, sent.value)
-        for packed in batches:
-            yield pd.Series([decoder.text(p) for p in packed], dtype=object)
+    def encode_and_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = _of(Encoder, sent.value), _of(Decoder, sent.value)
 
-    return encode, decode
+        def work(texts: list) -> pa.Array:
+            ids = [encoder.text(t) for t in texts]
+            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([decoder.text(x) for x in ids], pa.string())], ["ids", "decoded"])
 
+        yield from _in_slices(batches, work)
 
-def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "ids") -> DataFrame:
-    """The table with the packed ids of each whole text in column ``into``."""
-    encode, _ = _columns(docs.sparkSession, vocabulary)
-    return docs.withColumn(into, encode(F.col(text).cast("string")))
+    own = F.col(text).cast("string")
+    if decoded is None:
+        return docs.withColumn(into, F.arrow_udf(encode, "binary")(own))
+    both, *_ = unused(docs, 1)
+    return docs.withColumn(both, F.arrow_udf(encode_and_back, "struct<ids:binary,decoded:string>")(own)).withColumns({into: F.col(f"{both}.ids"), decoded: F.col(f"{both}.decoded")}).drop(both)
 
 
 def decode_documents(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """The table with the text that each row's packed ids stand for in column ``into``."""
-    _, decode = _columns(docs.sparkSession, vocabulary)
-    return docs.withColumn(into, decode(F.col(ids)))
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decoder = _of(Decoder, sent.value)
+        yield from _in_slices(batches, lambda packed: pa.array([decoder.text(x) for x in packed], pa.string()))
+
+    return docs.withColumn(into, F.arrow_udf(decode, "string")(F.col(ids)))
 
 
 def count(ids: Column) -> Column:

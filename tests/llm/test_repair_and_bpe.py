@@ -218,8 +218,10 @@ def test_bpe_on_odd_documents(spark, odd, empty, vocabulary, library):
     """Nulls, empty and long texts, repeated rows, clashing names: each row once, in both directions."""
     coded = bpe.encode_documents(odd, vocabulary)
     assert coded.columns == [*odd.columns, "ids"]
+    back = bpe.encode_documents(odd, vocabulary, decoded="line")
+    assert back.columns == [*odd.columns, "ids"]
     rows = bpe.decode_documents(coded.withColumn("list", bpe.unpack(F.col("ids"))), vocabulary, into="line").collect()
-    assert len(rows) == odd.count()
+    assert len(rows) == odd.count() and sorted(r["line"] for r in rows) == sorted(r["line"] for r in back.collect())
     for r in rows:
         ids = library.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["list"] == ids and r["line"] == library.decode(ids, skip_special_tokens=False)
