@@ -20,16 +20,26 @@ def read(spark: SparkSession, path: str, declared: str = "") -> DataFrame:
     if format_of(path, declared) != "ab1":
         return read_id_sequence(spark, path, declared)
     good = abif.read(spark, path).filter("error is null")
-    # names alone meet in one task, not the sequences
+    # names come from the listing: no trace is read to be numbered
+    names = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file")).distinct()
     number = (F.row_number().over(Window.orderBy("source_file")) - 1).cast("long").alias("record_idx")
-    return good.join(good.select("source_file").distinct().select("source_file", number), "source_file").select("record_id", clean(F.col("bases")).alias("sequence"), "source_file", "record_idx")
+    return good.join(names.select("source_file", number), "source_file").select("record_id", clean(F.col("bases")).alias("sequence"), "source_file", "record_idx")
+
+
+def _all_of(folder: str, kind: str) -> str:
+    return f"{folder.rstrip('/')}/*.{{{','.join(e for e, f in EXTENSIONS.items() if f == kind)}}}"
+
+
+def _errors(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    at = _all_of(folder, kind)
+    if kind in ("ab1", "genbank"):
+        return (abif if kind == "ab1" else genbank).read(spark, at).filter("error is not null").select("source_file", "error")
+    return tables.errors(spark, at, kind)
 
 
 def unreadable(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows (source_file, error): the folder's traces, workbooks and GenBank files that reading leaves out."""
-    at = lambda kind: f"{folder.rstrip('/')}/*.{{{','.join(e for e, f in EXTENSIONS.items() if f == kind)}}}"
-    there = set(_kinds(spark, folder))
-    parts = [find(spark, at(kind)).filter("error is not null").select("source_file", "error") for kind, find in (("ab1", abif.read), ("genbank", genbank.read), ("xlsx", tables.errors)) if kind in there]
+    """Rows (source_file, error): the folder's files of any format that reading leaves out, and why."""
+    parts = [_errors(spark, folder, kind) for kind in _kinds(spark, folder)]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "source_file string, error string")
 
 
@@ -42,12 +52,12 @@ def _kinds(spark: SparkSession, folder: str) -> list[str]:
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """All reads of a folder, by format; records of later formats are numbered after earlier ones.
-    Files that can't be read are left out; ``unreadable`` names them."""
+    Files that can't be read are left out, each as a whole; ``unreadable`` names them."""
     kinds = [k for k in _kinds(spark, folder) if k != "genbank"]
     parts = []
     for k, kind in enumerate(kinds):
-        own = ",".join(e for e, f in EXTENSIONS.items() if f == kind)
-        parts.append(read(spark, f"{folder.rstrip('/')}/*.{{{own}}}", kind).withColumn("record_idx", F.col("record_idx") + (k << 40)))
+        own = tables.records_of_folder(spark, _all_of(folder, kind), kind) if kind != "ab1" else read(spark, _all_of(folder, kind), kind)
+        parts.append(own.withColumn("record_idx", F.col("record_idx") + (k << 40)))
     if not parts:
         return spark.createDataFrame([], "record_id string, sequence string, source_file string, record_idx long")
     return reduce(DataFrame.unionByName, parts)

@@ -22,8 +22,11 @@ import sys
 from insertframe.functions.seq import clean
 from insertframe.operators.library import last_wins
 from insertframe.operators.naming import DEFAULT, Profile, parse_name
+from insertframe.sources import cells
+from insertframe.sources.cells import Tables, in_order, norm_header
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(cells)
 
 # Header names by role, the first that fits wins.
 ID_NAMES = ("sequence_id", "seq_id", "id", "name", "sequenceid", "seqid")
@@ -40,10 +43,6 @@ def format_of(path: str, declared: str = "") -> str:
     return declared.lower() if declared else EXTENSIONS.get(path.rsplit(".", 1)[-1].lower() if "." in path else "", "fasta")
 
 
-def norm_header(h: str) -> str:
-    return re.sub("[^a-z0-9]", "", h.strip().lower())
-
-
 def find_column(headers: list[str], names: tuple[str, ...]) -> str | None:
     """The header that fits a name; earlier names win over earlier headers."""
     known: dict[str, str] = {}
@@ -52,18 +51,6 @@ def find_column(headers: list[str], names: tuple[str, ...]) -> str | None:
     return next((known[norm_header(n)] for n in names if norm_header(n) in known), None)
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Adds record_idx over (source_file, place): places of a file after those of earlier files.
-
-    File sizes are summed per file before the places are shifted by them: a row per file, the
-    only thing that meets in one task.
-    """
-    sizes = df.groupBy("source_file").agg(F.max("place").alias("m"))
-    before = F.coalesce(F.sum(F.col("m") + 1).over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = sizes.select("source_file", before.alias("shift"))
-    return df.join(shift, "source_file").select("record_id", "sequence", "source_file", (F.col("place") + F.col("shift")).cast("long").alias("record_idx"))
-
-
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Records after each ``>``: the first word is the id (may be empty), the lines are joined.
 
@@ -87,44 +74,42 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_headers(spark: SparkSession, path: str) -> list[str]:
-    return _raw_table(spark, path, format_of(path))[0]
+    """The header of a file, or of a folder's first file by name."""
+    files = _tables(spark, path, format_of(path)).files.filter("error is null")
+    first = files.agg(F.min_by("names", "source_file").alias("names")).first()["names"]
+    return [re.sub('^"|"$', "", n).replace('""', '"') for n in first or []]
 
 
-def _raw_table(spark: SparkSession, path: str, kind: str) -> tuple[list[str], DataFrame]:
-    """Headers, and rows (source_file, place, cells MAP of header to text)."""
+def _tables(spark: SparkSession, path: str, kind: str) -> Tables:
     if kind == "csv":
-        df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
-        headers = [c for c in df.columns]
-        cells = F.map_from_arrays(F.array(*[F.lit(c) for c in headers]), F.array(*[F.col(f"`{c}`") for c in headers]))
-        rows = df.select(F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("place"), cells.alias("cells"))
-        return headers, rows
+        return Tables.of_csv(spark, path)
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "content")
-    table = files.mapInPandas(_sheets, "source_file string, place long, names array<string>, row array<string>, error string").filter("error is null")
-    first = table.filter("place = 0").limit(1).collect()
-    headers = list(first[0]["names"]) if first else []
-    cells = F.map_from_arrays("names", "row")
-    return headers, table.filter("size(row) > 0").select("source_file", "place", cells.alias("cells"))
+    return Tables.of_sheets(files.mapInPandas(_sheets, "source_file string, n long, cells array<string>, error string"), len(files.inputFiles()))
 
 
-def errors(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (source_file, error): the workbooks that can't be read, which reading leaves out."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "content")
-    return files.mapInPandas(_sheets, "source_file string, place long, names array<string>, row array<string>, error string").filter("error is not null").select("source_file", "error")
+#: What a record of any table needs, and what to call it in an error.
+RECORD_ROLES, RECORD_NEEDS = {"record_id": ID_NAMES, "cell": SEQUENCE_NAMES}, {"record_id": "id", "cell": "sequence"}
+
+
+def errors(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows (source_file, error): FASTA, CSV and XLSX files that reading a folder leaves out."""
+    if kind == "fasta":
+        name = F.col("_metadata.file_path").alias("source_file")
+        # an empty file has no line, and so no row here: it has no record and no error
+        lines = spark.read.text(path).select(name, "value").groupBy("source_file")
+        told = lines.agg(F.bool_or(~F.is_valid_utf8("value")).alias("bad"), F.bool_or(F.col("value").startswith(">")).alias("some"))
+        return told.select("source_file", F.when(F.col("bad"), "not UTF-8 text").when(~F.col("some"), "no record").alias("error")).filter("error is not null")
+    return _tables(spark, path, kind).placed(RECORD_ROLES, RECORD_NEEDS).filter("error is not null").select("source_file", "error")
 
 
 def _sheets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["source_file"], pdf["content"]):
             try:
-                rows = sheet_rows(content)
+                rows, error = sheet_rows(content) or [[]], None
             except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError) as e:
-                yield pd.DataFrame({"source_file": [path], "place": [0], "names": [[]], "row": [[]], "error": [f"not a workbook: {e}"]})
-                continue
-            names = list(dict.fromkeys(rows[0])) if rows else []
-            at = [rows[0].index(n) for n in names] if rows else []
-            body = [[r[i] if i < len(r) else "" for i in at] for r in rows[1:]]
-            n = max(len(body), 1)
-            yield pd.DataFrame({"source_file": [path] * n, "place": range(n), "names": [names] * n, "row": body or [[]], "error": [None] * n})
+                rows, error = [[]], f"not a workbook: {e}"
+            yield pd.DataFrame({"source_file": [path] * len(rows), "n": range(len(rows)), "cells": rows, "error": [error] * len(rows)})
 
 
 def sheet_rows(content: bytes) -> list[list[str]]:
@@ -167,45 +152,39 @@ def sheet_rows(content: bytes) -> list[list[str]]:
     return out
 
 
-def read_id_sequence(spark: SparkSession, path: str, declared: str = "") -> DataFrame:
-    """Records of a FASTA, CSV or XLSX file or folder; rows without an id are dropped.
+def read_id_sequence(spark: SparkSession, path: str, declared: str = "", strict: bool = True) -> DataFrame:
+    """Records of a FASTA, CSV or XLSX file or folder, each file under its own header; rows without an
+    id are dropped, and files without an id or a sequence column left out (``errors`` names them).
 
-    CSV rows without a sequence cell are dropped, XLSX ones kept as empty.
+    CSV rows that end before their sequence cell are dropped, XLSX ones kept as empty.
     """
     kind = format_of(path, declared)
     if kind == "fasta":
         return read_fasta(spark, path)
     if kind not in ("csv", "xlsx"):
         raise ValueError(f"{path}: a table of sequences is FASTA, CSV or XLSX, not {kind}")
-    headers, rows = _raw_table(spark, path, kind)
-    own, text = find_column(headers, ID_NAMES), find_column(headers, SEQUENCE_NAMES)
-    if own is None or text is None:
-        raise ValueError(f"{path}: no {'id' if own is None else 'sequence'} column found")
-    cell = F.col("cells")[text]
+    rows = _tables(spark, path, kind).read(RECORD_ROLES, RECORD_NEEDS, strict)
     if kind == "csv":
-        rows = rows.filter(cell.isNotNull())
-    out = rows.select(F.trim(F.col("cells")[own]).alias("record_id"), clean(F.coalesce(cell, F.lit(""))).alias("sequence"), "source_file", "place")
-    return _numbered(out.filter("record_id <> ''"))
-
+        rows = rows.filter("cell is not null")
+    out = rows.select(F.trim("record_id").alias("record_id"), clean(F.coalesce("cell", F.lit(""))).alias("sequence"), "source_file", "block", "n")
+    return in_order(out.filter("record_id <> ''"), "record_id", "sequence", "source_file")
 
-def read_panel(spark: SparkSession, path: str, columns: dict[str, str] | None = None, declared: str = "") -> DataFrame:
-    """Rows (ab_id, heavy, light, idx) of a panel table; given column names are tried first."""
-    kind = format_of(path, declared)
-    headers, rows = _raw_table(spark, path, kind)
 
-    def pick(role: str, names: tuple[str, ...]) -> str | None:
-        given = (columns or {}).get(role)
-        return (find_column(headers, (given,)) if given else None) or find_column(headers, names)
-
-    ab = pick("ab_id", ANTIBODY_NAMES)
-    if ab is None:
-        raise ValueError(f"{path}: no antibody column found")
+def records_of_folder(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The records of all files that can be read; none where no file can."""
+    if kind == "fasta":
+        return read_fasta(spark, path).join(errors(spark, path, kind), "source_file", "left_anti").select("record_id", "sequence", "source_file", "record_idx")
+    return read_id_sequence(spark, path, kind, strict=False)
 
-    def cell(name: str | None):
-        return F.nullif(clean(F.col("cells")[name]), F.lit("")) if name else F.lit(None).cast("string")
 
-    out = rows.select(F.trim(F.col("cells")[ab]).alias("ab_id"), cell(pick("heavy", HEAVY_NAMES)).alias("heavy"), cell(pick("light", LIGHT_NAMES)).alias("light"), F.col("place").alias("idx"))
-    return out.filter("ab_id <> ''")
+def read_panel(spark: SparkSession, path: str, columns: dict[str, str] | None = None, declared: str = "") -> DataFrame:
+    """Rows (ab_id, heavy, light, idx) of a panel table; given column names are tried first."""
+    given = {r: (own,) if own else () for r, own in ((r, (columns or {}).get(r)) for r in ("ab_id", "heavy", "light"))}
+    roles = {"ab_id": given["ab_id"] + ANTIBODY_NAMES, "heavy": given["heavy"] + HEAVY_NAMES, "light": given["light"] + LIGHT_NAMES}
+    rows = _tables(spark, path, format_of(path, declared)).read(roles, {"ab_id": "antibody"})
+    cell = lambda name: F.nullif(clean(F.col(name)), F.lit("")).alias(name)
+    out = rows.select(F.trim("ab_id").alias("ab_id"), cell("heavy"), cell("light"), "source_file", "block", "n")
+    return in_order(out.filter("ab_id <> ''"), "ab_id", "heavy", "light").withColumnRenamed("record_idx", "idx")
 
 
 def panel_from_fasta(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
