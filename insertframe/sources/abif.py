@@ -56,7 +56,11 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Rows (source_file, record_id, bases, quality, error); the id is the file's stem."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "content")
+    return of_files(spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "content"))
+
+
+def of_files(files: DataFrame) -> DataFrame:
+    """The same of rows (source_file, content), wherever they come from."""
     out = files.mapInPandas(_parse_files, "source_file string, bases string, quality binary, error string")
     stem = F.regexp_replace(F.regexp_extract("source_file", r"([^/]*)$", 1), r"\.[^.]*$", "")
     return out.select("source_file", stem.alias("record_id"), "bases", "quality", "error")

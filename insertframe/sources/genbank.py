@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -104,3 +104,27 @@ def roles(features: list[dict]) -> dict[str, dict]:
             q = f["qualifiers"]
             out[role] = {"start": f["start"], "end": f["end"], "name": q.get("standard_name", q.get("gene", q.get("note")))}
     return out
+
+
+def role_column(kind: Column, qualifiers: Column) -> Column:
+    """``role_of`` as a column; null where there is none."""
+    own = F.coalesce(qualifiers["standard_name"], qualifiers["gene"], qualifiers["note"], F.lit(""))
+    text = F.lower(F.concat_ws(" ", kind, own, F.coalesce(qualifiers["note"], F.lit(""))))
+    has = lambda words: text.rlike("|".join("\\Q" + w + "\\E" for w in words))
+    return (
+        F.when(has(SIGNAL), "signal_peptide")
+        .when(has(CONSTANT), "constant_region")
+        .when(has(RESISTANCE) & ~text.contains("promoter"), "resistance")
+        .when(has(ORIGIN), "origin")
+        .when(text.contains("cmv") | (text.contains("promoter") & ~text.contains("ampr")), "promoter")
+    )
+
+
+def feature_roles(records: DataFrame, key: str = "source_file") -> DataFrame:
+    """Rows (key, role, start, end, name) of any number of maps: the first feature of each role, with its
+    1-based ends. Features without a place have no role; of a role's features a partial minimum is shuffled."""
+    rows = records.filter("error is null").select(key, F.posexplode("features").alias("pos", "f")).filter("f.start > 0")
+    q = F.col("f.qualifiers")
+    told = F.struct(F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.coalesce(q["standard_name"], q["gene"], q["note"]).alias("name"))
+    roles = rows.select(key, role_column(F.col("f.kind"), q).alias("role"), "pos", told.alias("told")).filter("role is not null")
+    return roles.groupBy(key, "role").agg(F.min_by("told", "pos").alias("t")).select(key, "role", "t.start", "t.end", "t.name")

@@ -84,7 +84,12 @@ def _tables(spark: SparkSession, path: str, kind: str) -> Tables:
     if kind == "csv":
         return Tables.of_csv(spark, path)
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "content")
-    return Tables.of_sheets(files.mapInPandas(_sheets, "source_file string, n long, cells array<string>, error string"), len(files.inputFiles()))
+    return workbooks(files, len(files.inputFiles()))
+
+
+def workbooks(files: DataFrame, n_files: int) -> Tables:
+    """The first sheets of workbooks (source_file, content), wherever they come from."""
+    return Tables.of_sheets(files.mapInPandas(_sheets, "source_file string, n long, cells array<string>, error string"), n_files)
 
 
 #: What a record of any table needs, and what to call it in an error.
@@ -163,8 +168,13 @@ def read_id_sequence(spark: SparkSession, path: str, declared: str = "", strict:
         return read_fasta(spark, path)
     if kind not in ("csv", "xlsx"):
         raise ValueError(f"{path}: a table of sequences is FASTA, CSV or XLSX, not {kind}")
-    rows = _tables(spark, path, kind).read(RECORD_ROLES, RECORD_NEEDS, strict)
-    if kind == "csv":
+    return records_of(_tables(spark, path, kind), kind == "csv", strict)
+
+
+def records_of(found: Tables, drop_short: bool, strict: bool = True) -> DataFrame:
+    """The records of tables; with ``drop_short``, rows that end before their sequence cell go."""
+    rows = found.read(RECORD_ROLES, RECORD_NEEDS, strict)
+    if drop_short:
         rows = rows.filter("cell is not null")
     out = rows.select(F.trim("record_id").alias("record_id"), clean(F.coalesce("cell", F.lit(""))).alias("sequence"), "source_file", "block", "n")
     return in_order(out.filter("record_id <> ''"), "record_id", "sequence", "source_file")

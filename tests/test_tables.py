@@ -87,3 +87,31 @@ def test_panels_of_several_files(spark, tmp_path):
     own = tables.read_panel(spark, f"{at}/b.csv", columns={"heavy": "lc"}).collect()[0]
     assert (own["heavy"], own["light"]) == ("DI", "DI")
     assert tables.read_headers(spark, f"{at}/b.csv") == ["lc", "heavy chain", "mAb"]
+
+
+def test_roles_and_vectors_of_many_maps(spark, tmp_path):
+    """The same as of one record at a time on the driver."""
+    from insertframe.operators import library, maps
+    from insertframe.sources import genbank
+    from pyspark.sql import functions as F
+
+    def record(k, rows, sequence, shape="circular"):
+        return f"LOCUS m{k} 1 bp DNA {shape}\nFEATURES  Location\n" + "".join(f"     {kind}  {place}\n" + "".join(f'          /{q}="{v}"\n' for q, v in own) for kind, place, own in rows) + f"ORIGIN\n 1 {sequence}\n//\n"
+
+    dna = "ATGGCTCAAACCGATTTCGGACTGCATAAGGAACCTGATCCGAACTACGTTTGGCATACCAAAGGCTAA"
+    kinds = [("sig_peptide", "1..9", []), ("CDS", "20..40", [("gene", "IGHG1")]), ("CDS", "complement(5..8)", [("note", "AmpR promoter")]), ("promoter", "3..4", [("standard_name", ""), ("gene", "CMV")]), ("misc", "7", [("note", "pUC ori"), ("gene", "AmpR")]), ("x", "none", [("note", "constant")])]
+    r = random.Random(2)
+    texts = {f"m{k}": record(k, r.sample(kinds, r.randrange(len(kinds) + 1)), dna[r.randrange(9) :], r.choice(["circular", "linear"])) for k in range(40)}
+    at = put(tmp_path / "t", **{f"{k}__gb": v for k, v in texts.items()}, bad__gb="x")
+    records = genbank.read(spark, at)
+    got = {}
+    for x in genbank.feature_roles(records).withColumn("f", F.regexp_extract("source_file", r"(m\d+)\.gb", 1)).collect():
+        got.setdefault(x["f"], {})[x["role"]] = {"start": x["start"], "end": x["end"], "name": x["name"]}
+    parsed = {k: genbank.parse(v) for k, v in texts.items()}
+    assert got == {k: found for k, v in parsed.items() if (found := genbank.roles(v["features"]))}
+    for oh5, oh3 in ((None, None), ("TCGGACTG", "GATCC"), ("WW", ""), ("", "WWW")):
+        asked = records.select("source_file", F.regexp_extract("source_file", r"([^/]*)\.gb", 1).alias("vector_id"), F.lit("heavy").alias("chain_class"), F.lit(oh5).alias("oh5"), F.lit(oh3).alias("oh3"))
+        for x in maps.vectors_of_maps(records, asked).collect():
+            v = library.vector_from_genbank(parsed[x["vector_id"]], x["vector_id"], "", "heavy", "", (oh5, oh3), "s", "IGH", "me")
+            assert (x["sequence"], x["oh5_end"], x["oh3_start"], x["constant_anchor_aa"], x["topology"]) == (v.sequence, v.oh5_end, v.oh3_start, v.constant_anchor_aa, v.topology)
+            assert {k: p.asDict() for k, p in x["features"].items()} == v.features
