@@ -28,15 +28,11 @@ def blosum62() -> np.ndarray:
     """
     lines = [x for x in (Path(__file__).parent / "blosum62.txt").read_text().splitlines() if not x.startswith("#")]
     table = np.zeros((256, 256), dtype=np.int8)
-    for i, line in enumerate(lines):
-        for j, value in enumerate(map(int, line.split())):
-            for a, b in ((ORDER[i], ORDER[j]), (ORDER[j], ORDER[i])):
-                for x in {a, a.lower()}:
-                    for y in {b, b.lower()}:
-                        table[ord(x), ord(y)] = value
-    for x in "Xx":
-        for y in "Ff":
-            table[ord(x), ord(y)] = -2
+    for a, line in zip(ORDER, lines):
+        for b, value in zip(ORDER, map(int, line.split())):
+            for x in {a, a.lower()}:
+                for y in {b, b.lower()}:
+                    table[ord(x), ord(y)] = value
     return table
 
 
@@ -63,40 +59,80 @@ def nucleotide_scoring(match: int = 2, mismatch: int = -3, gap_open: int = -5, g
     return Scoring(gap_open, gap_extend, match, mismatch)
 
 
+#: Rows between two that are kept when an alignment is filled.
+EVERY = 256
+
+
+def _next_row(state: tuple, i: int, of, o: int, e: int, at: np.ndarray) -> tuple[tuple, np.ndarray]:
+    """The three states of row ``i`` from those of the row above, and the way each cell is left by."""
+    best, up, left = state
+    new_up = np.maximum(np.maximum(best, left) + o, up + e)
+    new_best = np.full(len(at), NEG)
+    new_best[1:] = np.maximum(np.maximum(best, up), left)[:-1] + of(i - 1)
+    new_up[0] = new_best[0] = o + (i - 1) * e
+    opened = np.maximum(new_best, new_up) + o
+    new_left = np.full(len(at), NEG)
+    new_left[1:] = np.maximum.accumulate(opened[:-1] - e * at[:-1]) + e * at[:-1]
+    top = np.maximum(np.maximum(new_best, new_up), new_left)
+    way = np.where(top == new_best, 0, np.where(top == new_up, 1, 2)).astype(np.uint8)
+    way[0] = 1
+    return (new_best, new_up, new_left), way
+
+
+def self_aligned(x: np.ndarray, scoring: Scoring) -> int | None:
+    """The score of a sequence against itself where that is known to be the diagonal, else None.
+
+    Where each letter's score with itself is positive and above those with all others, half of both letters' own
+    scores bounds any pair's, so a path that leaves the diagonal scores less, in every cell.
+    """
+    if scoring.gap_open >= 0 or scoring.gap_extend >= 0:
+        return None
+    if scoring.match is not None:
+        return scoring.match * len(x) if scoring.match > max(scoring.mismatch, 0) else None
+    seen = np.unique(x)
+    pairs = scoring.table[np.ix_(seen, seen)].astype(np.int64)
+    own = pairs.diagonal().copy()
+    np.fill_diagonal(pairs, NEG)
+    if len(seen) and (own.min() <= 0 or (pairs.max(axis=1) >= own).any() or (pairs.max(axis=0) >= own).any()):
+        return None
+    return int(scoring.table[x, x].astype(np.int64).sum())
+
+
 def global_affine(a: str, b: str, scoring: Scoring) -> tuple[int, str, str, int, int, int]:
     """Global alignment with affine gaps: score, both aligned strings, matches, mismatches, gaps.
 
     Rows are filled as vectors; the gap along a row is a running maximum. The path follows, in
     each cell, the best of the three states (diagonal, then gap in b, then gap in a on ties)
-    and not the state it came from, so the strings may score less than the score.
+    and not the state it came from, so the strings may score less than the score. One row in
+    ``EVERY`` is kept; on the way back the rows between two are filled again, so memory grows with
+    the shorter side times the square root of work, not with the product of both lengths.
     """
     x, y = np.frombuffer(a.encode("ascii", "replace"), np.uint8), np.frombuffer(b.encode("ascii", "replace"), np.uint8)
+    if a == b and (own := self_aligned(x, scoring)) is not None:
+        return own, a, b, len(a), 0, 0
     n, m = len(x), len(y)
     o, e = scoring.gap_open, scoring.gap_extend
     at = np.arange(m + 1)
     edge = o + (at - 1) * e
-    best, up, left = np.full(m + 1, NEG), np.full(m + 1, NEG), np.full(m + 1, NEG)
-    best[0], best[1:], left[1:] = 0, edge[1:], edge[1:]
-    way = np.zeros((n + 1, m + 1), dtype=np.uint8)
-    way[0, 1:] = 2
+    state = np.full(m + 1, NEG), np.full(m + 1, NEG), np.full(m + 1, NEG)
+    state[0][0], state[0][1:], state[2][1:] = 0, edge[1:], edge[1:]
     of = scoring.rows(x, y)
+    kept = []
     for i in range(1, n + 1):
-        new_up = np.maximum(np.maximum(best, left) + o, up + e)
-        new_best = np.full(m + 1, NEG)
-        new_best[1:] = np.maximum(np.maximum(best, up), left)[:-1] + of(i - 1)
-        new_up[0] = new_best[0] = o + (i - 1) * e
-        opened = np.maximum(new_best, new_up) + o
-        new_left = np.full(m + 1, NEG)
-        new_left[1:] = np.maximum.accumulate(opened[:-1] - e * at[:-1]) + e * at[:-1]
-        top = np.maximum(np.maximum(new_best, new_up), new_left)
-        way[i] = np.where(top == new_best, 0, np.where(top == new_up, 1, 2))
-        way[i, 0] = 1
-        best, up, left = new_best, new_up, new_left
-    score = int(max(best[m], up[m], left[m]))
+        if (i - 1) % EVERY == 0:
+            kept.append(tuple(s.astype(np.int32) for s in state))
+        state, _ = _next_row(state, i, of, o, e, at)
+    score = int(max(s[m] for s in state))
     out_a, out_b = [], []
-    i, j = n, m
+    i, j, first, ways = n, m, n + 1, []
     while i or j:
-        step = 2 if i == 0 else 1 if j == 0 else way[i, j]
+        if i and i < first:
+            first = (i - 1) // EVERY * EVERY + 1
+            state, ways = tuple(s.astype(np.int64) for s in kept.pop()), []
+            for k in range(first, i + 1):
+                state, way = _next_row(state, k, of, o, e, at)
+                ways.append(way)
+        step = 2 if i == 0 else 1 if j == 0 else ways[i - first][j]
         out_a.append(a[i - 1] if step != 2 else "-")
         out_b.append(b[j - 1] if step != 1 else "-")
         i, j = i - (step != 2), j - (step != 1)
@@ -106,6 +142,51 @@ def global_affine(a: str, b: str, scoring: Scoring) -> tuple[int, str, str, int,
     return score, ra, rb, matches, len(ra) - gaps - matches, gaps
 
 
+def identities(a: str, others: np.ndarray, lengths: np.ndarray, scoring: Scoring) -> tuple[np.ndarray, np.ndarray]:
+    """Matches and mismatches of ``a`` against many sequences (rows of bytes, padded) at once.
+
+    The same cells and ways as ``global_affine``, all sequences as a second axis. A cell's way does not
+    depend on where the path came from, so the counts of the path that ends in a cell are carried
+    along: no way is stored, and memory is a few rows.
+    """
+    x = np.frombuffer(a.encode("ascii", "replace"), np.uint8)
+    p, m = others.shape
+    o, e = np.int32(scoring.gap_open), np.int32(scoring.gap_extend)
+    at = np.arange(m + 1, dtype=np.int32)
+    slope = e * at
+    shape = (p, m + 1)
+    best, up, left = (np.full(shape, NEG, np.int32) for _ in range(3))
+    best[:, 0], best[:, 1:], left[:, 1:] = 0, o + slope[:-1], o + slope[:-1]
+    # aligned pairs in the upper half of a count, matches in the lower
+    counts = np.zeros(shape, np.int64)
+    one = np.int64(1) << 32
+    own = {c: (scoring.table[c][others].astype(np.int32) if scoring.match is None else np.where(others == c, scoring.match, scoring.mismatch).astype(np.int32), (others == c) + one) for c in np.unique(x)}
+    places = np.broadcast_to(at, shape)
+    for i, c in enumerate(x, 1):
+        scores, pair = own[c]
+        new_up = np.maximum(np.maximum(best, left) + o, up + e)
+        new_best = np.empty(shape, np.int32)
+        np.maximum(np.maximum(best, up), left, out=best)
+        new_best[:, 1:] = best[:, :-1] + scores
+        new_up[:, 0] = new_best[:, 0] = o + (i - 1) * e
+        top = np.maximum(new_best, new_up)
+        left = np.empty(shape, np.int32)
+        left[:, 0] = NEG
+        left[:, 1:] = np.maximum.accumulate(top[:, :-1] + o - slope[:-1], axis=1) + slope[:-1]
+        diagonal, above = new_best >= np.maximum(new_up, left), new_up >= left
+        diagonal[:, 0], above[:, 0] = False, True
+        # the counts of a cell that is left along the row are those of the last that is not
+        along = np.empty(shape, np.int64)
+        along[:, 1:] = counts[:, :-1] + pair
+        along[:, 0] = counts[:, 0]
+        counts = np.where(diagonal, along, counts)
+        last = np.maximum.accumulate(np.where(diagonal | above, places, 0), axis=1)
+        counts = np.take_along_axis(counts, last, axis=1)
+        best, up = new_best, new_up
+    end = counts[np.arange(p), lengths]
+    return (end & (one - 1)), (end >> 32) - (end & (one - 1))
+
+
 ALIGNMENT = "score int, aligned_a string, aligned_b string, matches int, mismatches int, gaps int"
 
 
@@ -136,6 +217,37 @@ def identity(al: Column, with_gaps: bool = False) -> Column:
     return F.when(al.isNotNull(), F.when(total == 0, F.lit(0.0)).otherwise(al["matches"] / F.greatest(total, F.lit(1))))
 
 
+#: Sequences that are aligned at once.
+TOGETHER = 64
+
+
+def closest(query: Column, others: Column, keys: Column, below: Column, scoring: Scoring) -> Column:
+    """A struct (loss, key): of a list of sequences with keys, the one of highest identity (gaps left out) to the
+    query, the least key on ties; loss is less the identity. Where ``below`` is not null, only keys less than
+    it are looked at. Null where there is none."""
+
+    @F.pandas_udf("loss double, key string")
+    def of(queries: pd.Series, lists: pd.Series, names: pd.Series, limits: pd.Series) -> pd.DataFrame:
+        rows = []
+        for q, list_, own, limit in zip(queries, lists, names, limits):
+            found = sorted(((k, s) for k, s in zip(own, list_) if limit is None or k < limit), key=lambda x: len(x[1]))
+            best = (None, None)
+            for i in range(0, len(found), TOGETHER):
+                part = found[i : i + TOGETHER]
+                lengths = np.array([len(s) for _, s in part])
+                block = np.zeros((len(part), max(int(lengths.max()), 1)), np.uint8)
+                for k, (_, s) in enumerate(part):
+                    block[k, : len(s)] = np.frombuffer(s.encode("ascii", "replace"), np.uint8)
+                matches, mismatches = identities(q, block, lengths, scoring)
+                loss = -matches / np.maximum(matches + mismatches, 1)
+                least = min((float(x), k) for x, (k, _) in zip(loss, part))
+                best = least if best[0] is None else min(best, least)
+            rows.append(best)
+        return pd.DataFrame(rows, columns=["loss", "key"], dtype=object).astype({"loss": "Float64"})
+
+    return of(query, others, keys, below)
+
+
 # --------------------------------------------------------------------------- searches
 
 def _hits(text: np.ndarray, query: np.ndarray) -> np.ndarray:

@@ -3,7 +3,8 @@
 Reads are oriented by an Arrow kernel against the few library vectors; expected proteins come
 from equi-joins with the order's cores and the panel; the verdict is one ordered CASE. Each
 alignment runs only for reads that reach it. The search for swapped samples pairs only reads with
-substitutions with the panel, distinct proteins once.
+substitutions with the panel, distinct proteins once; for it the reads' own columns are computed once
+and kept in the shared folder.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from insertframe.functions import kernels, seq
 from insertframe.operators.library import Library, Project, vectors_frame
 from insertframe.operators.naming import DEFAULT, upper_col, with_names
 from insertframe.operators.order_qc import _case, panel, truth_protein
+from insertframe.operators.staging import staged
 
 PASSING = ("PASS", "SILENT_VARIANT")
 # Severity ranks of verdicts, worst first.
@@ -121,6 +123,8 @@ def run(reads: DataFrame, library: Library, project: Project, cores: DataFrame |
     df = df.withColumn("nt", kernels.align(F.col("silent_core"), F.when(F.col("silent_core").isNotNull(), F.col("expected_core")), nucleotide))
     if truth is not None:
         df = df.withColumn("obs_v", F.when(F.col("mutated"), F.substring(F.col("observed_aa"), F.length("leader_aa") + 1, F.length("observed_aa"))))
+        # what the verdict doesn't look at any more is not kept
+        df = df.drop("sequence", "clean", "fit", "working", "vector_seq", "core_key", "expected_core", "truth_key", "heavy", "light", "truth", "empty_aa", "empty_al", "silent_core")
         df = _swaps(df, truth, protein)
     else:
         df = df.withColumn("swap", F.lit(None).cast("string"))
@@ -167,24 +171,40 @@ def run(reads: DataFrame, library: Library, project: Project, cores: DataFrame |
     )
 
 
+#: Panel proteins that stand in one row of the search for swapped samples, about.
+SHARD = 64
+
+
 def _swaps(df: DataFrame, truth: DataFrame, protein: kernels.Scoring) -> DataFrame:
     """Adds ``swap``: the panel member, other than the named one, that a mutated read fits best
-    with at least 95 % identity; ties go to the first by id."""
+    with at least 95 % identity; ties go to the first by id.
+
+    Distinct mutated proteins are a stated query set against all distinct panel proteins of their chain: the
+    identity leaves gaps out, so no bound on shared residues rules a pair out. The panel lies in shards,
+    whose proteins are aligned with a query at once. A protein that stands in the panel as it is
+    has the highest identity there is: only members before that one by id are aligned with it.
+    """
     heavy = F.col("chain_class") == "heavy"
+    # the reads are needed twice, for their proteins and for the answers: they are computed once
+    df = staged(df)
     wanted = df.filter(F.col("obs_v").isNotNull()).select("obs_v", heavy.alias("is_heavy")).distinct()
     p = panel(truth)
     sides = p.select("ab_key", F.lit(True).alias("is_heavy"), F.col("heavy").alias("t")).union(p.select("ab_key", F.lit(False).alias("is_heavy"), F.col("light").alias("t"))).filter("t is not null")
     proteins = sides.select("ab_key", "is_heavy", truth_protein(F.col("t")).alias("panel_aa"))
-    firsts = proteins.groupBy("is_heavy", "panel_aa").agg(F.min("ab_key").alias("ab_key"))
-    # every mutated protein is held against every panel protein of its chain: a query set against
-    # all rows, the panel in shards so that no task gets all of either
-    n = 2 * df.sparkSession.sparkContext.defaultParallelism
-    queries = wanted.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(n, "is_heavy", "shard")
-    shards = firsts.withColumn("shard", F.pmod(F.xxhash64("panel_aa"), F.lit(n)).cast("int")).repartition(n, "is_heavy", "shard")
-    pairs = queries.join(shards, ["is_heavy", "shard"]).withColumn("pair_al", kernels.align(F.col("obs_v"), F.col("panel_aa"), protein))
-    scored = pairs.select("obs_v", "is_heavy", "ab_key", kernels.identity(F.col("pair_al")).alias("fit_id"))
-    best = scored.groupBy("obs_v", "is_heavy").agg(F.min(F.struct((-F.col("fit_id")).alias("loss"), "ab_key")).alias("b"))
-    best = best.select(F.col("obs_v").alias("s_v"), F.col("is_heavy").alias("s_heavy"), F.col("b.ab_key").alias("s_key"), (-F.col("b.loss")).alias("s_id"))
+    firsts = staged(proteins.groupBy("is_heavy", "panel_aa").agg(F.min("ab_key").alias("ab_key")))
+    exact = firsts.filter(F.col("panel_aa").rlike("^[ACDEFGHIKLMNPQRSTVWY]+$")).select("is_heavy", F.col("panel_aa").alias("obs_v"), F.col("ab_key").alias("exact"))
+    wanted = wanted.join(exact, ["is_heavy", "obs_v"], "left")
+    n_shards = -(-firsts.count() // SHARD) or 1
+    # a shard's queries are dealt to many tasks, each with a copy of the shard
+    n_parts = 2 * df.sparkSession.sparkContext.defaultParallelism
+    shards = firsts.groupBy("is_heavy", F.pmod(F.xxhash64("panel_aa"), F.lit(n_shards)).alias("shard")).agg(F.collect_list("panel_aa").alias("aa"), F.collect_list("ab_key").alias("keys"))
+    shards = shards.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    queries = wanted.withColumn("part", F.pmod(F.xxhash64("obs_v"), F.lit(n_parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
+    pairs = queries.repartition(n_parts, "is_heavy", "shard", "part").join(shards.repartition(n_parts, "is_heavy", "shard", "part"), ["is_heavy", "shard", "part"])
+    fits = pairs.select("obs_v", "is_heavy", kernels.closest(F.col("obs_v"), F.col("aa"), F.col("keys"), F.col("exact"), protein).alias("fit"))
+    known = wanted.filter("exact is not null").select("obs_v", "is_heavy", F.struct(F.lit(-1.0).alias("loss"), F.col("exact").alias("key")).alias("fit"))
+    # not a filter, which would be pushed down and align once more
+    best = fits.union(known).groupBy("obs_v", "is_heavy").agg(F.min(F.when(F.col("fit.key").isNotNull(), F.col("fit"))).alias("b"))
+    best = best.select(F.col("obs_v").alias("s_v"), F.col("is_heavy").alias("s_heavy"), F.col("b.key").alias("s_key"), (-F.col("b.loss")).alias("s_id"))
     out = df.join(best, (F.col("obs_v") == F.col("s_v")) & (heavy == F.col("s_heavy")), "left")
     return out.withColumn("swap", F.when((F.col("s_id") >= 0.95) & (F.col("s_key") != upper_col(F.col("ab_id"))), F.col("s_key")))
-

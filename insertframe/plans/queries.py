@@ -462,12 +462,28 @@ def order_qc_verdicts(spark, d):
     return out.select("record_idx", "kind", "core_len", "premature_stop_aa", "reads_through")
 
 
-@query()
+_FULL_SQL = f"""WITH b AS ({_ORDER_SQL.replace('SELECT doc_id AS record_idx', 'SELECT doc_id, chain, kind AS dealt, core, state, through, vec, orf, aa, mk5, doc_id AS record_idx', 1)}),
+v AS (SELECT *, split_part(aa, '*', 1) AS own, chain = 'heavy' AND state = 'ok' AND doc_id % 10 = 3 AS drift FROM b),
+k AS (SELECT *, CASE WHEN drift THEN 'TRANSLATION_DRIFT' WHEN kind = 'NO_GROUND_TRUTH' AND chain = 'heavy' THEN 'PASS' ELSE kind END AS k2, CASE WHEN dealt = 3 AND state = 'ok' THEN 'overhang typo tolerated (5′ 1 mm, 3′ 0 mm); ' ELSE '' END AS note,
+  (CASE WHEN length(core) = 0 THEN 0 ELSE length(regexp_replace(core, '[^GC]', '', 'g')) / length(core)::double END > 0.56 OR {_sql_gc_windows('core', 60)} > 0.64) AS hot FROM v)
+SELECT record_idx, 'AB' || doc_id || '_' || chain AS record_id, 'AB' || doc_id AS ab_id, chain AS chain_class, k2 AS kind, CASE WHEN k2 IN ('PASS', 'NO_GROUND_TRUTH') AND hot THEN 'GC_WARNING' ELSE '' END AS advisories,
+CASE k2 WHEN 'OVERHANG_WRONG_LOCUS' THEN 'name says heavy but the fragment carries IGK overhangs' WHEN 'OVERHANG_MISSING' THEN 'expected IGK overhangs not found at both ends (5′ absent, 3′ found)'
+  WHEN 'TRANSLATION_DRIFT' THEN note || 'translated core differs from ground truth (0 mismatch(es), 1 gap(s); first at aa ' || greatest(length(regexp_replace(own, 'W+$', '')), 1) || ')'
+  WHEN 'FRAMESHIFT_AT_JUNCTION' THEN CASE WHEN vec THEN note || 'V-domain translates but the assembled ORF hits a premature stop at aa ' || coalesce(premature_stop_aa::varchar, '?') || ' and does not read through into the constant region ({ANCHOR} absent)'
+    WHEN length(core) % 3 <> 0 THEN 'core length ' || length(core) || ' is not a multiple of 3 (frameshift at junction)' ELSE 'premature stop at aa ' || premature_stop_aa || ' within the translated core' END
+  WHEN 'PASS' THEN CASE WHEN note = '' THEN 'core translates identically to ground truth; assembled construct is productive (reads through into the constant region)' ELSE note || 'core matches ground truth; construct productive' END
+  ELSE 'no vector assigned for this locus; productivity checked structurally onlyconstruct productive; no ground-truth entry (advisory)' END AS reason,
+core_len, CASE WHEN drift THEN NULL ELSE premature_stop_aa END AS premature_stop_aa, CASE WHEN drift THEN NULL ELSE reads_through END AS reads_through FROM k"""
+
+
+@query(_FULL_SQL)
 def order_qc_full(spark, d):
     """All verdict columns, with a panel: every antibody has its own protein, some drifted."""
     lib, project = _planted()
-    aa = seq.translate_to_stop(F.col("nt"))
-    truth = _docs(spark, d).select(F.concat(F.lit("ab"), F.col("doc_id").cast("string")).alias("ab_id"), F.when(F.col("doc_id") % 10 == 3, F.concat(aa, F.lit("W"))).otherwise(aa).alias("heavy"), F.lit(None).cast("string").alias("light"), F.lit(0).alias("idx"))
+    # given as nucleotides, so that a short protein isn't taken for such; every tenth has a W more at its end
+    coding = F.left("nt", 3 * F.length(seq.translate_to_stop(F.col("nt"))))
+    heavy = F.when(F.col("doc_id") % 10 == 3, F.concat(coding, F.lit("TGG"))).otherwise(F.col("nt"))
+    truth = _docs(spark, d).select(F.concat(F.lit("ab"), F.col("doc_id").cast("string")).alias("ab_id"), heavy.alias("heavy"), F.lit(None).cast("string").alias("light"), F.lit(0).alias("idx"))
     return order_qc.run(_order_records(spark, d), lib, project, truth).withColumn("advisories", F.array_join("advisories", ","))
 
 
@@ -495,7 +511,14 @@ def sequencing_qc_verdicts(spark, d):
     return sequencing_qc.run(reads, lib, project, cores).select("record_idx", "kind")
 
 
-@query()
+_CORES = f"(SELECT item_id, regexp_replace({NT}, '(.)', 'C\\1C', 'g') AS core FROM benchmark WHERE length({NT}) >= 20)"
+
+
+@query(f"""SELECT i.item_id AS record_idx, 'ab' || (i.item_id + 6) AS ab_id,
+CASE WHEN i.item_id % 6 = 5 OR e.core IS NULL THEN 'INSUFFICIENT_READ' WHEN i.item_id % 6 = 4 THEN 'EMPTY_VECTOR' WHEN i.item_id % 6 = 3 THEN 'JUNCTION_FRAMESHIFT'
+  WHEN e.core <> i.core THEN 'WRONG_INSERT_SWAP' WHEN i.item_id % 6 = 2 THEN 'POINT_MUTATION' ELSE 'PASS' END AS kind,
+CASE WHEN i.item_id % 6 IN (0, 1, 2) AND e.core <> i.core THEN f.first END AS suspected_identity
+FROM {_CORES} i LEFT JOIN {_CORES} e ON e.item_id = i.item_id + 6 JOIN (SELECT core, min('AB' || item_id) AS first FROM {_CORES} GROUP BY core) f ON f.core = i.core""")
 def panel_swap(spark, d):
     """Reads that carry another antibody's insert, told by the panel."""
     lib, project = _planted()
@@ -504,3 +527,41 @@ def panel_swap(spark, d):
     moved = reads.withColumn("record_id", F.concat(F.lit("ab"), (F.col("record_idx") + 6).cast("string"), F.lit("_heavy")))
     return sequencing_qc.run(moved, lib, project, cores, truth).select("record_idx", "ab_id", "kind", "suspected_identity")
 
+
+# a second vector, with a constant region and a backbone of its own
+_KAPPA = "ATGGCTCAAACCGATT" + OH["IGK"][0], OH["IGK"][1] + "GTACCGGATGACTCTAACTGA"
+_KINDS = ("PASS", "WRONG_VECTOR", "EMPTY_VECTOR", "INSUFFICIENT_READ")
+
+
+@query(f"""SELECT doc_id AS record_idx, kind, CASE WHEN kind = 'INSUFFICIENT_READ' THEN NULL WHEN kind = 'WRONG_VECTOR' THEN 'v1' ELSE 'v0' END AS backbone_vector
+FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 2 AND length({NT}) <= 10 THEN CASE WHEN length({NT}) = 0 THEN 'PASS' ELSE 'SILENT_VARIANT' END ELSE ['{"', '".join(_KINDS)}'][doc_id % 4 + 1] END AS kind FROM documents)""")
+def sequencing_qc_vectors(spark, d):
+    """Reads of whole documents' inserts: right ones, ones in the other vector, empty ones, short ones.
+
+    The vector without an insert of up to ten residues isn't told to be empty: its residues that aren't
+    there are gaps and no mutations.
+    """
+    lib, project = _planted()
+    leader, constant = _KAPPA
+    other = library.Vector("v1", "kappa", leader + constant + "GGATTACATC" * 30, len(leader), len(leader), "YRMTLT", "planted kappa", features={"constant_region": {"start": len(leader) + 1, "end": len(leader) + len(constant)}})
+    lib = library.Library([lib.vectors[0], other], lib.overhang_sets, lib.profiles)
+    rows = _docs(spark, d).select("doc_id", F.regexp_replace("nt", "(.)", "C$1C").alias("core"))
+    kind = F.col("doc_id") % 4
+    build = lambda v, core: seq.assemble(F.lit(v.clean), core, F.lit(v.oh5_end), F.lit(v.oh3_start))
+    own = lib.vectors[0]
+    read = F.when(kind == 1, build(other, F.col("core"))).when(kind == 2, build(own, F.lit(""))).when(kind == 3, F.left(build(own, F.col("core")), F.lit(59))).otherwise(seq.revcomp(seq.rotate(build(own, F.col("core")), F.lit(77))))
+    reads = rows.select(F.col("doc_id").alias("record_idx"), F.concat(F.lit("ab"), F.col("doc_id").cast("string"), F.lit("_heavy")).alias("record_id"), read.alias("sequence"))
+    cores = rows.select(F.concat(F.lit("AB"), F.col("doc_id").cast("string")).alias("ab_key"), F.lit("heavy").alias("core_class"), "core")
+    return sequencing_qc.run(reads, lib, project, cores).select("record_idx", "kind", "backbone_vector")
+
+
+@query(f"""SELECT item_id AS record_idx, CASE item_id % 2 WHEN 0 THEN 'SILENT_VARIANT' ELSE 'PASS' END AS kind, CASE item_id % 2 WHEN 0 THEN 'protein identical to expected; 1 synonymous nt change(s) in the insert (silent)' ELSE 'insert matches the expected antibody and reads in-frame through the constant region' END AS reason FROM {_CORES}""")
+def sequencing_qc_silent(spark, d):
+    """Every second read has its 11th codon written another way: any C.C means the same as C.T."""
+    lib, project = _planted()
+    v = lib.vectors[0]
+    _, cores = _reads(spark, d)
+    id = F.substring("ab_key", 3, 20).cast("long")
+    core = F.when(id % 2 == 0, F.concat(F.left("core", F.lit(32)), F.lit("T"), F.substring(F.col("core"), 34, F.length("core")))).otherwise(F.col("core"))
+    reads = cores.select(id.alias("record_idx"), F.concat(F.lower("ab_key"), F.lit("_heavy")).alias("record_id"), seq.assemble(F.lit(v.clean), core, F.lit(v.oh5_end), F.lit(v.oh3_start)).alias("sequence"))
+    return sequencing_qc.run(reads, lib, project, cores).select("record_idx", "kind", "reason")
