@@ -55,7 +55,11 @@ def translate(raw: Column, frame: int = 0) -> Column:
 
     Four-fold families take any third letter.
     """
-    nt = F.translate(clean(raw), "U", "T")
+    return _translated(clean(raw), frame)
+
+
+def _translated(cleaned: Column, frame: int) -> Column:
+    nt = F.translate(cleaned, "U", "T")
     if frame:
         nt = F.substring(nt, frame + 1, 1 << 30)
     whole, family = _literal_map(CODONS), _literal_map(FAMILIES)
@@ -196,36 +200,39 @@ def locus_from_protein(protein: Column) -> Column:
     return out
 
 
+def _frames(raw: Column, body) -> Column:
+    """``body`` of the cleaned sequence and its three forward translations, each made once."""
+    return let(clean(raw), lambda s: let(F.array(*[_translated(s, f) for f in range(3)]), lambda frames: body(s, frames)))
+
+
 def best_frame_protein(raw: Column) -> Column:
     """Of three forward frames the longest protein before a stop, the lowest frame on ties."""
-    frames = F.array(*[to_stop(translate(raw, f)) for f in range(3)])
 
-    def longest(x: Column) -> Column:
-        size = F.array_max(F.transform(x, lambda p: F.length(p)))
-        return F.filter(x, lambda p: F.length(p) == size)[0]
+    def longest(_: Column, frames: Column) -> Column:
+        def pick(x: Column) -> Column:
+            size = F.array_max(F.transform(x, lambda p: F.length(p)))
+            return F.filter(x, lambda p: F.length(p) == size)[0]
 
-    return let(frames, longest)
+        return let(F.transform(frames, to_stop), pick)
+
+    return _frames(raw, longest)
 
 
 def locate_orf(raw: Column, leader: Column) -> Column:
     """The translation from the earliest leader (its first 8 residues) in any forward frame, by
     residue and then by frame; frame 0 from the start where there is none."""
     probe = F.left(leader, F.lit(8))
-    hits = F.array(*[_frame_hit(raw, probe, f) for f in range(3)])
-
-    def pick(h: Column) -> Column:
-        found = F.filter(h, lambda x: x.isNotNull())
-        return F.when(F.size(found) > 0, F.array_min(found)["protein"]).otherwise(translate(raw))
-
-    return let(hits, pick)
 
+    def first(s: Column, frames: Column) -> Column:
+        def hit(p: Column, f: Column) -> Column:
+            at = F.when(F.length(probe) == 0, F.lit(1)).otherwise(F.call_function("instr", p, probe))
+            return F.when((F.length(s) > f) & (at > 0), F.struct(at.alias("at"), f.alias("frame")))
 
-def _frame_hit(raw: Column, probe: Column, frame: int) -> Column:
-    def of(p: Column) -> Column:
-        at = F.when(F.length(probe) == 0, F.lit(1)).otherwise(F.call_function("instr", p, probe))
-        return F.when((F.length(clean(raw)) > frame) & (at > 0), F.struct(at.alias("at"), F.lit(frame).alias("frame"), F.substring(p, at, F.length(p)).alias("protein")))
+        least = F.array_min(F.filter(F.transform(frames, hit), lambda x: x.isNotNull()))
+        cut = lambda x: F.when(x.isNull(), frames[0]).otherwise(F.substring(F.get(frames, x["frame"]), x["at"], F.length(s)))
+        return let(least, cut)
 
-    return let(translate(raw, frame), of)
+    return _frames(raw, first)
 
 
 def extract_insert(raw: Column, vector: Column, oh5_end: Column, core_len: Column) -> Column:

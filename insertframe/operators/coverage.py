@@ -10,20 +10,35 @@ from insertframe.functions import seq
 SEED = 18
 
 
+def seed_index(references: DataFrame, key: str = "ref_id") -> DataFrame:
+    """Rows (key, seed, at): the first place of every seed on a circular reference (key, ref).
+
+    A reference's seeds are made in one task, so their minima are whole before they are shuffled.
+    """
+    # every stretch of the circle in one pass; a short reference is read round once, not more often
+    circle = F.concat("ref", F.left("ref", F.lit(SEED - 1)))
+    seeds = F.regexp_extract_all(circle, F.lit(f"(?=(.{{{SEED}}}))"), F.lit(1))
+    return references.select(key, F.posexplode(seeds).alias("at", "seed")).groupBy(key, "seed").agg(F.min("at").alias("at"))
+
+
 def anchors(reads: DataFrame, references: DataFrame, key: str = "ref_id") -> DataFrame:
-    """Rows (key, start, span): where each read (key, read) begins on its reference (key, reference).
+    """Rows (key, start, span, n, times): where reads (key, read) begin on their reference (key, reference).
 
-    The first 18 letters are sought on the doubled reference, first of the read, then of its
-    reverse complement; shorter reads and reads that are not found make no row.
+    The first 18 letters are sought on the circle, first of the read, then of its reverse complement;
+    shorter reads and reads that are not found make no row. Reads of one start, strand and length are
+    one row with their number. Reads meet an index of the references' seeds, so neither side carries the other's sequence.
     """
     refs = references.select(key, seq.clean(F.col("reference")).alias("ref")).filter(F.length("ref") > 0)
+    index = seed_index(refs, key)
     r = reads.select(key, seq.clean(F.col("read")).alias("read")).filter(F.length("read") >= SEED)
-    j = r.join(refs, key).withColumn("n", F.length("ref"))
-    doubled = F.concat("ref", "ref")
-    forward = F.call_function("instr", doubled, F.left("read", F.lit(SEED)))
-    backward = F.call_function("instr", doubled, F.left(seq.revcomp(F.col("read")), F.lit(SEED)))
-    fits = lambda at: F.when((at > 0) & (at <= F.col("n")), at - 1)
-    return j.select(key, F.coalesce(fits(forward), fits(backward)).alias("start"), F.least(F.length("read"), F.col("n")).alias("span"), "n").filter("start is not null")
+    head = lambda s: F.left(s, F.lit(SEED))
+    seeds = r.select(key, head(F.col("read")).alias("forward"), head(seq.revcomp(F.right("read", F.lit(SEED)))).alias("backward"), F.length("read").alias("span"))
+    seeds = seeds.groupBy(key, "forward", "backward", "span").agg(F.count("*").alias("times"))
+    place = lambda strand: index.select(key, F.col("seed").alias(strand), F.col("at").alias(f"at_{strand}"))
+    found = seeds.join(place("forward"), [key, "forward"], "left").join(place("backward"), [key, "backward"], "left")
+    found = found.withColumn("start", F.coalesce("at_forward", "at_backward")).filter("start is not null")
+    sized = found.join(refs.select(key, F.length("ref").alias("n")), key)
+    return sized.select(key, "start", F.least("span", "n").alias("span"), "n", "times")
 
 
 def depth(reads: DataFrame, references: DataFrame, key: str = "ref_id") -> DataFrame:
@@ -33,15 +48,16 @@ def depth(reads: DataFrame, references: DataFrame, key: str = "ref_id") -> DataF
     the steps that were counted per position gives the depth.
     """
     found = anchors(reads, references, key)
-    end = F.col("start") + F.col("span")
-    wraps = end > F.col("n")
+    end, n = F.col("start") + F.col("span"), F.col("n")
+    wraps = end > n
+    # up at the start, down at the end; round the circle once more up at 0
     steps = F.array(
         F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")),
-        F.struct(F.when(wraps, F.col("n")).otherwise(end).alias("pos"), F.lit(-1).alias("d")),
+        F.struct(F.when(wraps, n).otherwise(end).alias("pos"), F.lit(-1).alias("d")),
         F.struct(F.lit(0).alias("pos"), F.when(wraps, 1).otherwise(0).alias("d")),
-        F.struct(F.when(wraps, end - F.col("n")).otherwise(0).alias("pos"), F.when(wraps, -1).otherwise(0).alias("d")),
+        F.struct(F.when(wraps, end - n).otherwise(0).alias("pos"), F.when(wraps, -1).otherwise(0).alias("d")),
     )
-    counted = found.select(key, F.explode(steps).alias("s")).groupBy(key, "s.pos").agg(F.sum("s.d").alias("d"))
+    counted = found.select(key, "times", F.explode(steps).alias("s")).groupBy(key, "s.pos").agg(F.sum(F.col("s.d") * F.col("times")).alias("d"))
     refs = references.select(key, F.length(seq.clean(F.col("reference"))).alias("n")).filter("n > 0")
     spine = refs.select(key, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
     joined = spine.join(counted, [key, "pos"], "left")

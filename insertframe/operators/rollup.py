@@ -93,25 +93,51 @@ def write_csv(verdicts: DataFrame, columns: tuple[str, ...], path: str) -> None:
 COLORS = {"Pass": "#1b7f3b", "Advisory": "#b07a00", "Fail": "#b3261e"}
 
 
-def html_report(title: str, order: DataFrame | None = None, reads: DataFrame | None = None, most: int | None = None) -> str:
-    """A self-contained page of all verdicts, in input order.
+def _esc(x) -> str:
+    return html.escape("" if x is None else str(x), quote=False)
+
+
+def _html_rows(df: DataFrame, section: int) -> DataFrame:
+    """Rows (section, record_idx, line): the table's lines, made by tasks."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    color = F.create_map(*[F.lit(x) for kv in COLORS.items() for x in kv])[severity(F.col("kind"))]
+    line = F.concat(F.lit("<tr><td>"), esc("record_id"), F.lit("<td>"), esc("ab_id"), F.lit("<td>"), esc("chain_class"), F.lit("<td style='color:"), color, F.lit("'>"), esc("kind"), F.lit("<td>"), esc("reason"), F.lit("</tr>"))
+    return df.select(F.lit(section).alias("section"), F.col("record_idx").cast("long").alias("record_idx"), line.alias("line"))
+
+
+def html_lines(title: str, order: DataFrame | None = None, reads: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Rows (section, record_idx, line) of a self-contained page of all verdicts: the page is the
+    lines in order. Only the counts of kinds reach the driver.
 
     ``most`` limits the rows of each table; the page then says how many there are.
     """
-    esc = lambda x: html.escape("" if x is None else str(x), quote=False)
-    out = [f"<!doctype html><meta charset='utf-8'><title>{esc(title)}</title><style>body{{font-family:sans-serif}}td,th{{padding:4px 8px;text-align:left}}</style><h1>{esc(title)}</h1>"]
-    for name, df in (("Order QC", order), ("Sequencing QC", reads)):
+    spark = (order if order is not None else reads).sparkSession
+    fixed = [(0, 0, f"<!doctype html><meta charset='utf-8'><title>{_esc(title)}</title><style>body{{font-family:sans-serif}}td,th{{padding:4px 8px;text-align:left}}</style><h1>{_esc(title)}</h1>")]
+    parts = []
+    for k, (name, df) in enumerate((("Order QC", order), ("Sequencing QC", reads))):
         if df is None:
             continue
-        out.append(f"<h2>{name}</h2>")
+        at, rows = 10 * k + 1, df
+        fixed.append((at, 0, f"<h2>{name}</h2>"))
         if name == "Order QC":
-            out.append("<p>" + " ".join(f"<b>{esc(r['kind'])}: {r['n']}</b>" for r in summary(df).collect()) + "</p>")
-        out.append("<table><tr><th>Record<th>Antibody<th>Chain<th>Verdict<th>Reason</tr>")
-        rows = df.withColumn("sev", severity(F.col("kind"))).orderBy("record_idx")
+            fixed.append((at, 1, "<p>" + " ".join(f"<b>{_esc(r['kind'])}: {r['n']}</b>" for r in summary(df).collect()) + "</p>"))
         if most is not None and (total := df.count()) > most:
-            out.insert(-1, f"<p>The first {most} of {total} records.</p>")
-            rows = rows.limit(most)
-        for r in rows.toLocalIterator():
-            out.append(f"<tr><td>{esc(r['record_id'])}<td>{esc(r['ab_id'])}<td>{esc(r['chain_class'])}<td style='color:{COLORS[r['sev']]}'>{esc(r['kind'])}<td>{esc(r['reason'])}</tr>")
-        out.append("</table>")
-    return "\n".join(out)
+            fixed.append((at, 2, f"<p>The first {most} of {total} records.</p>"))
+            rows = df.orderBy("record_idx").limit(most)
+        fixed.append((at, 3, "<table><tr><th>Record<th>Antibody<th>Chain<th>Verdict<th>Reason</tr>"))
+        parts.append(_html_rows(rows, at + 1))
+        fixed.append((at + 2, 0, "</table>"))
+    out = spark.createDataFrame(fixed, "section int, record_idx long, line string")
+    for p in parts:
+        out = out.union(p)
+    return out
+
+
+def write_html(path: str, title: str, **page) -> None:
+    """The page as part files whose names are in its order, wherever Spark writes; tasks make and write them."""
+    html_lines(title, **page).orderBy("section", "record_idx").select("line").write.mode("overwrite").text(path)
+
+
+def html_report(title: str, order: DataFrame | None = None, reads: DataFrame | None = None, most: int | None = None) -> str:
+    """The page as one string, for those that fit the driver."""
+    return "\n".join(r["line"] for r in html_lines(title, order, reads, most).orderBy("section", "record_idx").select("line").toLocalIterator())

@@ -396,8 +396,12 @@ dep AS (SELECT item_id, pos, count(*) AS c FROM hit GROUP BY 1, 2),
 depth AS (SELECT p.item_id, p.pos, coalesce(c, 0)::int AS depth FROM (SELECT item_id, unnest(range(0, length(s))) AS pos FROM refs) p LEFT JOIN dep USING (item_id, pos))"""
 
 
-def _depths(spark, d) -> DataFrame:
-    refs = _items(spark, d).withColumnRenamed("s", "reference")
+# the same over documents
+_DOC_READS_SQL = _READS_SQL.replace("item_id", "doc_id").replace("FROM benchmark", "FROM documents")
+
+
+def _depths(spark, d, refs: DataFrame | None = None) -> DataFrame:
+    refs = _items(spark, d).withColumnRenamed("s", "reference") if refs is None else refs
     n = F.length("reference")
     r = refs.filter(n >= 40).select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
     read = F.substring(F.concat("reference", "reference"), (F.col("k") * 17) % n + 1, F.least(n, 20 + 15 * F.col("k")))
@@ -410,14 +414,21 @@ def coverage_depth(spark, d):
     return _depths(spark, d)
 
 
-@query(f"WITH {_READS_SQL} SELECT item_id, count(*) AS length, sum(depth)::bigint AS total, max(depth) AS max, sum((depth > 0)::int)::bigint AS covered, round(avg(depth), 6) AS mean, round(avg((depth > 0)::int), 6) AS breadth FROM depth GROUP BY item_id")
+def _doc_depths(spark, d) -> DataFrame:
+    refs = _docs(spark, d).select(F.col("doc_id").alias("item_id"), F.col("nt").alias("reference"))
+    return _depths(spark, d, refs)
+
+
+@query(f"WITH {_DOC_READS_SQL} SELECT doc_id, count(*) AS length, sum(depth)::bigint AS total, max(depth) AS max, sum((depth > 0)::int)::bigint AS covered, round(avg(depth), 6) AS mean, round(avg((depth > 0)::int), 6) AS breadth FROM depth GROUP BY doc_id")
 def coverage_stats(spark, d):
-    return coverage.statistics(_depths(spark, d), "item_id").withColumn("mean", F.round("mean", 6)).withColumn("breadth", F.round("breadth", 6))
+    """Six reads of each document of 40 letters or more; over all documents."""
+    out = coverage.statistics(_doc_depths(spark, d), "item_id").withColumn("mean", F.round("mean", 6)).withColumn("breadth", F.round("breadth", 6))
+    return out.withColumnRenamed("item_id", "doc_id")
 
 
-@query(f"WITH {_READS_SQL}, m AS (SELECT item_id, count(*) AS n FROM depth GROUP BY 1) SELECT item_id, floor(pos * 20 / n)::int AS \"column\", max(depth) AS depth FROM depth JOIN m USING (item_id) GROUP BY 1, 2")
+@query(f"WITH {_DOC_READS_SQL}, m AS (SELECT doc_id, count(*) AS n FROM depth GROUP BY 1) SELECT doc_id, floor(pos * 20 / n)::int AS \"column\", max(depth) AS depth FROM depth JOIN m USING (doc_id) GROUP BY 1, 2")
 def coverage_chart(spark, d):
-    return coverage.chart(_depths(spark, d), 20, "item_id")
+    return coverage.chart(_doc_depths(spark, d), 20, "item_id").withColumnRenamed("item_id", "doc_id")
 
 
 @query(f"""SELECT doc_id AS record_id, CASE WHEN s = '' THEN 0.0::double ELSE round(length(regexp_replace(s, '[^GC]', '', 'g')) / length(s)::double, 6) END AS gc, length(w) AS total_bp, length(s) AS insert_bp, length(split_part({_sql_translate('w')}, '*', 1)) AS orf_aa, substr(w, {len(LEADER) - 22 + 1}, 44) AS junction

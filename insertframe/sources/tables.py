@@ -55,10 +55,19 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Records after each ``>``: the first word is the id (may be empty), the lines are joined.
 
     The reader splits at line ends before a ``>``, so a file of any size is read by many tasks.
-    Numbers follow the stretches of the files that tasks read: a row per stretch is summed up.
     """
+    return fasta_records(fasta_parts(spark.read, path))
+
+
+def fasta_parts(reader, path: str) -> DataFrame:
+    """Rows (source_file, block, part): what stands between two marks; from a reader of files or of a stream of them."""
     meta = F.col("_metadata")
-    parts = spark.read.option("lineSep", "\n>").text(path).select(meta["file_path"].alias("source_file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", "\r", "").alias("part"))
+    return reader.format("text").option("lineSep", "\n>").load(path).select(meta["file_path"].alias("source_file"), meta["file_block_start"].alias("block"), F.regexp_replace("value", "\r", "").alias("part"))
+
+
+def fasta_records(parts: DataFrame) -> DataFrame:
+    """The records of parts. Numbers follow the stretches of the files that tasks read: a row per stretch is summed up."""
+    parts = parts.withColumn("n", F.monotonically_increasing_id())
     # rows of a stretch are numbered one after another; a row per stretch
     blocks = parts.groupBy("source_file", "block").agg(F.min("n").alias("first"), F.count("*").alias("rows"))
     before = F.coalesce(F.sum("rows").over(Window.orderBy("source_file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -5,25 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from insertframe.functions.seq import clean
+from insertframe.sources.tables import fasta_parts, fasta_records
 
 
 def fasta_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of records (record_id, sequence, source_file, record_idx); places count per file."""
-    files = spark.readStream.format("text").option("wholetext", True).load(folder).select(F.col("_metadata.file_path").alias("source_file"), "value")
-    parts = F.slice(F.split(F.concat(F.lit("\n"), F.regexp_replace("value", "\r", "")), "\n>", -1), 2, 1 << 30)
-    rows = files.select("source_file", F.posexplode(parts).alias("record_idx", "part"))
-    head = F.substring_index("part", "\n", 1)
-    return rows.select(F.regexp_extract(head, r"^\s*(\S*)", 1).alias("record_id"), clean(F.substring(F.col("part"), F.length(head) + 2, F.length("part"))).alias("sequence"), "source_file", F.col("record_idx").cast("long").alias("record_idx"))
+    """A stream of the parts of new FASTA files, as ``judge`` takes them. A file of any size is read by
+    many tasks, split at its records."""
+    return fasta_parts(spark.readStream, folder)
 
 
 def judge(stream: DataFrame, gate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Runs a gate over each micro-batch; a batch's verdicts replace themselves if it is run again."""
+    """Runs a gate over the records of each micro-batch of files (record_id, sequence, source_file,
+    record_idx, which counts within the batch as it would over a folder of its files); a batch's
+    verdicts replace themselves if it is run again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        gate(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        gate(fasta_records(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

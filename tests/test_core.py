@@ -367,6 +367,45 @@ def test_stream(spark, tmp_path):
     assert {r["kind"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"NO_GROUND_TRUTH", "OVERHANG_MISSING"}
 
 
+def test_stream_of_a_file_in_many_splits(spark, tmp_path):
+    """Files arrive over two runs and are read by many tasks, numbered as the batch reader does."""
+    from insertframe.streaming import watch
+
+    (tmp_path / "in").mkdir()
+    body = lambda k, n: "".join(f">r{k}.{i} x\r\nAC\nGT{'A' * (i % 7)}\n" for i in range(n))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    tasks = []
+
+    def gate(df):
+        tasks.append(df.rdd.getNumPartitions())
+        return df
+
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+        for k, names in enumerate((["a"], ["b", "c"])):
+            for n in names:
+                (tmp_path / "in" / f"{n}.fa").write_bytes(("junk\n" if n == "c" else "").encode() + body(n, 150).encode())
+            watch.judge(watch.fasta_stream(spark, str(tmp_path / "in")), gate, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+            own = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/batch={k}").select("record_id", "sequence", "record_idx").orderBy("record_idx").collect()]
+            batch = tables.read_fasta(spark, str(tmp_path / "in" / ("a.fa" if k == 0 else "[bc].fa"))).select("record_id", "sequence", "record_idx")
+            assert own == [tuple(r) for r in batch.orderBy("record_idx").collect()] and len(own) == 150 * (k + 1)
+            assert [r[0] for r in own] == [f"r{n}.{i}" for n in names for i in range(150)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_page_in_parts(spark, tmp_path):
+    """Part files, one after another, are the page; and the page is what it has always been."""
+    rows = spark.createDataFrame([(k, f"r<{k}>", "A&B", "heavy", ["PASS", "NO_GROUND_TRUTH", "OVERHANG_MISSING"][k % 3], None) for k in range(40)], "record_idx long, record_id string, ab_id string, chain_class string, kind string, reason string").repartition(7)
+    rollup.write_html(str(tmp_path / "p"), "t & t", order=rows, reads=rows, most=30)
+    parts = "".join(p.read_text() for p in sorted((tmp_path / "p").glob("part-*")))
+    page = rollup.html_report("t & t", order=rows, reads=rows, most=30)
+    assert parts == page + "\n" and page.count("<tr><td>") == 60 and page.count("The first 30 of 40") == 2
+    lines = page.split("\n")
+    assert lines[0].startswith("<!doctype html>") and lines[1] == "<h2>Order QC</h2>" and lines[2] == "<p><b>NO_GROUND_TRUTH: 13</b> <b>OVERHANG_MISSING: 13</b> <b>PASS: 14</b></p>"
+    assert lines[5] == "<tr><td>r&lt;0&gt;<td>A&amp;B<td>heavy<td style='color:#1b7f3b'>PASS<td></tr>" and lines[-1] == "</table>"
+
+
 def test_anchor_is_in_the_constant_region():
     assert plain.translate(CONSTANT).startswith(ANCHOR) and plain.translate(LEADER)
 
