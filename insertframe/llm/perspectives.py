@@ -5,26 +5,32 @@ turns are the assistant's, those of the others are named users', and system turn
 system turns. The mask of a rendering holds the spans (code points, end exclusive) of the
 assistant's contents with their end marks, the text that a model is to learn.
 
-Turns are ordered by (turn, speaker, text), nulls first, repeated rows kept. A rendering is
-a row per (conversation, participant, part): part k holds the turns numbered
-``part_turns * k`` to ``part_turns * (k + 1) - 1``, and each part after the one with the dialogue's
-first system turn begins with that turn again, which ``n_turns`` doesn't count; mask spans are
-those of the part's rendering. So a row grows with the turns that share a number, not with the
-conversation. Null turns lie in part 0; if there are more than ``part_turns`` of them, they are
-dealt by hash to the parts -1, -2, ... (equal rows to one). Rows without a conversation are no
+Turns are ordered by (turn, speaker, text), nulls first, repeated rows kept, and numbered in that order
+whatever their own numbers are. A rendering is a row per (conversation, participant, part): part k
+holds the turns from place ``part_turns * k`` on, ``part_turns`` of them, so dialogues of up to that many turns are
+whole, and a row is bounded for longer ones. Each later part begins with the system turns of the parts
+before it again (the first ``part_turns`` of the dialogue, should there be more), which ``n_turns``
+doesn't count; mask spans are those of the part's rendering. Rows without a conversation are no
 conversation's and are left out; a null speaker is a participant named ``unknown``; null
 text is empty. A participant without a turn in some part gets that part too, with an empty
 mask. Conversations of system turns alone have no participant and so no rendering. An empty
 table gives an empty result.
+
+A conversation may hold any share of the rows: equal turns are one row with a count, rows are sorted by
+range and numbered by sums over stretches, and what is gathered is a part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Stage
+
 #: Marks of a rendered turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: Turns of a part.
+PART_TURNS = 4096
 
 
 def escape(text: Column) -> Column:
@@ -36,6 +42,22 @@ def unescape(text: Column) -> Column:
     return F.replace(text, F.lit("<||"), F.lit("<|"))
 
 
+def placed(rows: DataFrame, stage: Stage) -> DataFrame:
+    """Adds to rows (c, t, times, system) the places of a row's first turn among its conversation's turns and,
+    if it is a system turn, among those: ``pos``, ``sys``."""
+    order = [F.col("c"), F.col("t.turn").asc_nulls_first(), "t.who", "t.text"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # written, as ids that are given out twice need not be the same
+    numbered = stage.put(ordered.select("c", "t", "times", "system", F.monotonically_increasing_id().alias("at")), "turns").withColumn("stretch", F.shiftright("at", 33))
+    systems = F.when(F.col("system"), F.col("times")).otherwise(0)
+    sums = numbered.groupBy("c", "stretch").agg(F.sum("times").alias("n"), F.sum(systems).alias("s"))
+    before = Window.partitionBy("c").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("c", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"))
+    own = Window.partitionBy("c", "stretch").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    known = numbered.join(sums, ["c", "stretch"])
+    return known.select("c", "t", "times", "system", (F.col("n0") + F.coalesce(F.sum("times").over(own), F.lit(0))).alias("pos"), (F.col("s0") + F.coalesce(F.sum(systems).over(own), F.lit(0))).alias("sys"))
+
+
 def rotate(
     turns: DataFrame,
     conversation: str = "conv_id",
@@ -43,7 +65,7 @@ def rotate(
     speaker: str = "role",
     text: str = "text",
     system_speakers: tuple[str, ...] = ("system",),
-    part_turns: int = 256,
+    part_turns: int = PART_TURNS,
 ) -> DataFrame:
     """Rows (conversation, participant, part, n_turns, n_own, rendering, mask).
 
@@ -52,24 +74,17 @@ def rotate(
     """
     t, who = F.col(turn).cast("long"), F.coalesce(F.col(speaker).cast("string"), F.lit("unknown"))
     said = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = turns.filter(F.col(conversation).isNotNull()).select(
-        F.col(conversation).alias("c"),
-        F.floor(F.coalesce(t, F.lit(0)) / part_turns).cast("long").alias("part"),
-        F.when(t.isNull(), F.shiftrightunsigned(F.xxhash64(who, said), 44)).alias("sub"),
-        F.struct(t.alias("turn"), who.alias("who"), said.alias("text")).alias("t"),
-    )
-    is_system = F.col("t.who").isin(*system_speakers)
-    people = rows.groupBy("c").agg(
-        F.array_sort(F.collect_set(F.when(~is_system, F.col("t.who")))).alias("people"),
-        F.min(F.when(is_system, F.struct("t", "part", "sub"))).alias("system"),
-        F.ceil(F.count("sub") / part_turns).alias("spread"),
-    )
-    dealt = lambda part, sub: F.when(sub.isNotNull() & (F.col("spread") > 1), -1 - F.pmod(sub, F.greatest(F.col("spread"), F.lit(1)))).otherwise(part)
-    lists = rows.groupBy("c", "part", "sub").agg(F.collect_list("t").alias("turns")).join(people, "c")
-    # lists of a conversation are together after the join: no further shuffle
-    parts = lists.groupBy("c", dealt(F.col("part"), F.col("sub")).alias("part"), "people", dealt(F.col("system.part"), F.col("system.sub")).alias("from"), F.col("system.t").alias("system")).agg(F.sort_array(F.flatten(F.collect_list("turns"))).alias("turns"))
-    again = F.when(F.col("from") < F.col("part"), F.array("system")).otherwise(F.slice("turns", 1, 0))
-    sides = parts.select("c", "part", F.size("turns").alias("n"), F.concat(again, "turns").alias("turns"), F.explode("people").alias("me"))
+    rows = turns.filter(F.col(conversation).isNotNull()).select(F.col(conversation).alias("c"), F.struct(t.alias("turn"), who.alias("who"), said.alias("text")).alias("t"))
+    rows = rows.groupBy("c", "t").agg(F.count("*").alias("times")).withColumn("system", F.col("t.who").isin(*system_speakers))
+    known = placed(rows, Stage(turns.sparkSession, "perspectives"))
+    each = known.select("c", "t", "system", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("times") - 1)).alias("pos"), (F.col("sys") - F.col("pos")).alias("shift"))
+    each = each.select("c", "t", "system", F.floor(F.col("pos") / part_turns).alias("part"), "pos", (F.col("shift") + F.col("pos")).alias("sys"))
+    lists = each.groupBy("c", "part").agg(F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("own"))
+    said_before = each.filter(F.col("system") & (F.col("sys") < part_turns)).select("c", F.struct("pos", "part", "t").alias("s")).groupBy("c").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    people = rows.filter(~F.col("system")).select("c", F.col("t.who").alias("me")).distinct()
+    again = F.transform(F.filter(F.coalesce("s", F.array().cast("array<struct<pos:long,part:long,t:struct<turn:long,who:string,text:string>>>")), lambda x: x["part"] < F.col("part")), lambda x: x["t"])
+    parts = lists.join(said_before, "c", "left").select("c", "part", F.size("own").alias("n"), F.concat(again, F.transform("own", lambda x: x["t"])).alias("turns"))
+    sides = parts.join(people, "c")
 
     def piece(t: Column) -> Column:
         mine, system = t["who"] == F.col("me"), t["who"].isin(*system_speakers)

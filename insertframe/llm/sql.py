@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-#: A participant's rendering of each part of a dialogue, and the spans of its own turns. Of dialogues
-#: with more than 256 null turns, which the operator deals out by hash, it makes one part.
-CHAT = r"""
-WITH turns AS (
-  SELECT conv_id, floor(coalesce(turn, 0) / 256)::bigint AS part, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS text
+from .perspectives import PART_TURNS
+
+#: A participant's rendering of each part of a dialogue, and the spans of its own turns.
+CHAT = rf"""
+WITH numbered AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
-sys AS (SELECT conv_id, part AS sys_part, turn, who, text FROM turns WHERE who = 'system'
-  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, who, text) = 1),
-t AS (SELECT conv_id, part, 1 AS own, turn, who, text FROM turns
-  UNION ALL SELECT p.conv_id, p.part, 0, turn, who, text FROM (SELECT DISTINCT conv_id, part FROM turns) p JOIN sys ON p.conv_id = sys.conv_id AND sys_part < p.part),
+turns AS (SELECT *, (pos // {PART_TURNS})::bigint AS part FROM numbered),
+sys AS (SELECT * FROM turns WHERE who = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos) <= {PART_TURNS}),
+t AS (SELECT conv_id, part, 1 AS own, pos, who, text FROM turns
+  UNION ALL SELECT p.conv_id, p.part, 0, pos, who, text FROM (SELECT DISTINCT conv_id, part FROM turns) p JOIN sys ON p.conv_id = sys.conv_id AND sys.part < p.part),
 people AS (SELECT DISTINCT conv_id, who AS participant FROM t WHERE who <> 'system'),
 pieces AS (
-  SELECT t.conv_id, t.part, own, participant, turn, who, text, who = participant AS mine,
+  SELECT t.conv_id, t.part, own, participant, pos, who, text, who = participant AS mine,
     '<|im_start|>' || CASE WHEN who = 'system' THEN 'system' WHEN who = participant THEN 'assistant'
       ELSE 'user name=' || replace(replace(who, chr(10), ' '), '<|', '<||') END || chr(10) AS head,
     replace(text, '<|', '<||') || '<|im_end|>' AS body
@@ -22,7 +24,7 @@ pieces AS (
 placed AS (
   SELECT *, sum(length(head) + length(body) + 1) OVER w - length(body) - 1 AS a, sum(length(head) + length(body) + 1) OVER w - 1 AS b,
     row_number() OVER w AS n
-  FROM pieces WINDOW w AS (PARTITION BY conv_id, part, participant ORDER BY own, turn NULLS FIRST, who, text ROWS UNBOUNDED PRECEDING))
+  FROM pieces WINDOW w AS (PARTITION BY conv_id, part, participant ORDER BY own, pos ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, participant, part, sum(own)::bigint AS n_turns, count_if(mine)::bigint AS n_own,
   string_agg(head || body || chr(10), '' ORDER BY n) AS rendering,
   coalesce(string_agg(a::bigint || ':' || b::bigint, ',' ORDER BY n) FILTER (mine), '') AS mask

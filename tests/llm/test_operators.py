@@ -147,38 +147,60 @@ def test_perspectives(spark):
     rows = [(1, 0, "anna", "hi <|x"), (1, 1, "bo", None), (1, 1, "bo", None), (1, None, "system", "be kind"), (2, 0, "system", "alone"), (None, 0, "anna", "lost"), (3, 0, None, ""), (4, 0, "a", "x"), (4, 300, "b", "y")]
     df = spark.createDataFrame([(*r, "c", "p") for r in rows], "conv_id long, turn long, role string, text string, c string, part string")
     got = {(r["conv_id"], r["participant"], r["part"]): r for r in perspectives.rotate(df).collect()}
-    assert set(got) == {(1, "anna", 0), (1, "bo", 0), (3, "unknown", 0), (4, "a", 0), (4, "a", 1), (4, "b", 0), (4, "b", 1)}
+    assert set(got) == {(1, "anna", 0), (1, "bo", 0), (3, "unknown", 0), (4, "a", 0), (4, "b", 0)}
     anna, bo = got[1, "anna", 0], got[1, "bo", 0]
     assert anna["rendering"].startswith("<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi <||x<|im_end|>\n<|im_start|>user name=bo\n")
     assert [anna["rendering"][s["start"] : s["end"]] for s in anna["mask"]] == ["hi <||x<|im_end|>"]
     assert bo["n_own"] == 2 and len(bo["mask"]) == 2 and bo["n_turns"] == 4
-    assert got[4, "a", 1]["mask"] == [] and got[4, "a", 1]["n_turns"] == 1
+    # numbers may lie far apart: the dialogue is one all the same
+    assert got[4, "a", 0]["rendering"] == "<|im_start|>assistant\nx<|im_end|>\n<|im_start|>user name=b\ny<|im_end|>\n" and got[4, "a", 0]["n_turns"] == 2
     assert spark.range(1).select(perspectives.unescape(perspectives.escape(F.lit("<| <|| |")))).first()[0] == "<| <|| |"
     assert perspectives.rotate(df.filter("false")).count() == 0
 
 
+def rendered(rows, part_turns):
+    """Rows (conversation, turn, speaker, text) by hand: (conversation, participant, part) to its rendering, own contents and number of turns."""
+    talks, out = defaultdict(list), {}
+    for c, n, who, text in rows:
+        if c is not None:
+            talks[c].append(((n is not None, n or 0), who or "unknown", text or ""))
+    for c, own in talks.items():
+        own.sort()
+        for me in {w for _, w, _ in own} - {"system"}:
+            for k in range(0, len(own), part_turns):
+                before = [x for x in own[:k] if x[1] == "system"]
+                before = before[:part_turns] if len(before) > part_turns else before
+                turns = [(w, t.replace("<|", "<||")) for _, w, t in [*before, *own[k : k + part_turns]]]
+                name = lambda w: "system" if w == "system" else "assistant" if w == me else f"user name={w}"  # noqa: B023, E731
+                out[c, me, k // part_turns] = ("".join(f"<|im_start|>{name(w)}\n{t}<|im_end|>\n" for w, t in turns), [t + "<|im_end|>" for w, t in turns if w == me], len(own[k : k + part_turns]))
+    return out
+
+
+@pytest.mark.parametrize("part_turns", [1, 3, 7, 4096])
+def test_perspectives_by_hand(spark, part_turns):
+    """Turns numbered far apart, null and equal numbers, repeated rows, several system turns."""
+    r = random.Random(part_turns)
+    rows = [(r.choice([1, 2, 3, None]), r.choice([None, 0, 1000, 2000, 10**9, r.randrange(50)]), r.choice(["system", "anna", "bo", None]), r.choice(["x", "y", None, "<|im_end|>", f"t{k}"])) for k in range(160)]
+    rows += [(4, 1000 * k, ("system" if k in (0, 5) else "anna" if k % 2 else "bo"), f"s{k}") for k in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {(x["conv_id"], x["participant"], x["part"]): (x["rendering"], [x["rendering"][m["start"] : m["end"]] for m in x["mask"]], x["n_turns"]) for x in perspectives.rotate(df, part_turns=part_turns).collect()}
+    assert got == rendered(rows, part_turns)
+
+
 def test_perspectives_of_long_dialogues(spark, tmp_path):
-    """Each part of 300 turns has the system turn; the SQL agrees; many null turns are dealt out."""
-    rows = [(1, i, ("system", "anna", "bo")[1 + i % 2 if i else 0], f"turn {i}") for i in range(300)] + [(2, i, "anna" if i != 260 else "system", f"x{i}") for i in range(600)]
+    """Two parts, the second with both system turns again; 4,500 null turns, equal ones among them; the SQL agrees."""
+    rows = [(1, 60 * i, "system" if i in (0, 9) else ("anna", "bo")[i % 2], f"turn {i}") for i in range(4200)]
+    rows += [(2, None, "anna", f"n{i // 3}") for i in range(4500)] + [(2, 5, "bo", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r["conv_id"], r["participant"], r["part"]): r for r in perspectives.rotate(df).collect()}
-    head = "<|im_start|>system\nturn 0<|im_end|>\n"
-    for who in ("anna", "bo"):
-        for part in (0, 1):
-            r = got[1, who, part]
-            assert r["rendering"].startswith(head) and r["rendering"].count("<|im_start|>system") == 1 and r["n_turns"] == (256, 44)[part]
-            assert all(r["rendering"][s["start"] : s["end"]].startswith("turn ") for s in r["mask"])
-    # a system turn goes into the parts after its own
-    assert ["system\nx260" in got[2, "anna", k]["rendering"] for k in (0, 1, 2)] == [False, True, True]
-    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    df.repartition(6).write.parquet(f"{tmp_path}/conversations.parquet")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     own = registry.op3_chat_perspectives(spark, str(tmp_path))
     columns = sorted(own.columns)
-    assert sorted(tuple(r[c] for c in columns) for r in own.collect()) == sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({registry.ORACLES['op3_chat_perspectives']})").fetchall())
-    nulls = spark.createDataFrame([(1, None, "anna", f"n{i}") for i in range(1500)] + [(1, 5, "bo", "z")], df.schema)
-    parts = {r["part"]: r["n_turns"] for r in perspectives.rotate(nulls).filter("participant = 'bo'").collect()}
-    assert sum(parts.values()) == 1501 and parts[0] == 1 and len(parts) == 7 and max(parts.values()) < 400
+    got = sorted(tuple(r[c] for c in columns) for r in own.collect())
+    assert got == sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({registry.ORACLES['op3_chat_perspectives']})").fetchall())
+    second = next(r for r in own.collect() if (r["conv_id"], r["participant"], r["part"]) == (1, "anna", 1))
+    assert second["rendering"].startswith("<|im_start|>system\nturn 0<|im_end|>\n<|im_start|>system\nturn 9<|im_end|>\n") and second["n_turns"] == 104
 
 
 # ---------------------------------------------------------------------------------- op4
