@@ -14,11 +14,15 @@ line's length. SimHashes of whole lines are not the blocks, because they can't b
 tenth of the words turns nine bits of 64 on average, beyond any radius that has selective blocks.
 
 Lines that share a piece are held against each other. Where over ``most`` lines share one, they
-are held against the first of them; unless all are like it, the group meets again by each pair
-of pieces, then by three, and so on, so no large group's pairs are all made. Pairs that
+are held against the first of them; unless all are like it, they meet again: by the ``pieces`` windows of
+each line that the fewest of these crowded lines have (but more than one), so that lines with a long common
+beginning meet by what is their own, and by as many of those that over ``most`` have, the rarest first. Groups by the
+latter that are large again meet by each pair of these, then by three, and so on, as long as
+that splits them, so no large group's pairs are all made. Pairs that
 meet are verified by edit similarity, 1 - (word edits / words of the longer line), of at least ``min_similarity`` (0.8).
-Two similar lines are lost only if their lowest pieces have none in common (recall by length is
-in the README and in the tests), or only such as, in every combination, over ``most`` lines have.
+Two similar lines are lost only if their lowest pieces have none in common, or if all windows they share are shared
+by over ``most`` lines of which the first is like neither, in every combination (recall by length and of
+families of lines is in the README and in the tests).
 Of each connected group of lines the first occurrence, by key and then by line number, stays;
 the others go, with their line ends.
 In edit distances a word counts as one of 41,984 hashed codes.
@@ -164,19 +168,51 @@ def verify(pairs: DataFrame, texts: DataFrame, min_similarity: float) -> DataFra
     return both.filter(close).select("a", "b", "at_a", "at_b")
 
 
-def similar_lines(reps: DataFrame, docs: DataFrame, stage: Stage, key: str, text: str, min_similarity: float, most: int) -> DataFrame:
+def windows_of(code: Column) -> Column:
+    """The windows of a coded line, each once, hashed: of three words, of a short line of two as well."""
+    of = lambda n: F.regexp_extract_all(code, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1))
+    found = F.when(F.length(code) <= SHORT, F.concat(of(2), of(3))).otherwise(of(3))
+    return F.transform(F.array_distinct(found), lambda w: F.xxhash64(w))
+
+
+def rarest(texts: DataFrame, ids: DataFrame, stage: Stage, count: int, most: int) -> DataFrame:
+    """Rows (id, few, many): of each line's windows that another of these lines has too, the ``count`` that the
+    fewest lines have, the lowest hash on ties: of those that up to ``most`` have, and of the others."""
+    own = stage.put(may_hold(texts, F.col("id"), ids, F.col("id"), PIECE_BITS).join(ids, "id").select("id", F.explode(windows_of(F.col("code"))).alias("w")), "windows")
+    counts = stage.put(own.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    # both sides come from files, so a hot window's partition can be split
+    shared = may_hold(own, F.col("w"), counts, F.col("w"), PIECE_BITS).join(counts, "w")
+    first = lambda fits: F.transform(F.slice(F.sort_array(F.collect_list(F.when(fits, F.struct("n", "w")))), 1, count), lambda x: x["w"])
+    out = stage.put(shared.groupBy("id").agg(first(F.col("n") <= most).alias("few"), first(F.col("n") > most).alias("many")), "rarest")
+    for done in ("windows", "counts"):
+        stage.drop(done)
+    return out
+
+
+def similar_lines(reps: DataFrame, docs: DataFrame, stage: Stage, key: str, text: str, min_similarity: float, most: int, count: int) -> DataFrame:
     """Links (a, b) between the places of similar lines; ``reps`` has (id, at, ps).
 
     Several lines of one identity are all fetched and verified. Links join what is similar, not
     all that is: in a large group, two lines similar to the first need no link.
     """
     known = reps.filter("size(ps) > 0")
-    seeds = known.select("id", F.explode("ps").alias("key")).withColumn("last", F.col("key"))
+    seeds = known.select("id", F.explode("ps").alias("key"), F.lit(None).cast("long").alias("before")).withColumn("last", F.col("key"))
     level, links, tried, texts, pieces = 0, None, None, None, None
+
+    def fetch(ids: DataFrame, name: str) -> DataFrame:
+        """The texts so far and those of ``ids`` that aren't among them."""
+        ids = stage.put(ids if texts is None else ids.join(texts.select("id"), "id", "left_anti"), f"ids-{name}")
+        wanted = stage.put(may_hold(known.select("id", "at.*"), F.col("id"), ids, F.col("id"), PIECE_BITS).join(ids, "id"), f"wanted-{name}")
+        fetched = stage.put(codes_of(wanted, docs, key, text), f"texts-{name}")
+        stage.drop(f"ids-{name}")
+        stage.drop(f"wanted-{name}")
+        stage.release()
+        return fetched if texts is None else texts.union(fetched)
+
     while True:
-        groups = seeds.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("end"), F.count("*").alias("m")).filter("lead < end").select("key", "lead", "m")
-        groups = stage.put(groups, f"groups-{level}")
-        met = stage.put(may_hold(seeds, F.col("key"), groups, F.col("key"), PIECE_BITS).join(groups, "key"), f"met-{level}")
+        groups = seeds.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("end"), F.count("*").alias("m"), F.max("before").alias("before")).filter("lead < end")
+        groups = stage.put(groups.select("key", "lead", "m", (F.col("m") < F.coalesce("before", F.col("m") + 1)).alias("split")), f"groups-{level}")
+        met = stage.put(may_hold(seeds.drop("before"), F.col("key"), groups, F.col("key"), PIECE_BITS).join(groups, "key"), f"met-{level}")
         stage.drop(f"groups-{level}")
         if level:
             stage.drop(f"seeds-{level - 1}")
@@ -189,28 +225,27 @@ def similar_lines(reps: DataFrame, docs: DataFrame, stage: Stage, key: str, text
         # those of an earlier level are settled
         pairs = stage.put(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{level}")
         tried = pairs if tried is None else tried.union(pairs)
-        if level < 2:
-            # texts are fetched for the pairs, and at the second level for all that later ones may ask for
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-            ids = (ids.union(large.select("id")) if level else ids).distinct()
-            ids = stage.put(ids if texts is None else ids.join(texts.select("id"), "id", "left_anti"), f"ids-{level}")
-            wanted = stage.put(may_hold(known.select("id", "at.*"), F.col("id"), ids, F.col("id"), PIECE_BITS).join(ids, "id"), f"wanted-{level}")
-            fetched = stage.put(codes_of(wanted, docs, key, text), f"texts-{level}")
-            texts = fetched if texts is None else texts.union(fetched)
-            stage.drop(f"ids-{level}")
-            stage.drop(f"wanted-{level}")
-            stage.release()
+        if not level:
+            texts = fetch(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pairs")
         own_texts = may_hold(texts, F.col("id"), pairs.select(F.explode(F.array("a", "b")).alias("id")), F.col("id"), PIECE_BITS)
         new = stage.put(verify(pairs, own_texts, min_similarity), f"links-{level}")
         stage.release()
         links = new if links is None else links.union(new)
-        # a line that is not linked to the first of its large group is loose: the group meets again
-        loose = large.filter(F.col("id") != F.col("lead")).join(links.select(F.col("a").alias("lead"), F.col("b").alias("id")), ["lead", "id"], "left_anti").select("key").distinct()
-        crowded = stage.put(large.join(loose, "key", "left_semi").select("key", "id", "last"), f"crowded-{level}")
-        if pieces is None:
-            pieces = stage.put(known.select("id", "ps").join(crowded.select("id").distinct(), "id"), "pieces")
-        further = crowded.join(pieces, "id").select("id", "key", F.explode(F.filter("ps", lambda p: p > F.col("last"))).alias("last"))
-        seeds = stage.put(further.select("id", F.xxhash64("key", "last").alias("key"), "last"), f"seeds-{level}")
+        # a line that is not linked to the first of its large group is loose: the group meets again,
+        # unless it is what it was before it was split
+        loose = large.filter(F.col("split") & (F.col("id") != F.col("lead"))).join(links.select(F.col("a").alias("lead"), F.col("b").alias("id")), ["lead", "id"], "left_anti").select("key").distinct()
+        crowded = stage.put(large.join(loose, "key", "left_semi").select("key", "id", "last", "m"), f"crowded-{level}")
+        if not level:
+            # by the windows that few of the crowded lines have; by the rarest of the others they meet again
+            ids = stage.put(crowded.select("id").distinct(), "crowd")
+            texts = fetch(ids, "crowd")
+            pieces = rarest(texts, ids, stage, count, most)
+            stage.drop("crowd")
+            further = pieces.select("id", F.explode(F.concat("few", "many")).alias("last")).select("id", F.col("last").alias("key"), F.lit(None).cast("long").alias("before"), "last")
+        else:
+            further = crowded.join(pieces, "id").select("id", "key", F.col("m").alias("before"), F.explode(F.filter("many", lambda p: p > F.col("last"))).alias("last"))
+            further = further.select("id", F.xxhash64("key", "last").alias("key"), "before", "last")
+        seeds = stage.put(further, f"seeds-{level}")
         for done in ("met", "crowded"):
             stage.drop(f"{done}-{level}")
         level += 1
@@ -226,7 +261,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     at = F.struct("k", "th", "line")
     reps = stage.put(lines.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.first("id").alias("id"), F.first("ps").alias("ps"), F.count("*").alias("times")), "reps")
     stage.release()
-    found = components(similar_lines(reps.select("id", "at", "ps"), own, stage, key, text, min_similarity, most), stage)
+    found = components(similar_lines(reps.select("id", "at", "ps"), own, stage, key, text, min_similarity, most, pieces), stage)
     kept = reps.join(found, reps["at"] == found["node"], "left").select("k1", "k2", F.coalesce("component", "at").alias("kept"), ((F.col("times") > 1) | (F.col("component") < F.col("at"))).alias("any"))
     kept = stage.put(kept.filter(F.coalesce("any", F.lit(False))).drop("any"), "kept")
     # both sides come from files, so a hot line's partition can be split

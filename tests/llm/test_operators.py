@@ -371,6 +371,24 @@ def test_line_dedup(spark, odd, empty):
     assert linededup.report(odd).count() == odd.filter("doc_id is not null").count()
 
 
+@pytest.mark.parametrize("common, own, changed", [(30, 9, 1), (60, 20, 2), (100, 30, 3)])
+def test_families_of_lines(spark, common, own, changed):
+    """Two hundred pairs with one long common beginning, each pair unlike the others: nine in ten are found."""
+    r = random.Random(common)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    head, rows = [word() for _ in range(common)], []
+    for k in range(200):
+        tail = [word() for _ in range(own)]
+        other = list(tail)
+        for i in r.sample(range(own), changed):
+            other[i] = word()
+        rows += [(2 * k, " ".join(head + tail)), (2 * k + 1, " ".join(head + other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["k"]: r["kept"]["k"] for r in linededup.dropped_lines(df, **linededup.WHOLE).collect()}
+    assert all(k % 2 and v == k - 1 for k, v in got.items())
+    assert len(got) >= 180
+
+
 # ---------------------------------------------------------------------------------- op6
 
 def fingerprint(t):
