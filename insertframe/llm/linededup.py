@@ -15,7 +15,7 @@ tenth of the words turns nine bits of 64 on average, beyond any radius that has
 
 Lines that share a piece are held against each other. Where over ``most`` lines share one, they
 are held against the first of them; unless all are like it, they meet again: by the ``pieces`` windows of
-each line that the fewest of these crowded lines have (but more than one), so that lines with a long common
+each line that the fewest of the crowded lines have (but more than one), so that lines with a long common
 beginning meet by what is their own, and by as many of those that over ``most`` have, the rarest first. Groups by the
 latter that are large again meet by each pair of these, then by three, and so on, as long as
 that splits them, so no large group's pairs are all made. Pairs that
@@ -169,23 +169,24 @@ def verify(pairs: DataFrame, texts: DataFrame, min_similarity: float) -> DataFra
 
 
 def windows_of(code: Column) -> Column:
-    """The windows of a coded line, each once, hashed: of three words, of a short line of two as well."""
+    """The windows of a coded line, each once, hashed to 32 bits: of three words, of a short line of two as well."""
     of = lambda n: F.regexp_extract_all(code, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1))
     found = F.when(F.length(code) <= SHORT, F.concat(of(2), of(3))).otherwise(of(3))
-    return F.transform(F.array_distinct(found), lambda w: F.xxhash64(w))
+    return F.transform(F.array_distinct(found), lambda w: F.hash(w))
 
 
-def rarest(texts: DataFrame, ids: DataFrame, stage: Stage, count: int, most: int) -> DataFrame:
+def rarest(texts: DataFrame, stage: Stage, count: int, most: int) -> DataFrame:
     """Rows (id, few, many): of each line's windows that another of these lines has too, the ``count`` that the
     fewest lines have, the lowest hash on ties: of those that up to ``most`` have, and of the others."""
-    own = stage.put(may_hold(texts, F.col("id"), ids, F.col("id"), PIECE_BITS).join(ids, "id").select("id", F.explode(windows_of(F.col("code"))).alias("w")), "windows")
-    counts = stage.put(own.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
-    # both sides come from files, so a hot window's partition can be split
+    # made twice, which costs less than to keep them
+    own = texts.select("id", F.explode(windows_of(F.col("code"))).alias("w"))
+    counts = stage.put(own.groupBy("w").agg(F.count("*").cast("int").alias("n")).filter("n > 1"), "counts")
+    stage.release()
     shared = may_hold(own, F.col("w"), counts, F.col("w"), PIECE_BITS).join(counts, "w")
-    first = lambda fits: F.transform(F.slice(F.sort_array(F.collect_list(F.when(fits, F.struct("n", "w")))), 1, count), lambda x: x["w"])
+    first = lambda fits: F.transform(F.slice(F.sort_array(F.collect_list(F.when(fits, F.struct("n", "w")))), 1, count), lambda x: x["w"].cast("long"))
     out = stage.put(shared.groupBy("id").agg(first(F.col("n") <= most).alias("few"), first(F.col("n") > most).alias("many")), "rarest")
-    for done in ("windows", "counts"):
-        stage.drop(done)
+    stage.drop("counts")
+    stage.release()
     return out
 
 
@@ -236,10 +237,10 @@ def similar_lines(reps: DataFrame, docs: DataFrame, stage: Stage, key: str, text
         loose = large.filter(F.col("split") & (F.col("id") != F.col("lead"))).join(links.select(F.col("a").alias("lead"), F.col("b").alias("id")), ["lead", "id"], "left_anti").select("key").distinct()
         crowded = stage.put(large.join(loose, "key", "left_semi").select("key", "id", "last", "m"), f"crowded-{level}")
         if not level:
-            # by the windows that few of the crowded lines have; by the rarest of the others they meet again
+            # by the windows that few of the lines fetched so far have; by the rarest of the others they meet again
             ids = stage.put(crowded.select("id").distinct(), "crowd")
             texts = fetch(ids, "crowd")
-            pieces = rarest(texts, ids, stage, count, most)
+            pieces = rarest(texts, stage, count, most)
             stage.drop("crowd")
             further = pieces.select("id", F.explode(F.concat("few", "many")).alias("last")).select("id", F.col("last").alias("key"), F.lit(None).cast("long").alias("before"), "last")
         else:
