@@ -7,6 +7,7 @@ workbooks), for which Spark has no writer, are made and parsed in tasks.
 
 from __future__ import annotations
 
+import atexit
 import io
 import struct
 import tempfile
@@ -24,14 +25,26 @@ from insertframe.plans.queries import ANCHOR, CLEAN, CONSTANT, LEADER, NT, OH, _
 from insertframe.sources import abif, genbank, reads, tables
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; this machine's where there is but one."""
+def _scratch(spark: SparkSession, keep: bool = False) -> str:
+    """A new folder that driver and executors share; this machine's where there is but one. What a query
+    wrote there goes when Python ends, unless it is to be kept."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.gettempdir()
-    return f"{path.rstrip('/')}/insertframe-io-{uuid.uuid4().hex}"
+    at = f"{path.rstrip('/')}/insertframe-io-{uuid.uuid4().hex}"
+    if not keep:
+        atexit.register(_remove, spark, at)
+    return at
+
+
+def _remove(spark: SparkSession, at: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone, and its shared folder is the cluster's to clear
+        pass
 
 
 # ---- sources --------------------------------------------------------------------------------

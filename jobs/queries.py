@@ -12,7 +12,7 @@ from jobs.common import default_config
 
 
 def job1_order_release(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{_scratch(spark)}/order-release"
+    out = f"{_scratch(spark, keep=True)}/order-release"
     for _ in range(2):
         order_release.run(spark, default_config("order_release"), sf_dir, "documents", out)
     columns = ["record_idx", "ab_id", "chain_class", "kind", "severity", "core_len", "n_chains", "n_failed", "first_failed", "released", "sent_length"]
@@ -20,7 +20,7 @@ def job1_order_release(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job2_registry_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{_scratch(spark)}/registry-intake"
+    out = f"{_scratch(spark, keep=True)}/registry-intake"
     for _ in range(2):
         registry_intake.run(spark, default_config("registry_intake"), f"{sf_dir}/documents.parque[t]", out, f"{out}/checkpoint")  # a pattern: a stream takes no single file's path
     columns = ["id", "idx", "ab_id", "chain_class", "sha256", "n", "kind", "gc", "max_gc", "protein_length", "existing_id", "n_entries", "shortest", "longest"]
