@@ -89,6 +89,37 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.find_leaks(empty, b).count() == 0 and decontaminate.find_leaks(d, b.filter("false")).count() == 0
 
 
+def test_decontamination_against_brute_force(spark):
+    """The whole query against every item aligned with every whole text."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("bcdfgaeiou") for _ in range(5)) for _ in range(400)]
+    said = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {i: said(n) for i, n in enumerate((3, 8, 20, 40, 40, 80, 200))}
+    items |= {7: items[4], 8: items[3][:38] + said(2), 9: ["short", "one"]}  # equal, nearly equal, shorter than an n-gram
+    texts = [said(rng.randrange(60)) for _ in range(60)]
+    for own in list(items.values()):
+        for share in (0.0, 0.05, 0.1, 0.2):
+            copy = [w for w in own for w in ([] if rng.random() < share / 3 else [rng.choice(vocabulary), w] if rng.random() < share / 3 else [rng.choice(vocabulary) if rng.random() < share / 3 else w])]
+            texts.append(said(rng.randrange(30)) + copy + said(rng.randrange(30)))
+    texts += [items[5] + said(3)] * 40 + [items[5][:60] + said(i) for i in range(40)]  # one item in a third of all rows
+    docs = spark.createDataFrame([(i if i % 9 else None, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    number = {w: i for i, w in enumerate({w for t in [*items.values(), *texts] for w in t})}
+    ints = {i: np.array([number[w] for w in t]) for i, t in items.items()}
+    want = set()
+    for at, t in enumerate(texts):
+        for i, own in ints.items():
+            share = decontaminate.align(own, np.array([number[w] for w in t], dtype=int))[0] / (2 * len(own)) if t else 0
+            if share >= 0.5:
+                want.add((at if at % 9 else None, " ".join(t), i, share))
+    got = decontaminate.find_leaks(docs, bench).join(bench.select("item_id"), "item_id").collect()
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["item_id"], r["score"]) for r in got)) == sorted((k is None, k or 0, i, s) for k, _, i, s in want)
+    assert len(want) > 120
+    leaked = {t for _, t, _, _ in want}
+    kept = [r["text"] for r in decontaminate.clean_documents(docs, bench).collect()]
+    assert sorted(kept) == sorted(t for t in map(" ".join, texts) if t not in leaked)
+
+
 def test_smith_waterman_against_a_plain_model():
     rng = random.Random(1)
     for _ in range(200):
