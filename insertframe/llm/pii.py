@@ -10,7 +10,7 @@ Four kinds: email, ip, card, phone. For each kind
   proposed, and of a spelled-out address every end;
 * **boosted trees** over format and context features score every proposal, and proposals at
   or above a threshold, chosen per kind on held-out examples for a wanted precision, are
-  added where they overlap no base span of any kind and no better proposal of their own.
+  added where they overlap no base span and no better proposal, of any kind.
 
 The trees are trained on the driver from examples that this module generates by rule (no
 corpus rows). Training and scoring use the same feature expressions; the trees become
@@ -352,24 +352,26 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.transform(good, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
 
 
-def added_spans(text: Column, kind: str, model: Model, taken: Column) -> Column:
-    """The proposals of a kind that the model accepts, best first, that overlap none of ``taken``
-    and no better one."""
+def added_spans(text: Column, model: Model, taken: Column) -> Column:
+    """The proposals of all kinds that the model accepts, as (rank, start, end) with the rank of the kind: best first,
+    none that overlaps one of ``taken`` or a better one of any kind."""
 
-    def scored(m: Column) -> Column:
-        before = F.substring(text, F.greatest(m["start"] - CONTEXT, F.lit(0)) + 1, F.least(m["start"], F.lit(CONTEXT)))
-        after = F.substring(text, m["end"] + 1, F.lit(2))
-        x = F.struct(*[v.alias(k) for k, v in features(F.lit(kind), m["value"], before, after).items()])
-        score = let(x, lambda x: sum((t.column(x) for t in model.trees[kind]), F.lit(0.0)))
-        # of equal scores the longer span is the better one
-        return F.struct((-score).alias("loss"), (m["start"] - m["end"]).alias("back"), m["start"].alias("start"), m["end"].alias("end"))
+    def scored(kind: str) -> Column:
+        def of(m: Column) -> Column:
+            before = F.substring(text, F.greatest(m["start"] - CONTEXT, F.lit(0)) + 1, F.least(m["start"], F.lit(CONTEXT)))
+            after = F.substring(text, m["end"] + 1, F.lit(2))
+            x = F.struct(*[v.alias(k) for k, v in features(F.lit(kind), m["value"], before, after).items()])
+            score = let(x, lambda x: sum((t.column(x) for t in model.trees[kind]), F.lit(0.0)))
+            # of equal scores the longer span is the better one, then the earlier, then the earlier kind
+            return F.struct((-score).alias("loss"), (m["start"] - m["end"]).alias("back"), m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), m["end"].alias("end"))
+
+        free = F.filter(proposals(text, kind), lambda m: ~F.exists(taken, lambda k: _overlaps(k, m)))
+        return F.filter(F.transform(free, of), lambda s: s["loss"] <= -model.threshold[kind])
 
-    free = F.filter(proposals(text, kind), lambda m: ~F.exists(taken, lambda k: _overlaps(k, m)))
-    good = F.filter(F.transform(free, scored), lambda s: s["loss"] <= -model.threshold[kind])
     return F.aggregate(
-        F.sort_array(good),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda a, s: F.when(F.exists(a, lambda k: _overlaps(k, s)), a).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
+        F.sort_array(F.concat(*map(scored, KINDS))),
+        F.array().cast("array<struct<rank:int,start:int,end:int>>"),
+        lambda a, s: F.when(F.exists(a, lambda k: _overlaps(k, s)), a).otherwise(F.concat(a, F.array(F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"))))),
     )
 
 
@@ -377,8 +379,13 @@ def spans_of(text: Column, model: Model) -> Column:
     """A struct of kinds, each with its base and its added spans. Base spans are found once."""
 
     def both(base: Column) -> Column:
+        def of_kind(added: Column, rank: int) -> Column:
+            own = F.filter(added, lambda s: s["rank"] == rank)
+            return F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
         taken = F.concat(*[base[k] for k in KINDS])
-        return let(taken, lambda all_base: F.struct(*[F.struct(base[k].alias("base"), added_spans(text, k, model, all_base).alias("added")).alias(k) for k in KINDS]))
+        added = let(taken, lambda all_base: added_spans(text, model, all_base))
+        return let(added, lambda all_added: F.struct(*[F.struct(base[k].alias("base"), of_kind(all_added, rank).alias("added")).alias(k) for rank, k in enumerate(KINDS)]))
 
     return let(F.struct(*[base_spans(text, k).alias(k) for k in KINDS]), both)
 

@@ -682,6 +682,55 @@ def test_pii_beside_other_digits(spark):
     assert {"415-555-2671", "555-2671 415", "415-555-2671 415", "415-555-9999"} <= set(proposed)
 
 
+def test_pii_kinds_compete(spark):
+    """A number is one thing: of proposals that overlap only the best one of all kinds is added."""
+    df = spark.createDataFrame([(1, "my card is 4222222222222 ok"), (2, "call 4111111111116 now"), (3, "tel 415-555-2671, card 378282246310005"), (4, None)], "doc_id long, text string")
+    found = {r["doc_id"]: [x.split(":") for x in r["spans"].split(",") if x] for r in pii.digest(pii.detect(df, pii.train(spark))).collect()}
+    for spans in found.values():
+        ranges = sorted((int(a), int(b)) for _, a, b in spans)
+        assert all(b <= c for (_, b), (c, _) in zip(ranges, ranges[1:]))
+    assert ["card", "11", "24"] in found[1] and len(found[1]) == 1 and len(found[2]) == 1 and found[4] == []
+    assert [k for k, _, _ in found[3]] == ["card", "phone"]
+
+
+#: Sentences in formats and words that the generated examples don't have: (text, kind, value), or no kind.
+FOREIGN = [
+    ("you can ring 030 2345 6789 after five", "phone", "030 2345 6789"),
+    ("Phone 617.555.0142 x", "phone", "617.555.0142"),
+    ("our fax (020) 7946 0958 is on", "phone", "(020) 7946 0958"),
+    ("Appel 01 23 45 67 89 merci", "phone", "01 23 45 67 89"),
+    ("mobile 07700 900 123", "phone", "07700 900 123"),
+    ("Amex 3714 496353 98431 exp", "card", "3714 496353 98431"),
+    ("paid by credit card 371449635398431", "card", "371449635398431"),
+    ("old visa 4222 222 222 222 there", "card", "4222 222 222 222"),
+    ("host fd12:3456:789a:1::1 up", "ip", "fd12:3456:789a:1::1"),
+    ("ping 2607:f8b0:4005:805::200e twice", "ip", "2607:f8b0:4005:805::200e"),
+    ("mail support (at) shop [dot] example please", "email", "support (at) shop [dot] example"),
+    ("reach bob.smith[at]firm.co.uk today", "email", "bob.smith[at]firm.co.uk"),
+    ("from 1914-1918 to 1939-1945 in all", None, ""),
+    ("ISBN 978-3-16-148410-0 in print", None, ""),
+    ("the ratio was 12:30:15 at noon", None, ""),
+    ("we met at noon. Then we left", None, ""),
+    ("price 1,234,567.89 or 12.50", None, ""),
+    ("version 10.4.2.1-rc on 03/04/2021", None, ""),
+    ("order 20240315001234 shipped", None, ""),
+    ("a::b and std::vector", None, ""),
+]
+
+
+def test_pii_foreign_formats(spark):
+    """Added spans on formats that no generated example has."""
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(FOREIGN)], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.digest(pii.detect(df, pii.train(spark))).collect()}
+    right, wrong, due = Counter(), Counter(), Counter(k for _, k, _ in FOREIGN if k)
+    for i, (t, kind, value) in enumerate(FOREIGN):
+        for span in filter(None, found[i].split(",")):
+            k, a, b = span.split(":")
+            (right if (k, t[int(a) : int(b)]) == (kind, value) else wrong)[k] += 1
+    print("right", dict(right), "wrong", dict(wrong), "of", dict(due), found)
+    assert sum(right.values()) >= 0.7 * sum(due.values()) and sum(wrong.values()) <= 0.2 * sum(right.values())
+
+
 # ---------------------------------------------------------------------------------- op9
 
 def test_toxicity(spark, odd, empty):
