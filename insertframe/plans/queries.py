@@ -400,13 +400,13 @@ depth AS (SELECT p.item_id, p.pos, coalesce(c, 0)::int AS depth FROM (SELECT ite
 _DOC_READS_SQL = _READS_SQL.replace("item_id", "doc_id").replace("FROM benchmark", "FROM documents")
 
 
-def _depths(spark, d, refs: DataFrame | None = None) -> DataFrame:
+def _depths(spark, d, refs: DataFrame | None = None, of=coverage.depth) -> DataFrame:
     refs = _items(spark, d).withColumnRenamed("s", "reference") if refs is None else refs
     n = F.length("reference")
     r = refs.filter(n >= 40).select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
     read = F.substring(F.concat("reference", "reference"), (F.col("k") * 17) % n + 1, F.least(n, 20 + 15 * F.col("k")))
     reads = r.select("item_id", F.when(F.col("k") % 2 == 1, seq.revcomp(read)).otherwise(read).alias("read"))
-    return coverage.depth(reads, refs, "item_id")
+    return of(reads, refs, "item_id")
 
 
 @query(f"WITH {_READS_SQL} SELECT item_id, pos::int AS pos, depth FROM depth")
@@ -415,8 +415,9 @@ def coverage_depth(spark, d):
 
 
 def _doc_depths(spark, d) -> DataFrame:
+    """As stretches: a row for every position of whole documents is not made."""
     refs = _docs(spark, d).select(F.col("doc_id").alias("item_id"), F.col("nt").alias("reference"))
-    return _depths(spark, d, refs)
+    return _depths(spark, d, refs, coverage.stretches)
 
 
 @query(f"WITH {_DOC_READS_SQL} SELECT doc_id, count(*) AS length, sum(depth)::bigint AS total, max(depth) AS max, sum((depth > 0)::int)::bigint AS covered, round(avg(depth), 6) AS mean, round(avg((depth > 0)::int), 6) AS breadth FROM depth GROUP BY doc_id")

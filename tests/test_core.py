@@ -220,6 +220,33 @@ def test_coverage(spark):
     assert [depth["r", i] for i in range(90)] == want and [depth["s", i] for i in range(4)] == [0] * 4
 
 
+def test_coverage_makes_no_row_of_a_position(spark):
+    """References of few and of many reads, as stretches: no more of them than steps; figures as those of positions."""
+    rng = random.Random(7)
+    refs = {k: "".join(rng.choice("ACGT") for _ in range(n)) for k, n in (("few", 5_000), ("many", 3_000), ("short", 13), ("none", 400))}
+    rows, want = [], {k: [0] * len(r) for k, r in refs.items()}
+    for k, count in (("few", 20), ("many", 2 * coverage.FEW), ("short", 3)):
+        n = len(refs[k])
+        for _ in range(count):
+            a, size = rng.randrange(n), rng.randrange(18, 90) if k != "short" else 26
+            read = (refs[k] * 9)[a : a + size]
+            rows.append((k, read if rng.random() < 0.5 else kernels.reverse_complement(read)))
+            if k != "short":
+                for i in range(a, a + size):
+                    want[k][i % n] += 1
+    reads = spark.createDataFrame(rows, "ref_id string, read string")
+    references = spark.createDataFrame(list(refs.items()), "ref_id string, reference string")
+    found = coverage.stretches(reads, references).cache()
+    depths = coverage.depth(reads, references).cache()
+    own = {(r["ref_id"], r["pos"]): r["depth"] for r in depths.collect()}
+    assert len(own) == sum(map(len, refs.values()))
+    for k in ("few", "many", "none"):
+        assert [own[k, i] for i in range(len(refs[k]))] == want[k]
+    assert found.filter("ref_id = 'few'").count() <= 4 * 20 + 1 and found.filter("ref_id = 'none'").count() == 1
+    for of in (coverage.statistics, lambda x: coverage.chart(x, 20), lambda x: coverage.chart(x, 7)):
+        assert sorted(map(tuple, of(found).collect())) == sorted(map(tuple, of(depths).collect()))
+
+
 def test_library_and_json5(spark):
     text = """// a comment
     {schema_version: 2, /* more */ vectors: [{id: "v", chain_class: 'heavy', sequence: "acgt // no comment",
