@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from insertframe.functions import seq
-from insertframe.sources.genbank import feature_roles
+from insertframe.sources.genbank import roles_column
 
 PLACE = "struct<start:int,end:int,name:string>"
 
 
-def vectors_of_maps(records: DataFrame, requests: DataFrame) -> DataFrame:
+def vectors_of_maps(records: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """Vectors of maps (as ``genbank.read`` gives them) for the requests (source_file, vector_id,
-    chain_class, oh5, oh3): a row per request whose map can be read.
+    chain_class, oh5, oh3): a row per request whose map can be read. Without requests each record has its own in
+    columns of these names, and nothing is shuffled.
 
     The insertion ends are where the overhangs stand in the map; without the 5' one, the signal
     peptide's end (0 if there is none); without the 3' one, the constant region's start, else the 5'
@@ -22,10 +23,13 @@ def vectors_of_maps(records: DataFrame, requests: DataFrame) -> DataFrame:
     Columns: source_file, vector_id, chain_class, topology, length, sequence, sha256, oh5_end, oh3_start,
     constant_anchor_aa, features (role to place), map_name. An empty or null overhang is none.
     """
-    features = F.map_from_entries(F.collect_list(F.struct("role", F.struct("start", "end", "name")))).cast(f"map<string,{PLACE}>")
-    found = feature_roles(records).groupBy("source_file").agg(features.alias("features"))
-    maps = records.filter("error is null").select("source_file", seq.clean(F.col("sequence")).alias("sequence"), F.col("name").alias("map_name"), F.when(F.col("circular"), "circular").otherwise("linear").alias("topology"))
-    rows = requests.join(maps, "source_file").join(found, "source_file", "left")
+    asked = ["vector_id", "chain_class", "oh5", "oh3"]
+    features = F.map_from_entries(F.transform(roles_column(F.col("features")), lambda x: F.struct(x["role"], F.struct(x["start"], x["end"], x["name"])))).cast(f"map<string,{PLACE}>")
+    maps = records.filter("error is null").select(
+        "source_file", *([] if requests is not None else asked), seq.clean(F.col("sequence")).alias("sequence"), F.col("name").alias("map_name"),
+        F.when(F.col("circular"), "circular").otherwise("linear").alias("topology"), features.alias("features"),
+    )
+    rows = maps if requests is None else requests.join(maps, "source_file")
     place = lambda overhang: F.when(F.length(overhang) > 0, F.nullif(F.instr(F.col("sequence"), F.col(overhang)), F.lit(0)))
     at5, at3 = place("oh5"), place("oh3")
     end5 = F.coalesce(at5 - 1 + F.length("oh5"), F.col("features")["signal_peptide"]["end"], F.lit(0))

@@ -11,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from insertframe.functions.seq import let
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCHEMA = "source_file string, name string, length int, circular boolean, sequence string, features array<struct<kind:string,start:int,end:int,complement:boolean,qualifiers:map<string,string>>>, error string"
@@ -57,23 +59,39 @@ def parse(text: str) -> dict:
     return {"name": words[1] if len(words) > 1 else "", "length": size or len(sequence), "circular": bool(locus) and "circular" in locus[0].lower(), "sequence": sequence, "features": features}
 
 
+#: So many records are parsed before they are handed on: what a worker holds beside its batch.
+TOGETHER = 256
+
+
 def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for path, content in zip(pdf["source_file"], pdf["content"]):
-            try:
-                rows.append({"source_file": path, **parse(bytes(content).decode("utf-8", "replace")), "error": None})
-            except ValueError as e:
-                rows.append({"source_file": path, "name": None, "length": None, "circular": None, "sequence": None, "features": None, "error": str(e)})
-        yield pd.DataFrame(rows).astype({"length": "Int32", "circular": "boolean"})
+    for whole in batches:
+        for at in range(0, len(whole), TOGETHER):
+            pdf, rows = whole.iloc[at : at + TOGETHER], []
+            for path, content in zip(pdf["source_file"], pdf["content"]):
+                try:
+                    text = content if isinstance(content, str) else bytes(content).decode("utf-8", "replace")
+                    rows.append({"source_file": path, **parse(text), "error": None})
+                except ValueError as e:
+                    rows.append({"source_file": path, "name": None, "length": None, "circular": None, "sequence": None, "features": None, "error": str(e)})
+            yield pd.DataFrame(rows).astype({"length": "Int32", "circular": "boolean"})
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row per file; files that can't be read have an ``error`` and no record."""
+    """A row per file, of its first record; files that can't be read have an ``error`` and no record."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "content")
     return files.mapInPandas(_parse_files, SCHEMA)
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """A row per record of flat files that hold any number of them; records that can't be read have an ``error``.
+
+    The reader splits at the ``//`` that ends a record, so a file of any size is read by many tasks.
+    """
+    parts = spark.read.format("text").option("lineSep", "\n//").load(path)
+    records = parts.filter(F.col("value").rlike(r"\S")).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("content"))
+    return records.mapInPandas(_parse_files, SCHEMA)
+
+
 # Words that tell a feature's role, tried in this order.
 SIGNAL = ("signal peptide", "sig_peptide")
 CONSTANT = ("c region", "ighg", "igha", "igkc", "iglc", "constant")
@@ -120,11 +138,26 @@ def role_column(kind: Column, qualifiers: Column) -> Column:
     )
 
 
-def feature_roles(records: DataFrame, key: str = "source_file") -> DataFrame:
-    """Rows (key, role, start, end, name) of any number of maps: the first feature of each role, with its
-    1-based ends. Features without a place have no role; of a role's features a partial minimum is shuffled."""
-    rows = records.filter("error is null").select(key, F.posexplode("features").alias("pos", "f")).filter("f.start > 0")
-    q = F.col("f.qualifiers")
-    told = F.struct(F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.coalesce(q["standard_name"], q["gene"], q["note"]).alias("name"))
-    roles = rows.select(key, role_column(F.col("f.kind"), q).alias("role"), "pos", told.alias("told")).filter("role is not null")
-    return roles.groupBy(key, "role").agg(F.min_by("told", "pos").alias("t")).select(key, "role", "t.start", "t.end", "t.name")
+ROLES = ("signal_peptide", "constant_region", "resistance", "origin", "promoter")
+
+
+def roles_column(features: Column) -> Column:
+    """``roles`` as a column: an array of (role, start, end, name), the first feature of each role."""
+
+    def told(f: Column) -> Column:
+        q = f["qualifiers"]
+        name = F.coalesce(q["standard_name"], q["gene"], q["note"])
+        return F.struct(F.when(f["start"] > 0, role_column(f["kind"], q)).alias("role"), f["start"].alias("start"), f["end"].alias("end"), name.alias("name"))
+
+    def of(all_: Column, role: str) -> Column:
+        return F.get(F.filter(all_, lambda x: x["role"] == role), F.lit(0))
+
+    return let(F.transform(features, lambda f: told(f)), lambda all_: F.filter(F.array(*[of(all_, r) for r in ROLES]), lambda x: x.isNotNull()))
+
+
+def feature_roles(records: DataFrame, *keys: str) -> DataFrame:
+    """Rows (keys, role, start, end, name) of any number of maps, by ``source_file`` if no keys are named: the first
+    feature of each role, with its 1-based ends. Features without a place have no role. A record's roles are
+    told where the record is: nothing is shuffled."""
+    keys = keys or ("source_file",)
+    return records.filter("error is null").select(*keys, F.explode(roles_column(F.col("features"))).alias("t")).select(*keys, "t.*")

@@ -115,3 +115,29 @@ def test_roles_and_vectors_of_many_maps(spark, tmp_path):
             v = library.vector_from_genbank(parsed[x["vector_id"]], x["vector_id"], "", "heavy", "", (oh5, oh3), "s", "IGH", "me")
             assert (x["sequence"], x["oh5_end"], x["oh3_start"], x["constant_anchor_aa"], x["topology"]) == (v.sequence, v.oh5_end, v.oh3_start, v.constant_anchor_aa, v.topology)
             assert {k: p.asDict() for k, p in x["features"].items()} == v.features
+
+
+@pytest.mark.parametrize("split", ["128m", "300b"])
+def test_flat_files_of_many_maps(spark, tmp_path, split):
+    """A file holds any number of records, each read by the task that it begins in; those that can't be read are told."""
+    from insertframe.operators import maps
+    from insertframe.sources import genbank
+    from pyspark.sql import functions as F
+
+    end = {"a": "\n", "b": "\r\n"}
+    texts = {f: "".join(f"LOCUS       {f}{k} {k + 5} bp DNA circular SYN\nFEATURES  Location\n     sig_peptide  1..{k + 1}\n          /note=\"a//b\"\n" + ("" if k == 7 else f"ORIGIN\n 1 {'acgta' * (k + 1)}\n") + "//\n" for k in range(30)).replace("\n", end[f]) for f in end}
+    at = put(tmp_path / "t", a__gb=texts["a"], b__gb=texts["b"].rstrip().rstrip("/"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        records = genbank.read_records(spark, at)
+        found = {r["name"]: r for r in records.filter("error is null").collect()}
+        assert found.keys() == {f"{f}{k}" for f in end for k in range(30) if k != 7}
+        assert all(r["sequence"] == "ACGTA" * (int(n[1:]) + 1) and r["features"][0]["qualifiers"] == {"note": "a//b"} for n, r in found.items())
+        assert records.filter("error is not null").count() == 2
+        asked = records.withColumns({"vector_id": F.col("name"), "chain_class": F.lit("heavy"), "oh5": F.lit(""), "oh3": F.lit(None).cast("string")})
+        vectors = maps.vectors_of_maps(asked)
+        assert {(r["vector_id"], r["oh5_end"]) for r in vectors.collect()} == {(n, int(n[1:]) + 1) for n in found}
+        assert "Exchange" not in vectors._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
