@@ -1,13 +1,16 @@
-"""Sequence functions as native Column expressions (no Python on the executors).
+"""Sequence functions as native Column expressions (no Python on the executors but for windows of GC and reading frames).
 
 All take any text and clean it first: ASCII letters alone, upper-cased.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from insertframe.functions import kernels
+
 # The standard genetic code, codons in TCAG order, the third base fastest.
 BASES = "TCAG"
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -58,13 +61,20 @@ def translate(raw: Column, frame: int = 0) -> Column:
     return _translated(clean(raw), frame)
 
 
+#: A codon as four hexadecimal digits of one letter's code: a 0 and its letters by their place here.
+DIGITS = BASES + "U" + "".join(c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in BASES + "U")
+_DIGIT = {c: "01230"[i] if i < 5 else "4" for i, c in enumerate(DIGITS)}
+_AMINO = {chr(256 * i + 16 * j + k): CODONS.get(c, FAMILIES.get(c[:2], "X")) for i, a in enumerate(BASES + "N") for j, b in enumerate(BASES + "N") for k, d in enumerate(BASES + "N") for c in (a + b + d,)}
+
+
 def _translated(cleaned: Column, frame: int) -> Column:
-    nt = F.translate(cleaned, "U", "T")
+    """Every codon becomes one letter of UTF-16, and each of these its residue: whole strings at a time."""
+    digits = F.translate(cleaned, DIGITS, "".join(_DIGIT[c] for c in DIGITS))
     if frame:
-        nt = F.substring(nt, frame + 1, 1 << 30)
-    whole, family = _literal_map(CODONS), _literal_map(FAMILIES)
-    amino = F.transform(F.regexp_extract_all(nt, F.lit("(...)"), F.lit(1)), lambda c: F.coalesce(whole[c], family[F.left(c, F.lit(2))], F.lit("X")))
-    return F.array_join(amino, "")
+        digits = F.substring(digits, frame + 1, 1 << 30)
+    whole = F.left(digits, F.length(digits) - F.length(digits) % 3)
+    codons = F.decode(F.unhex(F.regexp_replace(whole, "(...)", "0$1")), "UTF-16BE")
+    return F.translate(codons, "".join(_AMINO), "".join(_AMINO.values()))
 
 
 def to_stop(protein: Column) -> Column:
@@ -89,30 +99,9 @@ def gc_fraction(raw: Column) -> Column:
 def max_windowed_gc(raw: Column, window: int) -> Column:
     """The largest GC share of any window; the share of the whole where it fits no window.
 
-    Running sums over the letters, so time is linear in the sequence whatever the window.
+    Running sums over the letters, in numpy, so time is linear in the sequence whatever the window.
     """
-    s = clean(raw)
-    if window <= 0:
-        return gc_fraction(raw)
-
-    def windows(x: Column) -> Column:
-        n = F.length(x)
-        hit = F.transform(F.split(F.translate(F.regexp_replace(x, "[^GC]", "A"), "CGA", "110"), ""), lambda c: (c == "1").cast("int"))
-
-        def sums(h: Column) -> Column:
-            first = F.aggregate(F.slice(h, 1, window), F.lit(0), lambda a, v: a + v)
-            start = F.struct(first.alias("now"), first.alias("best"))
-
-            def step(a: Column, d: Column) -> Column:
-                now = a["now"] + d
-                return F.struct(now.alias("now"), F.greatest(a["best"], now).alias("best"))
-
-            moves = F.zip_with(F.slice(h, window + 1, F.greatest(n - window, F.lit(0))), F.slice(h, 1, F.greatest(n - window, F.lit(0))), lambda new, old: new - old)
-            return F.aggregate(moves, start, step, lambda a: a["best"] / F.lit(float(window)))
-
-        return F.when(n <= window, share(letters(x, "GC"), n)).otherwise(let(hit, sums))
-
-    return let(s, windows)
+    return kernels.max_window_gc(clean(raw), window) if window > 0 else gc_fraction(raw)
 
 
 def sha256_hex(raw: Column) -> Column:
@@ -200,39 +189,22 @@ def locus_from_protein(protein: Column) -> Column:
     return out
 
 
-def _frames(raw: Column, body) -> Column:
-    """``body`` of the cleaned sequence and its three forward translations, each made once."""
-    return let(clean(raw), lambda s: let(F.array(*[_translated(s, f) for f in range(3)]), lambda frames: body(s, frames)))
+def _code() -> kernels.Code:
+    letters = np.full(256, 4)
+    letters[[ord(c) for c in BASES + "U"]] = [0, 1, 2, 3, 0]
+    codons = [a + b + c for a in BASES + "N" for b in BASES + "N" for c in BASES + "N"]
+    return kernels.Code(letters, np.frombuffer("".join(CODONS.get(c, FAMILIES.get(c[:2], "X")) for c in codons).encode(), np.uint8))
 
 
 def best_frame_protein(raw: Column) -> Column:
     """Of three forward frames the longest protein before a stop, the lowest frame on ties."""
-
-    def longest(_: Column, frames: Column) -> Column:
-        def pick(x: Column) -> Column:
-            size = F.array_max(F.transform(x, lambda p: F.length(p)))
-            return F.filter(x, lambda p: F.length(p) == size)[0]
-
-        return let(F.transform(frames, to_stop), pick)
-
-    return _frames(raw, longest)
+    return kernels.best_frame(clean(raw), _code())
 
 
 def locate_orf(raw: Column, leader: Column) -> Column:
     """The translation from the earliest leader (its first 8 residues) in any forward frame, by
     residue and then by frame; frame 0 from the start where there is none."""
-    probe = F.left(leader, F.lit(8))
-
-    def first(s: Column, frames: Column) -> Column:
-        def hit(p: Column, f: Column) -> Column:
-            at = F.when(F.length(probe) == 0, F.lit(1)).otherwise(F.call_function("instr", p, probe))
-            return F.when((F.length(s) > f) & (at > 0), F.struct(at.alias("at"), f.alias("frame")))
-
-        least = F.array_min(F.filter(F.transform(frames, hit), lambda x: x.isNotNull()))
-        cut = lambda x: F.when(x.isNull(), frames[0]).otherwise(F.substring(F.get(frames, x["frame"]), x["at"], F.length(s)))
-        return let(least, cut)
-
-    return _frames(raw, first)
+    return kernels.orf_from(clean(raw), F.left(leader, F.lit(8)), _code())
 
 
 def extract_insert(raw: Column, vector: Column, oh5_end: Column, core_len: Column) -> Column:

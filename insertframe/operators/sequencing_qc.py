@@ -53,7 +53,8 @@ def mutations(observed: Column, expected: Column, leader: Column) -> Column:
         new = F.array(F.struct((n - leader).alias("position_aa"), p["e"].alias("wt"), p["o"].alias("mut_aa")))
         return F.struct(n.alias("n"), F.when(hit, F.concat(s["m"], new)).otherwise(s["m"]).alias("m"))
 
-    return F.aggregate(pairs, start, step, lambda s: s["m"])
+    # most reads have none: their letters are not gone through
+    return F.when(observed == expected, F.array().cast(MUTATIONS)).otherwise(F.aggregate(pairs, start, step, lambda s: s["m"]))
 
 
 def run(reads: DataFrame, library: Library, project: Project, cores: DataFrame | None = None, truth: DataFrame | None = None, mode: str = "full", overrides: DataFrame | None = None) -> DataFrame:
@@ -69,7 +70,7 @@ def run(reads: DataFrame, library: Library, project: Project, cores: DataFrame |
     vectors = project.candidates(library)
     df = with_names(reads, library.profiles.get(project.profile, DEFAULT), overrides)
     chain = F.col("chain_class")
-    locus = F.when(chain == "light", seq.locus_from_protein(seq.best_frame_protein(F.col("sequence")))).otherwise(_case(chain, seq.LOCUS_OF, "string"))
+    locus = F.when(chain == "light", seq.locus_from_protein(seq.best_frame_protein(F.when(chain == "light", F.col("sequence"))))).otherwise(_case(chain, seq.LOCUS_OF, "string"))
     df = df.withColumn("locus", locus).withColumn("clean", seq.clean(F.col("sequence")))
     enough = F.length("clean") >= 60
     df = df.withColumn("enough", F.coalesce(enough, F.lit(False)))
@@ -108,7 +109,7 @@ def run(reads: DataFrame, library: Library, project: Project, cores: DataFrame |
     by_truth = F.concat(F.col("leader_aa"), truth_protein(F.col("truth")), seq.translate_to_stop(F.substring(v, oh3 + 1, F.length(v))))
     df = df.withColumn("expected_aa", F.when(F.col("expected_core").isNotNull(), by_core).when(F.col("truth").isNotNull(), by_truth))
     go = F.col("enough") & ~F.col("wrong") & F.col("use").isNotNull() & F.col("expected_aa").isNotNull()
-    df = df.withColumn("go", go).withColumn("orf", F.when(F.col("go"), seq.locate_orf(F.col("working"), F.col("leader_aa"))))
+    df = df.withColumn("go", go).withColumn("orf", seq.locate_orf(F.when(F.col("go"), F.col("working")), F.col("leader_aa")))
     df = df.withColumn("observed_aa", seq.to_stop(F.col("orf"))).withColumn("through", F.col("observed_aa").contains(F.col("anchor")))
     df = df.withColumn("al", kernels.align(F.col("observed_aa"), F.when(F.col("go"), F.col("expected_aa")), protein))
     df = df.withColumn("empty_aa", F.when(F.col("through"), seq.translate_to_stop(seq.assemble(v, F.lit(""), oh5, oh3))))

@@ -60,6 +60,58 @@ def test_alignment(monkeypatch, every):
             assert kernels.global_affine(a, b, scoring) == plain(a, b, scoring)
 
 
+def test_work_goes_by_the_shorter_side(monkeypatch):
+    """A long protein against a short one fills rows of the short one, whichever comes first."""
+    r, rows = random.Random(3), []
+    long, short = "".join(r.choices(AMINO, k=5000)), "".join(r.choices(AMINO, k=40))
+    own = kernels._next_row
+    monkeypatch.setattr(kernels, "_next_row", lambda *args: rows.append(1) or own(*args))
+    for a, b in ((long, short), (short, long)):
+        rows.clear()
+        kernels.global_affine(a, b, kernels.protein_scoring())
+        assert len(rows) <= 2 * len(short)
+
+
+def test_marks_that_are_there_letter_by_letter(monkeypatch):
+    """Are found as by the search over all offsets, which is not run for them."""
+    r = random.Random(5)
+    word = lambda n: "".join(r.choices("ACGT", k=n))
+    marks = [word(n) for n in (30, 12, 30, 90)]
+    search = lambda text, mark: max(kernels._hits(np.frombuffer((text + text[: len(mark) - 1]).encode(), np.uint8), np.frombuffer(mark.encode(), np.uint8))) / len(mark) if len(mark) <= len(text) else kernels.best_ungapped_identity(text, mark)
+    for k in range(200):
+        mark = r.choice(marks)
+        text = r.choice([mark[5:] + word(40) + mark[:5], word(60), mark[3:40], mark + word(30) + r.choice(marks)])
+        text = text if k % 2 else kernels.reverse_complement(text)
+        all_ = [max(search(text, m), search(kernels.reverse_complement(text), m)) for m in marks]
+        assert kernels.closest_mark(text, marks) == (int(np.argmax(all_)), max(all_))
+    monkeypatch.setattr(kernels, "_hits", None)
+    assert kernels.closest_mark(marks[0][5:] + word(40) + marks[0][:5], marks) == (0, 1.0)
+    assert kernels.normalize(word(9) + marks[0] + word(3), marks[0])[1:] == (False, 9)
+
+
+def test_frames_and_windows_by_the_batch(spark):
+    """The three frames and the windows of GC are kernels, equal to plain ones on odd sequences."""
+    from insertframe.sources import plain
+
+    r = random.Random(11)
+    texts = [None, "", "A", "ac-gu", "NNNNNNNN", "TAATAATAATAA"] + ["".join(r.choices(r.choice(["ACGT", "ACGTUN", "ACGTRYxyz "]), k=r.randrange(200))) for _ in range(300)]
+    leaders = [r.choice([None, "", plain.translate(t or "")[2:20], plain.translate((t or "")[1:])[4:9], "WWWW"]) for t in texts]
+    rows = spark.createDataFrame(list(zip(range(len(texts)), texts, leaders)), "k int, t string, l string")
+    rows = rows.select("k", seq.best_frame_protein(F.col("t")).alias("b"), seq.locate_orf(F.col("t"), F.col("l")).alias("o"), seq.max_windowed_gc(F.col("t"), 60).alias("g"), seq.translate(F.col("t")).alias("p"))
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    for x, t, lead in zip(rows.orderBy("k").collect(), texts, leaders):
+        if t is None:
+            assert (x["b"], x["o"], x["g"], x["p"]) == (None,) * 4
+            continue
+        s = plain.clean(t)
+        frames = [plain.translate(s[f:]) for f in range(3)]
+        hits = sorted((p.find(lead[:8]), f) for f, p in enumerate(frames) if lead is not None and len(s) > f and lead[:8] in p)
+        assert x["b"] == max((p.split("*")[0] for p in frames), key=len) and x["p"] == frames[0]
+        assert x["o"] == (frames[hits[0][1]][hits[0][0] :] if hits else frames[0])
+        gc = [sum(c in "GC" for c in s[i : i + 60]) / 60 for i in range(len(s) - 59)] if len(s) > 60 else [sum(c in "GC" for c in s) / max(len(s), 1)]
+        assert x["g"] == max(gc)
+
+
 def test_many_at_once():
     scoring = kernels.protein_scoring()
     r = random.Random(7)
