@@ -420,6 +420,33 @@ def test_families_of_lines(spark, common, own, changed):
     assert len(got) >= 180
 
 
+@pytest.mark.parametrize("most", [2, 16])
+def test_line_dedup_loses_no_link(spark, monkeypatch, most):
+    """Against brute force: families whose lines share most windows, repeated words, short lines; blocks of a few lines."""
+    monkeypatch.setattr(linededup, "BLOCK", 3)
+    r = random.Random(most)
+    word = lambda: r.choice(WORDS_OF_FAMILIES)
+    docs = {}
+    for common, own, changed in ((30, 9, 1), (30, 9, 4), (8, 3, 1), (3, 2, 1), (3, 3, 1), (2, 2, 1), (100, 30, 12)):
+        head = [word() for _ in range(common)]
+        for _ in range(12):
+            tail = [word() for _ in range(own)]
+            other = list(tail)
+            for i in r.sample(range(own), min(changed, own)):
+                other[i] = word()
+            more = r.sample([*head, *other], common + own)
+            docs |= {len(docs) + i: " ".join(x) for i, x in enumerate((head + tail, head + other, other + head, more, head + tail[:-1]))}
+    for n in (5, 6, 9, 16):
+        for _ in range(8):
+            docs[len(docs)] = " ".join(r.choice("xyz") for _ in range(n))
+    df = spark.createDataFrame([*docs.items()], "doc_id long, text string")
+    got = {(x["k"], x["line"]): (x["kept"]["k"], x["kept"]["line"]) for x in linededup.dropped_lines(df, min_words=1, most=most).collect()}
+    assert got == line_model(docs, min_words=1)
+
+
+WORDS_OF_FAMILIES = [a + b for a in ("ba", "ce", "di", "fo", "gu", "ha") for b in ("lo", "mi", "nu", "pa", "re", "so")]
+
+
 # ---------------------------------------------------------------------------------- op6
 
 def fingerprint(t):
