@@ -444,6 +444,29 @@ def test_line_dedup_loses_no_link(spark, monkeypatch, most):
     assert got == line_model(docs, min_words=1)
 
 
+def test_line_dedup_single_rare_words(spark, monkeypatch):
+    """Lines so long that they meet by one rare word, and those that may be similar to such ones, lose no link."""
+    monkeypatch.setattr(linededup, "PAIRED", 11)
+    test_line_dedup_loses_no_link(spark, monkeypatch, 1)
+
+
+def test_line_dedup_unlike_family(spark, monkeypatch):
+    """Lines that share most of their windows but are unlike are not all compared with each other."""
+    r, rows, put = random.Random(5), {}, linededup.Stage.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup.Stage, "put", counted)
+    head = [f"h{i}" for i in range(30)]
+    docs = [(i, " ".join(head + [f"w{r.randrange(100)}" for _ in range(16)])) for i in range(60)]
+    assert linededup.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_words=1).count() == 0
+    # a line has its eleven rarest words, by twos
+    assert rows["met-words"] == 60 * 55 and rows["pairs-words"] < 60 * 59 / 2 / 10
+
+
 WORDS_OF_FAMILIES = [a + b for a in ("ba", "ce", "di", "fo", "gu", "ha") for b in ("lo", "mi", "nu", "pa", "re", "so")]
 
 
