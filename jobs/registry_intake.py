@@ -29,6 +29,7 @@ sequences count as empty, a null idx as 0; an empty sequence is one like any oth
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,13 +70,17 @@ def take(batch: DataFrame, number: int, out: str, config: dict) -> dict:
     spark = batch.sparkSession
     at = {name: f"{out.rstrip('/')}/{name}/batch={number}" for name in ("registry", "conflicts", "antibodies")}
     seen, entered, told = (Observation(f"{x}-{number}") for x in ("read", "entered", "conflicts"))
-    incoming = facts(mapped(batch.observe(seen, F.count("*").alias("n")), config["columns"]), config["gc_window"])
-    known = _table(spark, out, "registry", REGISTRY).filter(F.col("batch") < number).select("sha256", "id", "batch", "idx")
-    known = known.join(incoming.select("sha256").distinct(), "sha256", "left_semi")
-    firsts = known.groupBy("sha256").agg(F.min(F.struct("batch", "idx", "id")).alias("f")).select("f.id", "sha256", "f.idx")
-    rows, conflicts = library.merge(firsts, incoming)
-    rows.observe(entered, F.count("*").alias("n")).write.mode("overwrite").partitionBy("chain_class").parquet(at["registry"])
-    conflicts.observe(told, F.count("*").alias("n")).write.mode("overwrite").parquet(at["conflicts"])
+    # told of each sequence once; kept on the executors' disks, as the merge reads them several times
+    incoming = facts(mapped(batch.observe(seen, F.count("*").alias("n")), config["columns"]), config["gc_window"]).persist(StorageLevel.DISK_ONLY)
+    try:
+        known = _table(spark, out, "registry", REGISTRY).filter(F.col("batch") < number).select("sha256", "id", "batch", "idx")
+        known = known.join(incoming.select("sha256").distinct(), "sha256", "left_semi")
+        firsts = known.groupBy("sha256").agg(F.min(F.struct("batch", "idx", "id")).alias("f")).select("f.id", "sha256", "f.idx")
+        rows, conflicts = library.merge(firsts, incoming)
+        rows.observe(entered, F.count("*").alias("n")).write.mode("overwrite").partitionBy("chain_class").parquet(at["registry"])
+        conflicts.observe(told, F.count("*").alias("n")).write.mode("overwrite").parquet(at["conflicts"])
+    finally:
+        incoming.unpersist()
     mine = spark.read.schema(REGISTRY).parquet(at["registry"])
     shares = mine.groupBy("ab_id", "chain_class").agg(F.count("*").alias("n_entries"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
     shares.write.mode("overwrite").parquet(at["antibodies"])

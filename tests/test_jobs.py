@@ -163,6 +163,20 @@ def test_intake_that_was_stopped(spark, parts, tmp_path, monkeypatch):
     assert took(spark, out) == by_sql(queries.ORACLES["job2_registry_intake"], ENTRY)
 
 
+def test_intake_keeps_what_it_tells(spark, parts, tmp_path, monkeypatch):
+    """What is told of a batch's sequences is kept while the merge reads it, and let go after."""
+    merge, seen = registry_intake.library.merge, []
+
+    def held(firsts, incoming):
+        seen.append((incoming, incoming.storageLevel.useDisk))
+        return merge(firsts, incoming)
+
+    monkeypatch.setattr(registry_intake.library, "merge", held)
+    out = str(tmp_path / "out")
+    registry_intake.run(spark, default_config("registry_intake"), str(parts), out, f"{out}/checkpoint")
+    assert seen and all(kept and not df.storageLevel.useDisk for df, kept in seen)
+
+
 def test_intake_of_odd_rows(spark, tmp_path):
     config = {"format": "json", "schema": "a string, b long, s string", "columns": {"id": "a", "idx": "b", "sequence": "s"}, "gc_window": 60}
     src, out = tmp_path / "src", str(tmp_path / "out")
