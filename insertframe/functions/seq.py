@@ -46,7 +46,11 @@ def letters(s: Column, wanted: str) -> Column:
 def detect_type(raw: Column) -> Column:
     """``nt`` if at least nine tenths of the letters are nucleotides, else ``aa``; empty is ``aa``."""
     s = clean(raw)
-    return F.when((F.length(s) > 0) & (10 * letters(s, "ACGTUN") >= 9 * F.length(s)), "nt").otherwise("aa")
+    return F.when(mostly_bases(s), "nt").otherwise("aa")
+
+
+def mostly_bases(cleaned: Column) -> Column:
+    return (F.length(cleaned) > 0) & (10 * letters(cleaned, "ACGTUN") >= 9 * F.length(cleaned))
 
 
 def revcomp(raw: Column) -> Column:
@@ -147,10 +151,14 @@ def strip_overhangs(raw: Column, oh5: Column, oh3: Column, most: int) -> Column:
     """
 
     def of(s: Column) -> Column:
-        m5, m3 = prefix_mismatches(s, oh5), suffix_mismatches(s, oh3)
+        # a lambda evaluates what it holds wherever it is named: the ends are looked at once
+        ends = F.struct(prefix_mismatches(s, oh5).alias("m5"), suffix_mismatches(s, oh3).alias("m3"), F.length(s).alias("n"))
+        return let(ends, lambda e: cut(s, e["m5"], e["m3"], e["n"]))
+
+    def cut(s: Column, m5: Column, m3: Column, n: Column) -> Column:
         p5, p3 = F.coalesce(m5 <= most, F.lit(False)), F.coalesce(m3 <= most, F.lit(False))
         lo = F.when(p5, F.length(oh5)).otherwise(F.lit(0))
-        hi = F.length(s) - F.when(p3, F.length(oh3)).otherwise(F.lit(0))
+        hi = n - F.when(p3, F.length(oh3)).otherwise(F.lit(0))
         core = F.when(hi > lo, F.substring(s, lo + 1, hi - lo)).otherwise(F.lit(""))
         return F.struct(core.alias("core"), F.coalesce(m5, F.length(oh5)).alias("oh5_mismatches"), F.coalesce(m3, F.length(oh3)).alias("oh3_mismatches"), p5.alias("oh5_present"), p3.alias("oh3_present"))
 
@@ -196,6 +204,11 @@ def _code() -> kernels.Code:
     return kernels.Code(letters, np.frombuffer("".join(CODONS.get(c, FAMILIES.get(c[:2], "X")) for c in codons).encode(), np.uint8))
 
 
+def protein_of(cleaned: Column) -> Column:
+    """What ``translate`` gives of a cleaned sequence, in numpy: for whole columns, where it need not be an expression."""
+    return kernels.protein(cleaned, _code())
+
+
 def best_frame_protein(raw: Column) -> Column:
     """Of three forward frames the longest protein before a stop, the lowest frame on ties."""
     return kernels.best_frame(clean(raw), _code())

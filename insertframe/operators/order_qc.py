@@ -26,6 +26,12 @@ def truth_protein(t: Column) -> Column:
     return F.when(seq.detect_type(t) == "nt", seq.translate_to_stop(t)).otherwise(seq.clean(t))
 
 
+def _protein_or_self(cleaned: Column) -> Column:
+    """``truth_protein`` of cleaned columns."""
+    bases = seq.mostly_bases(cleaned)
+    return F.when(bases, seq.to_stop(seq.protein_of(F.when(bases, cleaned)))).otherwise(cleaned)
+
+
 def _case(locus: Column, by_locus: dict[str, object], kind: str) -> Column:
     out = None
     for x, v in by_locus.items():
@@ -69,41 +75,44 @@ def run(records: DataFrame, library: Library, project: Project, truth: DataFrame
     if has_overhangs:
         oh5, oh3 = (_case(L, {x: (overhangs.get(x, (None, None))[i] or "") for x in seq.LOCI}, "string") for i in (0, 1))
         df = df.withColumn("st", F.when(L.isNotNull(), seq.strip_overhangs(F.col("sequence"), oh5, oh3, most)))
-        df = df.withColumn("core", F.col("st.core"))
-        whole = F.col("st.oh5_present") & F.col("st.oh3_present")
-        other = seq.locus_from_overhangs(F.col("sequence"), overhangs, most)
-        df = df.withColumn("other", F.when(~whole, other))
+        whole = F.col("oh5_present") & F.col("oh3_present")
+        df = df.withColumns({f: F.col(f"st.{f}") for f in ("core", "oh5_mismatches", "oh3_mismatches", "oh5_present", "oh3_present")})
+        df = df.withColumn("other", F.when(~whole, seq.locus_from_overhangs(F.col("sequence"), overhangs, most)))
     else:
+        whole = F.lit(True)
         df = df.withColumn("core", seq.clean(F.col("sequence")))
+    # all that is asked of the sequence is told before the panel is met, so that no sequence travels
+    core, wanted = F.col("core"), F.when(whole, F.col("core"))
+    built, anchor = None, _case(L, {x: v.constant_anchor_aa for x, v in vectors.items()}, "string")
+    for x, v in vectors.items():
+        assembled = seq.assemble(F.lit(v.clean), wanted, F.lit(v.oh5_end), F.lit(v.oh3_start))
+        built = F.when(L == x, assembled) if built is None else built.when(L == x, assembled)
+    has_vector = L.isin(list(vectors)) if vectors else F.lit(False)
+    has_vector = F.coalesce(has_vector, F.lit(False))
+    df = df.withColumns({"core_aa": seq.protein_of(wanted), "orf": F.lit(None).cast("string") if built is None else seq.protein_of(built)})
+    told = {
+        "core_length": F.length(core),
+        "mine": seq.to_stop(F.col("core_aa")),
+        "stop": F.when(has_vector, seq.first_stop(F.col("orf"))).otherwise(seq.first_stop(F.col("core_aa"))),
+        "through": F.when(has_vector, seq.to_stop(F.col("orf")).contains(anchor)),
+        "high_gc": kernels.gc_over(wanted, checks.gc_max_global, checks.gc_window, checks.gc_max_window) if checks.enabled else F.lit(False),
+    }
+    small = [c for c in ("record_idx", "record_id", "ab_id", "chain_class", "locus", "oh5_present", "oh3_present", "oh5_mismatches", "oh3_mismatches", "other") if c in df.columns]
+    df = df.select(*small, *[c.alias(name) for name, c in told.items()])
     if truth is not None:
-        p = panel(truth).select(F.col("ab_key").alias("__key"), "heavy", "light")
+        p = panel(truth).select(F.col("ab_key").alias("__key"), seq.clean(F.col("heavy")).alias("heavy"), seq.clean(F.col("light")).alias("light"))
+        p = p.select("__key", *[_protein_or_self(F.col(c)).alias(c) for c in ("heavy", "light")])
         df = df.join(p, upper_col(F.col("ab_id")) == F.col("__key"), "left")
-        own = F.when(chain == "heavy", F.col("heavy")).otherwise(F.col("light"))
-        df = df.withColumn("truth_aa", F.when(own.isNotNull(), truth_protein(own)))
+        df = df.withColumn("truth_aa", F.when(chain == "heavy", F.col("heavy")).otherwise(F.col("light")))
     else:
         df = df.withColumn("truth_aa", F.lit(None).cast("string"))
-    df = df.withColumn("core_aa", seq.translate(F.col("core")))
-    drift = F.coalesce((seq.to_stop(F.col("core_aa")) != F.col("truth_aa")) & (whole if has_overhangs else F.lit(True)), F.lit(False))
-    df = df.withColumn("drift", drift)
-    mine = F.when(F.col("drift"), seq.to_stop(F.col("core_aa")))
-    df = df.withColumn("al", kernels.align(mine, F.when(F.col("drift"), F.col("truth_aa")), kernels.protein_scoring(settings.protein_gap_open, settings.protein_gap_extend)))
-    orf = None
-    for x, v in vectors.items():
-        built = seq.translate(seq.assemble(F.lit(v.clean), F.col("core"), F.lit(v.oh5_end), F.lit(v.oh3_start)))
-        orf = F.when(L == x, built) if orf is None else orf.when(L == x, built)
-    df = df.withColumn("orf", F.lit(None).cast("string") if orf is None else orf)
-    anchor = _case(L, {x: v.constant_anchor_aa for x, v in vectors.items()}, "string")
-    has_vector = L.isin(list(vectors)) if vectors else F.lit(False)
-    has_vector = F.coalesce(has_vector, F.lit(False))
-    df = df.withColumn("stop", F.when(has_vector, seq.first_stop(F.col("orf"))).otherwise(seq.first_stop(F.col("core_aa"))))
-    df = df.withColumn("through", F.when(has_vector, seq.to_stop(F.col("orf")).contains(anchor)))
-    core = F.col("core")
-    n = F.length(core)
-    high_gc = (seq.gc_fraction(core) > checks.gc_max_global) | (seq.max_windowed_gc(core, checks.gc_window) > checks.gc_max_window)
+    df = df.withColumn("drift", F.coalesce((F.col("mine") != F.col("truth_aa")) & whole, F.lit(False)))
+    df = df.withColumn("al", kernels.align(F.when(F.col("drift"), F.col("mine")), F.when(F.col("drift"), F.col("truth_aa")), kernels.protein_scoring(settings.protein_gap_open, settings.protein_gap_extend)))
+    n, high_gc = F.col("core_length"), F.col("high_gc")
 
     typo = F.lit("")
     if has_overhangs:
-        m5, m3 = F.col("st.oh5_mismatches"), F.col("st.oh3_mismatches")
+        m5, m3 = F.col("oh5_mismatches"), F.col("oh3_mismatches")
         typo = F.when((m5 > 0) | (m3 > 0), F.concat(F.lit("overhang typo tolerated (5′ "), m5.cast("string"), F.lit(" mm, 3′ "), m3.cast("string"), F.lit(" mm); "))).otherwise("")
     prefix = F.coalesce(typo, F.lit(""))
     shown = F.coalesce(F.col("stop").cast("string"), F.lit("?"))
@@ -117,7 +126,7 @@ def run(records: DataFrame, library: Library, project: Project, truth: DataFrame
         rules += [
             (L.isNull(), "OVERHANG_MISSING", F.lit("could not determine locus, so overhangs could not be located"), set()),
             (wrong, "OVERHANG_WRONG_LOCUS", F.concat(F.lit("name says "), chain, F.lit(" but the fragment carries "), F.col("other"), F.lit(" overhangs")), set()),
-            (~whole, "OVERHANG_MISSING", F.concat(F.lit("expected "), L, F.lit(" overhangs not found at both ends (5′ "), _yn(F.col("st.oh5_present")), F.lit(", 3′ "), _yn(F.col("st.oh3_present")), F.lit(")")), set()),
+            (~whole, "OVERHANG_MISSING", F.concat(F.lit("expected "), L, F.lit(" overhangs not found at both ends (5′ "), _yn(F.col("oh5_present")), F.lit(", 3′ "), _yn(F.col("oh3_present")), F.lit(")")), set()),
         ]
     at = F.coalesce(first_difference(F.col("al.aligned_a"), F.col("al.aligned_b")).cast("string"), F.lit("?"))
     rules += [

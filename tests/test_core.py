@@ -489,3 +489,25 @@ def test_command_line(spark, tmp_path, capsys):
 def seq_whole(lib, core):
     v = lib.vectors[0]
     return v.clean[: v.oh5_end] + core + v.clean[v.oh3_start :]
+
+
+def test_order_meets_panel_without_sequences(spark):
+    """What a record brings to its panel entry is its protein, not its fragment, core and parts."""
+    rows = spark.createDataFrame([(0, "a_heavy", OH["IGH"][0] + "ATGTGA" + OH["IGH"][1])], "record_idx long, record_id string, sequence string")
+    truth = spark.createDataFrame([("A", "atg-tga", None, 0)], "ab_id string, heavy string, light string, idx int")
+    lib = library.Library(overhang_sets={"s": OH})
+    run = order_qc.run(rows, lib, library.Project.ad_hoc(lib), truth)
+    assert run.first()["kind"] == "FRAMESHIFT_AT_JUNCTION"  # its protein, M, is the panel's; a stop follows
+    plan = run._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    output = plan.children().head().output()
+    assert not {"sequence", "st", "core", "core_aa", "orf"} & {output.apply(i).name() for i in range(output.size())}
+
+
+def test_protein_of_columns(spark):
+    given = ["ATGGCC", "CTN", "TAR", "AUG", "TAATAGTGA", "", "AC", "GGXA", None]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(given)], "i int, s string")
+    assert [r["p"] for r in rows.select("i", seq.protein_of(F.col("s")).alias("p")).orderBy("i").collect()] == ["MA", "L", "X", "M", "***", "", "", "G", None]
+    over = rows.select("i", kernels.gc_over(F.col("s"), 0.5, 3, 0.9).alias("p")).orderBy("i").collect()
+    assert [r["p"] for r in over] == [True, False, False, False, False, False, False, False, None]
