@@ -5,8 +5,8 @@ role's column, or why the file can't be used. It is joined to the rows by file,
 may have their columns in any order, under any of the names. Only roles' cells are read.
 
 CSV is split at line ends and read by many tasks. Files in which some quoted cell holds a line end
-are told by a first pass over the quotes; their lines are put together to records again by the number of
-quotes before them in the file: sums within a split, and a row per split over the file. A
+are told by a first pass over the quotes, of which a row per split is kept; their lines are put together to records again by
+the number of quotes before them in the file, where they are read: only what stands at the ends of splits is shuffled. A
 record that is not closed by the end of its file, or text that is no UTF-8, makes the file
 unreadable. In files with such cells, quotes within unquoted cells are not told from others.
 """
@@ -14,10 +14,16 @@ unreadable. In files with such cells, quotes within unquoted cells are not told
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from insertframe.functions.seq import let
+from insertframe.operators.staging import staged
+
 #: Ends a record when its cells are read, to tell a cell that is empty from one that isn't there.
 MARK = "\x01"
 
@@ -33,23 +39,32 @@ def place_of(names: Column, wanted: tuple[str, ...]) -> Column:
 
 
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (source_file, block, n, text, quotes, open): the lines that are not empty; ``n`` grows within a
-    block. ``open``: a line that leaves a quoted cell open, if it begins outside of one."""
+    """Rows (source_file, block, n, text, quotes): the lines; ``n`` grows within a block."""
     meta = F.col("_metadata")
     lines = spark.read.text(path).select(meta["file_path"].alias("source_file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("text"))
-    quotes = lambda t: F.length(t) - F.length(F.replace(t, F.lit('"')))
+    return lines.withColumn("quotes", quotes_in(F.col("text")))
+
+
+def quotes_in(t: Column) -> Column:
+    return F.octet_length(t) - F.octet_length(F.replace(t, F.lit('"')))
+
+
+def csv_splits(lines: DataFrame) -> DataFrame:
+    """Rows (source_file, block, quotes, open, bad): a row per split. ``open``: it has a line that leaves a quoted cell open,
+    if that begins outside of one."""
     # quotes within cells that don't begin with one are letters like others
-    closed = quotes(F.regexp_replace("text", '(^|,)[^",][^,]*', "$1"))
-    return lines.withColumns({"quotes": quotes(F.col("text")), "open": closed % 2 == 1})
+    closed = quotes_in(F.regexp_replace("text", '(^|,)[^",][^,]*', "$1"))
+    leaves = F.when(F.col("quotes") > 0, closed % 2 == 1).otherwise(F.lit(False))
+    return lines.groupBy("source_file", "block").agg(F.sum("quotes").alias("quotes"), F.bool_or(leaves).alias("open"), F.bool_or(~F.is_valid_utf8("text")).alias("bad"))
 
 
-def csv_files(lines: DataFrame) -> DataFrame:
+def csv_files(splits: DataFrame) -> DataFrame:
     """Rows (source_file, spans_lines, error): a row per file."""
-    per = lines.groupBy("source_file").agg(F.bool_or("open").alias("spans_lines"), (F.sum("quotes") % 2 == 1).alias("odd"), F.bool_or(~F.is_valid_utf8("text")).alias("bad"))
+    per = splits.groupBy("source_file").agg(F.bool_or("open").alias("spans_lines"), (F.sum("quotes") % 2 == 1).alias("odd"), F.bool_or("bad").alias("bad"))
     return per.select("source_file", "spans_lines", F.when(F.col("bad"), "not UTF-8 text").when(F.col("spans_lines") & F.col("odd"), "a quoted cell is not closed").alias("error"))
 
 
-#: So many files at most make a side table that is broadcast: a few short columns each.
+#: So many files, or splits, at most make a side table that is broadcast: a few short columns each.
 FEW = 20_000
 
 
@@ -58,26 +73,75 @@ def by_file(rows: DataFrame, side: DataFrame, n_files: int) -> DataFrame:
     return rows.join(F.broadcast(side) if n_files <= FEW else side, "source_file")
 
 
-def csv_records(lines: DataFrame, files: DataFrame, n_files: int) -> DataFrame:
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of splits, in their order and each with its line end, put together to records: those that
+    are whole within their split, and the rest at its ends (not ``whole``), of which the last begins there (``begins``).
+
+    Lines stand one behind the other, so records are other bounds within the same bytes."""
+    split, inside, held, at, began = None, False, [], None, False
+
+    def rest(whole: bool) -> Iterator[pa.RecordBatch]:
+        if held:
+            text = "".join(t for part in held for t in part.to_pylist())
+            yield pa.RecordBatch.from_pydict({"source_file": [at[0]], "block": pa.array([at[1]], pa.int64()), "n": pa.array([at[2]], pa.int64()), "text": [text], "whole": [whole and began], "begins": [began]})
+
+    for batch in batches:
+        of = {name: batch.column(name) for name in batch.schema.names}
+        splits, quotes = of["split"].to_numpy(), of["quotes"].to_numpy()
+        starts = [0, *(np.flatnonzero(splits[1:] != splits[:-1]) + 1).tolist(), len(splits)] if len(splits) else []
+        for i, j in zip(starts[:-1], starts[1:]):
+            if splits[i] != split:
+                yield from rest(not inside)
+                split, held, inside = splits[i], [], of["inside"][i].as_py()
+                if inside is None:
+                    raise ValueError(f"{of['source_file'][i].as_py()}: its splits changed while it was read")
+            seen = int(inside) + np.concatenate([[0], np.cumsum(quotes[i:j])])
+            begin, inside = i + np.flatnonzero(seen[:-1] % 2 == 0), bool(seen[-1] % 2)
+            first = int(begin[0]) if len(begin) else j
+            if first > i:
+                if not held:
+                    at, began = [of[c][i].as_py() for c in ("source_file", "block", "n")], False
+                held.append(of["text"].slice(i, first - i))
+            if not len(begin):
+                continue
+            yield from rest(True)
+            last = int(begin[-1])
+            if len(begin) > 1:
+                text, own = of["text"], pa.array(begin[:-1])
+                kind = np.int64 if pa.types.is_large_string(text.type) else np.int32
+                bounds = np.frombuffer(text.buffers()[1], kind)[text.offset + begin]
+                same = pa.Array.from_buffers(text.type, len(own), [None, pa.py_buffer(bounds.tobytes()), text.buffers()[2]]).cast(pa.string())
+                yes = pa.array(np.ones(len(own), bool))
+                yield pa.RecordBatch.from_pydict({**{c: of[c].take(own) for c in ("source_file", "block", "n")}, "text": same, "whole": yes, "begins": yes})
+            held, at, began = [of["text"].slice(last, j - last)], [of[c][last].as_py() for c in ("source_file", "block", "n")], True
+    yield from rest(not inside)
+
+
+def csv_records(lines: DataFrame, splits: DataFrame, files: DataFrame, n_splits: int) -> DataFrame:
     """Rows (source_file, block, n, text): a record each, at the place of its first line."""
-    good = files.filter("error is null")
-    rows = by_file(lines, good.select("source_file", "spans_lines"), n_files)
+    good = files.filter("error is null").select("source_file", "spans_lines")
+    kinds = {r["spans_lines"] for r in good.select("spans_lines").distinct().collect()}
+    rows = by_file(lines, good, n_splits)
     plain = rows.filter("not spans_lines and text <> ''").select("source_file", "block", "n", "text")
-    long = rows.filter("spans_lines")
-    # quotes before each split: a row per split
+    if True not in kinds:
+        return plain
+    # whether a split begins within a quoted cell: a row per split
     earlier = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = long.groupBy("source_file", "block").agg(F.sum("quotes").alias("q")).select("source_file", "block", F.coalesce(F.sum("q").over(earlier), F.lit(0)).alias("q0"))
-    inside = Window.partitionBy("source_file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    told = long.join(splits, ["source_file", "block"]).withColumn("begins", (F.col("q0") + F.coalesce(F.sum("quotes").over(inside), F.lit(0))) % 2 == 0)
-    # the record a line belongs to is the last that began: in its split, or in one before
-    at = F.when(F.col("begins"), F.struct("block", "n"))
-    own = F.max(at).over(Window.partitionBy("source_file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    told = told.withColumn("own", own)
-    last = told.groupBy("source_file", "block").agg(F.max(at).alias("last")).select("source_file", "block", F.max("last").over(earlier).alias("before"))
-    told = told.join(last, ["source_file", "block"]).withColumn("at", F.coalesce("own", "before"))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "n", "text"))), lambda x: x["text"]), "\n")
-    joined = told.groupBy("source_file", "at").agg(whole.alias("text")).filter("text <> ''")
-    return plain.union(joined.select("source_file", "at.block", "at.n", "text"))
+    sides = splits.select("source_file", "block", (F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2 == 1).alias("inside"))
+    few = n_splits <= FEW
+    long = rows.filter("spans_lines").join(F.broadcast(sides) if few else sides, ["source_file", "block"], "left")
+    if not few:
+        long = long.repartition("source_file", "block").sortWithinPartitions("source_file", "block", "n")
+    long = long.select("source_file", "block", "n", F.concat("text", F.lit("\n")).alias("text"), F.col("quotes").cast("long").alias("quotes"), "inside", F.xxhash64("source_file", "block").alias("split"))
+    parts = staged(long.mapInArrow(gathered, "source_file string, block long, n long, text string, whole boolean, begins boolean"))
+    # what stands at the ends of splits, two rows of each at most, belongs to the last record that began
+    before = Window.partitionBy("source_file").orderBy("block", "n").rowsBetween(Window.unboundedPreceding, 0)
+    ends = parts.filter("not whole").withColumn("at", F.last(F.when(F.col("begins"), F.struct("block", "n")), True).over(before))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "n", "text"))), lambda x: x["text"]), "")
+    joined = ends.groupBy("source_file", "at").agg(text.alias("text")).select("source_file", "at.block", "at.n", "text")
+    found = parts.filter("whole").select("source_file", "block", "n", "text").union(joined)
+    found = found.withColumn("text", F.substring(F.col("text"), F.lit(1), F.length("text") - 1)).filter("text <> ''")
+    return plain.union(found) if False in kinds else found
 
 
 def header_names(record: Column) -> Column:
@@ -89,8 +153,14 @@ def csv_cells(record: Column, count: int) -> Column:
     """The first ``count`` cells of a record; null beyond its end, empty where there is nothing."""
     schema = ", ".join(f"c{i} string" for i in range(count))
     read = F.from_csv(F.concat(record, F.lit("," + MARK)), F.lit(schema), {"escape": '"', "maxCharsPerColumn": "-1"})
-    cells = F.array(*[read[f"c{i}"] for i in range(count)])
-    return F.transform(cells, lambda c, i: F.when(F.coalesce(F.array_position(cells, MARK), F.lit(0)).between(1, i + 1), F.lit(None)).otherwise(F.coalesce(c, F.lit(""))))
+    # parsed once, whatever asks for its cells
+    each = let(read, lambda r: F.array(*[r[f"c{i}"] for i in range(count)]))
+
+    def told(cells: Column) -> Column:
+        end = F.coalesce(F.array_position(cells, MARK), F.lit(0))
+        return let(end, lambda at: F.transform(cells, lambda c, i: F.when(at.between(1, i + 1), F.lit(None)).otherwise(F.coalesce(c, F.lit("")))))
+
+    return let(each, told)
 
 
 class Tables:
@@ -99,12 +169,16 @@ class Tables:
 
     def __init__(self, files: DataFrame, rows: DataFrame, cells, n_files: int):
         self.files, self._rows, self._cells, self._n = files, rows, cells, n_files
+        #: of the rows that ``read`` took, (source_file, block, n)
+        self.places: DataFrame | None = None
 
     @classmethod
     def of_csv(cls, spark: SparkSession, path: str) -> Tables:
         lines = csv_lines(spark, path)
-        files, n = csv_files(lines), len(lines.inputFiles())
-        records = csv_records(lines, files, n)
+        # a short row per split, kept: all that is asked of files is made of these
+        splits = staged(csv_splits(lines))
+        files, n = csv_files(splits), splits.count()
+        records = csv_records(lines, splits, files, n)
         at = F.struct("block", "n")
         first = records.groupBy("source_file").agg(F.min_by("text", at).alias("header"), F.min(at).alias("first"))
         files = files.join(first, "source_file", "left").select("source_file", header_names(F.col("header")).alias("names"), "first", F.coalesce("error", F.when(F.col("header").isNull(), "no header")).alias("error"))
@@ -138,13 +212,15 @@ class Tables:
             raise ValueError(f"{told['e']['source_file']}: {told['e']['error']}")
         own = placed.filter("error is null").select("source_file", "first", *[f"at_{r}" for r in roles])
         rows = by_file(self._rows, own, self._n).filter(F.struct("block", "n") > F.col("first"))
+        self.places = rows.select("source_file", "block", "n")
         cells = rows.withColumn("cells", self._cells(F.col("text"), told["wide"] or 1))
         return cells.select("source_file", "block", "n", *[F.get("cells", F.col(f"at_{r}") - 1).alias(r) for r in roles])
 
 
-def in_order(rows: DataFrame, *columns: str) -> DataFrame:
-    """Adds ``record_idx``: by file name, then by place. A row per split of a file is summed up."""
-    splits = rows.groupBy("source_file", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+def in_order(rows: DataFrame, found: Tables, *columns: str) -> DataFrame:
+    """Adds ``record_idx`` to rows that ``found`` has read: by file name, then by place. A row per split of a file is summed up,
+    before cells are parsed."""
+    splits = found.places.groupBy("source_file", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     before = F.coalesce(F.sum(F.col("high") - F.col("low") + 1).over(Window.orderBy("source_file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = splits.select("source_file", "block", (before - F.col("low")).alias("shift"))
-    return rows.join(shift, ["source_file", "block"]).select(*columns, (F.col("n") + F.col("shift")).cast("long").alias("record_idx"))
+    return rows.join(F.broadcast(shift) if found._n <= FEW else shift, ["source_file", "block"]).select(*columns, (F.col("n") + F.col("shift")).cast("long").alias("record_idx"))

@@ -186,7 +186,7 @@ def records_of(found: Tables, drop_short: bool, strict: bool = True) -> DataFram
     if drop_short:
         rows = rows.filter("cell is not null")
     out = rows.select(F.trim("record_id").alias("record_id"), clean(F.coalesce("cell", F.lit(""))).alias("sequence"), "source_file", "block", "n")
-    return in_order(out.filter("record_id <> ''"), "record_id", "sequence", "source_file")
+    return in_order(out.filter("record_id <> ''"), found, "record_id", "sequence", "source_file")
 
 
 def records_of_folder(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -200,10 +200,11 @@ def read_panel(spark: SparkSession, path: str, columns: dict[str, str] | None =
     """Rows (ab_id, heavy, light, idx) of a panel table; given column names are tried first."""
     given = {r: (own,) if own else () for r, own in ((r, (columns or {}).get(r)) for r in ("ab_id", "heavy", "light"))}
     roles = {"ab_id": given["ab_id"] + ANTIBODY_NAMES, "heavy": given["heavy"] + HEAVY_NAMES, "light": given["light"] + LIGHT_NAMES}
-    rows = _tables(spark, path, format_of(path, declared)).read(roles, {"ab_id": "antibody"})
+    found = _tables(spark, path, format_of(path, declared))
+    rows = found.read(roles, {"ab_id": "antibody"})
     cell = lambda name: F.nullif(clean(F.col(name)), F.lit("")).alias(name)
     out = rows.select(F.trim("ab_id").alias("ab_id"), cell("heavy"), cell("light"), "source_file", "block", "n")
-    return in_order(out.filter("ab_id <> ''"), "ab_id", "heavy", "light").withColumnRenamed("record_idx", "idx")
+    return in_order(out.filter("ab_id <> ''"), found, "ab_id", "heavy", "light").withColumnRenamed("record_idx", "idx")
 
 
 def panel_from_fasta(records: DataFrame, profile: Profile = DEFAULT) -> DataFrame:

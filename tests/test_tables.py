@@ -141,3 +141,28 @@ def test_flat_files_of_many_maps(spark, tmp_path, split):
         assert "Exchange" not in vectors._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_csv_records_over_splits(spark, tmp_path):
+    """Records that span any number of splits, beside files of one line a record; cells are parsed once."""
+    rng = random.Random(5)
+    odd = ["", "a,b", 'say "x"', "\n", "\n\n", 'x\n"y"\n', "," * 5, "l\n" * 40, '"', "z"]
+    want = []
+    for k in range(3):
+        rows = [(f"f{k}r{i}", rng.choice(odd), rng.choice(["ACGT", "GG", "TTTTTT"])) for i in range(60)]
+        with open(tmp_path / f"{k}.csv", "w", newline="") as f:
+            out = csv.writer(f, lineterminator="\n")
+            out.writerow(["id", "note", "seq"])
+            out.writerows(rows if k < 2 else [(i, "plain", s) for i, _, s in rows])
+        want += [(i, s) for i, _, s in rows]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for size, batch in (("48", "3"), ("700", "7"), ("1m", "10000")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = tables.read_id_sequence(spark, str(tmp_path), "csv")
+            assert [(r["record_id"], r["sequence"]) for r in got.orderBy("record_idx").collect()] == want
+            assert got._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") <= 3  # one each: records of a line, whole in a split, put together
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
