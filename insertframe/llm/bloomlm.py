@@ -8,10 +8,12 @@ count, by one level with the filter's error rate, two with its square.
 
 Every n-gram enters, whatever the size of the input: the filter has the bits that its entries
 need, 2^k with at most ``bits * ln 2 / probes`` entries, counted over the whole table. It is cut by
-hash into pieces, each written by a task and kept in the shared folder. A filter of at most
+hash into pieces, which tasks write and which are kept in the shared folder. A filter of at most
 ``most_bytes`` (128 MB) is broadcast. The probes of a larger one are routed instead: each task
-holds ``most_bytes`` of it at a time, batches of texts send their distinct n-grams there and get
-levels back. Both ways probe the same bits and so give the same scores.
+holds a part of it at a time, of at most ``most_bytes`` and one of several for every core, batches of
+texts send their distinct n-grams there and get levels back. Both ways probe the same bits and so give the same scores.
+
+Texts are cut into words and words are hashed in numpy, a block of texts at a time.
 
 Text: A-Z lower-cased, words split at ASCII white space, then one end token. Probability of a
 token: P1 = (c + 1) / (N + V + 1) for single tokens and, for longer contexts, interpolated
@@ -34,7 +36,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -67,34 +68,91 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Hasher:
-    """Hashes of tokens, the latest ones remembered."""
+#: By byte: whether it is part of a word.
+WORD = np.ones(256, dtype=bool)
+WORD[[9, 10, 11, 12, 13, 32]] = False
+#: By length: the bytes of a word that its first eight are.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 64
+
+
+def hash_words(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words at places of a text that has eight more bytes at its end."""
+    at_byte = np.ndarray(max(len(text) - 7, 0), "<u8", text, strides=(1,))
+    sizes = ends - starts
+    out = mix((at_byte[starts] & MASKS[np.minimum(sizes, 8)]) + sizes.astype(np.uint64) * MIX1)
+    more = np.flatnonzero(sizes > 8)
+    for done in range(8, LONG, 8):
+        more = more[sizes[more] > done]
+        if not len(more):
+            break
+        out[more] = mix(out[more] * MIX2 + (at_byte[starts[more] + done] & MASKS[np.minimum(sizes[more] - done, 8)]))
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        out[k] = xxhash.xxh64_intdigest(text[starts[k] : ends[k]], 7)
+    return out
+
 
-    def __init__(self, most: int = 200_000):
-        self.seen: dict[bytes, int] = {}
-        self.most = most
+def cut_words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in lower case one after another and eight more bytes, where words begin and end, each text's number of words."""
+    text = b"\n".join([*texts, b" " * 8]).lower()
+    inside = WORD[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edges = np.append(0, edges)
+    starts, ends = edges[::2], edges[1::2]
+    begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    return text, starts, ends, np.diff(np.searchsorted(starts, begins))
+
+
+class Hasher:
+    """Hashes of tokens."""
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > self.most:
-            seen.clear()
-        try:
-            return np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words))
-        except KeyError:
-            for w in words:
-                if w not in seen:
-                    seen[w] = xxhash.xxh64_intdigest(w, 7)
-            return np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words))
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        return hash_words(b"".join(words) + bytes(8), np.append(0, ends[:-1]) if len(words) else ends, ends)
+
+
+@dataclass
+class Block:
+    """Texts one after another: their token hashes, each text's number of tokens, and where words stand."""
+
+    text: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    sizes: np.ndarray
+    #: Which tokens are words; the others are ends.
+    is_word: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Block:
+        text, starts, ends, sizes = cut_words(texts)
+        sizes = sizes + 1
+        is_word = np.ones(len(starts) + len(texts), dtype=bool)
+        is_word[np.cumsum(sizes) - 1] = False
+        hashes = np.full(len(is_word), Hasher()([END])[0], dtype=np.uint64)
+        hashes[is_word] = hash_words(text, starts, ends)
+        return cls(text, starts, ends, hashes, sizes, is_word)
+
+    def tokens_at(self, places: np.ndarray) -> list[bytes]:
+        word = np.cumsum(self.is_word)[places] - 1
+        return [self.text[a:b] if w else END for w, a, b in zip(self.is_word[places].tolist(), self.starts[word].tolist(), self.ends[word].tolist())] if len(self.starts) else [END] * len(places)
 
 
 def lay(texts: list[np.ndarray], order: int, end: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of texts one after another, each after ``order - 1`` ends; where tokens are."""
-    pad = np.full(order - 1, end, dtype=np.uint64)
-    flat = np.concatenate([x for t in texts for x in (pad, t)])
-    real = np.ones(len(flat), dtype=bool)
-    starts = np.cumsum([0, *[len(t) + order - 1 for t in texts[:-1]]])
+    return lay_out(np.concatenate(texts), np.array([len(t) for t in texts]), order, end)
+
+
+def lay_out(hashes: np.ndarray, sizes: np.ndarray, order: int, end: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The same of texts that stand one after another."""
+    real = np.ones(len(hashes) + (order - 1) * len(sizes), dtype=bool)
+    starts = np.cumsum(sizes + order - 1) - sizes - order + 1
     for i in range(order - 1):
         real[starts + i] = False
+    flat = np.full(len(real), end, dtype=np.uint64)
+    flat[real] = hashes
     return flat, real
 
 
@@ -121,38 +179,50 @@ def unpack_hashes(packed: bytes) -> np.ndarray:
 
 # ------------------------------------------------------------------------- counting
 
-def _token_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts of tokens, in tables of bounded size."""
-
-    def out(c: Counter) -> pd.DataFrame:
-        return pd.DataFrame({"token": list(c.keys()), "n": list(c.values())})
-
-    total: Counter = Counter()
-    for pdf in batches:
-        for text in pdf["text"]:
-            total.update(tokens(text))
-            if len(total) > 300_000:
-                yield out(total)
-                total = Counter()
-    yield out(total)
-
-
 def column(batch: pa.RecordBatch, i: int) -> Iterator:
     """The values of a column, a few rows at a time."""
     for lo in range(0, batch.num_rows, 128):
         yield from batch.column(i).slice(lo, 128).to_pylist()
 
 
+def together(texts: Iterator[bytes], most: int) -> Iterator[list[bytes]]:
+    """Texts put together up to a number of bytes, or one of more."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of tokens, a block of texts at a time."""
+    for texts in together((x for batch in batches for x in column(batch, 0)), 3 << 20):
+        text, starts, ends, _ = cut_words(texts)
+        raw = np.frombuffer(text, np.uint8)
+        offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[WORD[raw]])]).dictionary_encode()
+        n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.dictionary.cast(pa.binary()), pa.array([END], pa.binary())]), pa.array(np.append(n, len(texts)), pa.int64())], ["token", "n"])
+
+
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """Where equal values begin."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+
+
 def _packed_grams(batches: Iterator[pa.RecordBatch], order: int, shards: int) -> Iterator[pa.RecordBatch]:
     """Counted n-gram hashes, dealt to shards: rows (shard, hashes, counts as uint16), packed."""
-    hasher = Hasher()
-    end = hasher([END])[0]
-    held: list[np.ndarray] = []
-    size = 0
-
-    def out() -> Iterator[pa.RecordBatch]:
-        flat, real = lay(held, order, end)
-        values, counts = np.unique(np.concatenate([grams(flat, n)[real] for n in range(1, order + 1)]), return_counts=True)
+    end = Hasher()([END])[0]
+    for texts in together((x for batch in batches for x in column(batch, 0)), 3 << 20):
+        block = Block.of(texts)
+        flat, real = lay_out(block.hashes, block.sizes, order, end)
+        values = np.sort(np.concatenate([grams(flat, n)[real] for n in range(1, order + 1)]))
+        first = runs(values)
+        values, counts = values[first], np.diff(np.append(first, len(values)))
         over = counts > 0xFFFF
         if over.any():  # a larger count takes several entries
             times = -(-counts // 0xFFFF)
@@ -160,51 +230,45 @@ def _packed_grams(batches: Iterator[pa.RecordBatch], order: int, shards: int) ->
             values, counts = np.repeat(values, times), np.full(int(times.sum()), 0xFFFF)
             counts[np.cumsum(times) - 1] = last
         # hashes are sorted: a shard is a range of them
-        cuts = np.searchsorted(values, [np.uint64((s << 64) // shards) for s in range(1, shards)])
+        cuts = np.searchsorted(values, np.array([(s << 64) // shards for s in range(1, shards)], dtype=np.uint64))
         v, c = np.split(values, cuts), np.split(counts.astype(np.uint16), cuts)
         some = [s for s in range(shards) if len(v[s])]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack_hashes(v[s]) for s in some], pa.binary()), pa.array([c[s].tobytes() for s in some], pa.binary())], ["shard", "hashes", "counts"])
 
-    for text in (x for batch in batches for x in column(batch, 0)):
-        held.append(hasher(tokens(text)))
-        size += len(held[-1])
-        if size > 500_000:
-            yield from out()
-            held, size = [], 0
-    if held:
-        yield from out()
 
-
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    values, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(values, kind="stable")
-    values, counts = values[order], counts[order]
-    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+def _merge(parts: list[np.ndarray], before: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and total counts of entries that have a count in the bits that a hash leaves free."""
+    entries = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    values, counts = entries & KEPT, entries & ~KEPT
+    if before is not None:
+        values, counts = np.concatenate([before[0], values]), np.concatenate([before[1], counts])
+        order = np.argsort(values, kind="stable")
+        values, counts = values[order], counts[order]
+    first = runs(values)
     return values[first], np.add.reduceat(counts, first, dtype=np.uint64) if len(first) else counts
 
 
 def _sum_shards(batches: Iterator[pa.RecordBatch], base: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard; the levels of a shard's total counts in packed rows of at most 2^18 n-grams."""
-    now, parts, size = None, [], 0
+    now, parts, size, before = None, [], 0, None
 
     def out() -> Iterator[pa.RecordBatch]:
-        values, counts = _merge(parts)
+        values, counts = _merge(parts, before)
         for lo in range(0, len(values), 1 << 18):
             v, c = values[lo : lo + (1 << 18)], counts[lo : lo + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([pack_hashes(v)], pa.binary()), pa.array([level_of(c, base).astype(np.uint8).tobytes()], pa.binary())], ["shard", "hashes", "levels"])
 
     for batch in batches:
         for shard, hashes, counts in zip(*(column(batch, i) for i in range(3))):
-            if shard != now and parts:
-                yield from out()
-                parts, size = [], 0
-            now = shard
-            parts.append((unpack_hashes(hashes), np.frombuffer(counts, np.uint16).astype(np.uint32)))
-            size += len(hashes)
-            if size > 16 << 20 and len(parts) > 8:
-                parts = [_merge(parts)]
-                size = parts[0][0].nbytes
-    if parts:
+            if shard != now:
+                if parts or before is not None:
+                    yield from out()
+                now, parts, size, before = shard, [], 0, None
+            parts.append(unpack_hashes(hashes) | np.frombuffer(counts, np.uint16).astype(np.uint64))
+            size += parts[-1].nbytes
+            if size > 16 << 20:
+                parts, size, before = [], 0, _merge(parts, before)
+    if parts or before is not None:
         yield from out()
 
 
@@ -296,32 +360,35 @@ class Answers:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], probes: int, bits: int, pieces: int) -> Iterator[pa.RecordBatch]:
-    """The filter's set bits from counted n-grams, as bitmaps of pieces (piece, bitmap)."""
+    """The filter's set bits from counted n-grams, sorted by piece in each file, as bitmaps of pieces (piece, bitmap).
+
+    A bitmap has all that stands together of a piece, so there are not many more than pieces; those of one piece
+    are or-ed by who reads them.
+    """
     size = bits // pieces
+    now, bitmap = None, None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(bitmap, bitorder="little").tobytes()], pa.binary())], ["piece", "bitmap"])
+
     for batch in batches:
         for piece, hashes, levels in zip(*(column(batch, i) for i in range(3))):
+            if piece != now:
+                if bitmap is not None:
+                    yield out()
+                now, bitmap = piece, np.zeros(size, dtype=np.uint8)
             h, level = unpack_hashes(hashes), np.frombuffer(levels, np.uint8).astype(np.int64)
-            bitmap = np.zeros(size, dtype=np.uint8)
             for j in range(1, int(level.max(initial=0)) + 1):
-                for p in places(h[level >= j], j, probes, bits, pieces):
+                h, level = (h[level >= j], level[level >= j]) if j > 1 else (h, level)
+                for p in places(h, j, probes, bits, pieces):
                     bitmap[(p & np.uint64(size - 1)).astype(np.int64)] = 1
-            packed = np.packbits(bitmap, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([packed], pa.binary())], ["piece", "bitmap"])
+    if bitmap is not None:
+        yield out()
 
 
-def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmaps of a piece, sorted by piece, or-ed into one."""
-    now, total = None, None
-    for batch in batches:
-        for k, bitmap in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if k != now and total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "bitmap"])
-                total = None
-            now = k
-            part = np.frombuffer(bitmap, np.uint8)
-            total = part.copy() if total is None else total | part
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "bitmap"])
+def lay_bitmap(data: np.ndarray, at: int, bitmap: bytes) -> None:
+    """Ors a piece's bitmap into the filter's bytes."""
+    data[at : at + len(bitmap)] |= np.frombuffer(bitmap, np.uint8)
 
 
 # ------------------------------------------------------------------------- the operator
@@ -346,7 +413,7 @@ def train(texts: DataFrame, stage: Stage, text: str = "text", order: int = 2, mo
     spark = texts.sparkSession
     ship(spark)
     rows = texts.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    partial = rows.mapInPandas(_token_counts, "token binary, n long")
+    partial = rows.mapInArrow(_token_counts, "token binary, n long")
     counts = stage.put(partial.groupBy("token").agg(F.sum("n").alias("c")), "tokens")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     # the head: all tokens from a count on, the least one that leaves at most `head` of them
@@ -358,11 +425,11 @@ def train(texts: DataFrame, stage: Stage, text: str = "text", order: int = 2, mo
             break
         least = r["c"]
     top = counts.filter(F.col("c") >= least).collect() if least < math.inf else []
-    keys = np.array([xxhash.xxh64_intdigest(bytes(r["token"]), 7) for r in top], dtype=np.uint64)
+    keys = Hasher()([bytes(r["token"]) for r in top])
     logs = np.array([math.log10(r["c"] + 1) for r in top])
     by_key = np.argsort(keys)
-    # small shards: a task holds one at a time
-    shards = 1 << (4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) - 1).bit_length()
+    # small shards: a task holds one at a time, of some millions of n-grams and bits at most
+    shards = 1 << (max(2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), int(total["n"] or 0) >> 21) - 1).bit_length()
     packed = rows.mapInArrow(lambda b: _packed_grams(b, order, shards), "shard int, hashes binary, counts binary")
     dealt = packed.repartition(shards, "shard").sortWithinPartitions("shard")
     counted = stage.put(dealt.mapInArrow(lambda b: _sum_shards(b, base), "shard int, hashes binary, levels binary"), "grams")
@@ -372,14 +439,12 @@ def train(texts: DataFrame, stage: Stage, text: str = "text", order: int = 2, mo
     # an n-gram of level q makes q entries; eight bits are a byte of a piece's
     entries = sum(q * n for q, n in of_level.items())
     bits = max(8 * shards, 1 << math.ceil(math.log2(max(entries * probes / math.log(2), 1))))
-    pieces = counted.mapInArrow(lambda b: _pieces(b, probes, bits, shards), "piece int, bitmap binary").repartition(shards, "piece").sortWithinPartitions("piece").mapInArrow(_join_pieces, "piece int, bitmap binary")
-    pieces = stage.put(pieces, "filter")
+    pieces = stage.put(counted.mapInArrow(lambda b: _pieces(b, probes, bits, shards), "piece int, bitmap binary"), "filter")
     stage.drop("grams")
     data = np.zeros(bits // 8 if bits // 8 <= most_bytes else 0, dtype=np.uint8)
     if len(data):
         for r in pieces.toLocalIterator():  # most_bytes in all
-            at = r["piece"] * (bits // shards // 8)
-            data[at : at + bits // shards // 8] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+            lay_bitmap(data, r["piece"] * (bits // shards // 8), bytes(r["bitmap"]))
     head = (keys[by_key], logs[by_key])
     return Model(counts, int(total["n"] or 0), int(total["v"] or 0), head, Filter(data, bits, probes, base, max_level, shards), pieces, most_bytes, order, strength)
 
@@ -407,12 +472,13 @@ def log_probability(flat: np.ndarray, real: np.ndarray, single: np.ndarray, f: F
     return np.log10(p)
 
 
-def text_scores(hashes: list[np.ndarray], end: np.uint64, f: Filter | Answers, n: int, v: int, order: int, strength: float) -> np.ndarray:
-    """The log10 probability of each text, given as hashes of its tokens."""
-    flat, real = lay(hashes, order, end)
-    starts = np.cumsum([0, *[len(h) + order - 1 for h in hashes[:-1]]])
-    distinct, again = np.unique(flat, return_inverse=True)
-    single, logs = f.count(grams(distinct, 1))[again], np.zeros(len(flat))
+def text_scores(hashes: np.ndarray, sizes: np.ndarray, distinct: np.ndarray, again: np.ndarray, end: np.uint64, f: Filter | Answers, n: int, v: int, order: int, strength: float) -> np.ndarray:
+    """The log10 probability of each text, given as hashes of its tokens one text after another; these are ``distinct[again]``."""
+    flat, real = lay_out(hashes, sizes, order, end)
+    starts = np.cumsum(sizes + order - 1) - sizes - order + 1
+    counts, logs = f.count(grams(distinct, 1)), np.zeros(len(flat))
+    single = np.full(len(flat), counts[np.searchsorted(distinct, end)])
+    single[real] = counts[again]
     for lo in range(0, len(flat), 1 << 17):  # memory does not grow with the text
         back = min(lo, 2 * order)
         own = slice(lo - back, lo + (1 << 17))
@@ -422,16 +488,32 @@ def text_scores(hashes: list[np.ndarray], end: np.uint64, f: Filter | Answers, n
     return np.add.reduceat(logs, starts)
 
 
-def all_grams(hashes: list[np.ndarray], end: np.uint64, order: int) -> np.ndarray:
-    """The distinct n-grams that scoring asks for, sorted; single ends are among them."""
-    flat, real = lay(hashes, order, end)
-    return np.unique(np.concatenate([grams(flat, 1), *[grams(flat, k)[real] for k in range(2, order + 1)]]))
+def all_grams(hashes: np.ndarray, sizes: np.ndarray, distinct: np.ndarray, end: np.uint64, order: int) -> np.ndarray:
+    """The distinct n-grams that scoring asks for, sorted."""
+    flat, real = lay_out(hashes, sizes, order, end)
+    found = np.sort(np.concatenate([grams(distinct, 1), *[grams(flat, k)[real] for k in range(2, order + 1)]]))
+    return found[runs(found)]
 
 
-#: Tokens of texts that are scored at once.
-BATCH = 150_000
-#: Columns of what a task makes of its texts; batches of token hashes only where probes are routed.
-PARTS = "key {}, row long, token binary, tf long, size long, known long, base double, score double, batch string, rows array<long>, sizes array<long>"
+#: Bytes of texts that are scored at once.
+BATCH = 1 << 20
+#: Parts of a filter that is not broadcast, for every core.
+ROUTES = 8
+#: n-grams that a route answers at once.
+ASKED = 1 << 19
+#: Columns of what a task makes of its texts; batches of token hashes only where probes are routed: the distinct ones as
+#: token, and which of them each token is.
+PARTS = "key {}, row long, token binary, tf long, size long, known long, base double, score double, batch string, rows array<long>, sizes array<long>, codes binary"
+
+
+def pack_codes(codes: np.ndarray, distinct: int) -> bytes:
+    return codes.astype(np.uint16 if distinct <= 1 << 16 else np.uint32).tobytes()
+
+
+def unpack_tokens(hashes: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of a batch's tokens, and which of them each token is."""
+    distinct = np.frombuffer(hashes, np.uint64)
+    return distinct, np.frombuffer(codes, np.uint16 if len(distinct) <= 1 << 16 else np.uint32)
 
 
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -454,61 +536,54 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, head = sent.value
         filt = Filter(data, *shape)
-        hasher = Hasher()
+        end = Hasher()([END])[0]
         for batch in batches:
-            ids, held, size = [], [], 0
-            for doc, row, t in zip(column(batch, 0), column(batch, 1), column(batch, 2)):
-                words = tokens(t)
-                ids.append((doc, row))
-                held.append(words)
-                size += len(words)
-                if size > BATCH:
-                    yield pack(ids, held, hasher, filt, head, batch)
-                    ids, held, size = [], [], 0
-            if ids:
-                yield pack(ids, held, hasher, filt, head, batch)
-
-    def pack(ids: list[tuple], held: list[list[bytes]], hasher: Hasher, filt: Filter, head: tuple, batch: pa.RecordBatch) -> pa.RecordBatch:
+            lo = 0
+            for texts in together(column(batch, 2), BATCH):
+                yield pack(batch.slice(lo, len(texts)), Block.of(texts), end, filt, head)
+                lo += len(texts)
+
+    def pack(batch: pa.RecordBatch, block: Block, end: np.uint64, filt: Filter, head: tuple) -> pa.RecordBatch:
         """A row per text, with what filter and head tell, and rows of its tokens beyond the head."""
-        hashes = [hasher(w) for w in held]
-        flat = np.concatenate(hashes)
-        starts = np.cumsum([0, *[len(h) for h in hashes[:-1]]])
-        distinct, again = np.unique(flat, return_inverse=True)
+        sizes = block.sizes
+        starts = np.cumsum(sizes) - sizes
+        distinct, again = np.unique(block.hashes, return_inverse=True)
         keys, values = head
         at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
         hit = keys[at] == distinct if len(keys) else np.zeros(len(distinct), dtype=bool)
         base = np.add.reduceat((np.where(hit, values[at], 0.0) if len(keys) else np.zeros(len(distinct)))[again], starts)
         known = np.add.reduceat(hit[again].astype(np.int64), starts)
-        total = np.zeros(len(held)) if routed else text_scores(hashes, hasher([END])[0], filt, n, v, order, strength)
+        total = np.zeros(len(sizes)) if routed else text_scores(block.hashes, sizes, distinct, again, end, filt, n, v, order, strength)
         beyond = np.flatnonzero(~hit[again])
-        text = np.searchsorted(starts, beyond, side="right") - 1
-        counts = Counter((d, held[d][p]) for d, p in zip(text.tolist(), (beyond - starts[text]).tolist()))
-        m, own = len(counts), [d for d, _ in counts]
-        sizes = np.array([len(w) for w in held])
-        more = [None] * routed  # a row with the batch itself
+        counts = Counter(zip((np.searchsorted(starts, beyond, side="right") - 1).tolist(), block.tokens_at(beyond)))
+        m, own = len(counts), np.array([d for d, _ in counts], dtype=np.int64)
+        docs, ids = pa.array(np.append(np.arange(len(sizes)), own)), batch.column(1).to_pylist()
         zeros = np.zeros(m + routed, dtype=np.int64)
+        none = [None] * (len(sizes) + m)  # and a row with the batch itself, where it is routed
+        more = pa.nulls(routed)
         columns = (
-            [doc for doc, _ in ids] + [ids[d][0] for d in own] + more,
-            [row for _, row in ids] + [ids[d][1] for d in own] + more,
-            [b" %d" % row for _, row in ids] + [w for _, w in counts] + [flat.tobytes()] * routed,
-            np.concatenate([np.zeros(len(ids), np.int64), np.fromiter(counts.values(), np.int64, m), zeros[:routed]]),
+            pa.concat_arrays([batch.column(0).take(docs), more.cast(batch.schema.field(0).type)]),
+            pa.concat_arrays([batch.column(1).take(docs), more.cast(pa.int64())]),
+            [b" %d" % row for row in ids] + [w for _, w in counts] + [distinct.tobytes()] * routed,
+            np.concatenate([np.zeros(len(sizes), np.int64), np.fromiter(counts.values(), np.int64, m), zeros[:routed]]),
             np.concatenate([sizes, zeros]),
             np.concatenate([known, zeros]),
             np.concatenate([base - sizes * floor, zeros.astype(np.float64)]),
             np.concatenate([total, zeros.astype(np.float64)]),
-            [None] * (len(ids) + m) + [uuid.uuid4().hex] * routed,
-            [None] * (len(ids) + m) + [[r for _, r in ids]] * routed,
-            [None] * (len(ids) + m) + [sizes.tolist()] * routed,
+            none + [uuid.uuid4().hex] * routed,
+            none + [ids] * routed,
+            none + [sizes.tolist()] * routed,
+            none + [pack_codes(again, len(distinct)) if routed else b""] * routed,
         )
-        kinds = (batch.schema.field(0).type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["key", "row", "token", "tf", "size", "known", "base", "score", "batch", "rows", "sizes"])
+        kinds = (batch.schema.field(0).type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(columns, kinds)], ["key", "row", "token", "tf", "size", "known", "base", "score", "batch", "rows", "sizes", "codes"])
 
     parts = rows.mapInArrow(score, PARTS.format(kind))
     none = F.lit(None)
     if routed:
         stage = Stage(spark, "bloomscore")
         parts = stage.put(parts, "parts")
-        routes = _routed(parts.filter("batch is not null").select("batch", "rows", "sizes", F.col("token").alias("hashes")), model, stage)
+        routes = _routed(parts.filter("batch is not null").select("batch", "rows", "sizes", F.col("token").alias("hashes"), "codes"), model, stage)
         found = routes.select(none.cast(kind).alias("key"), "row", F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary").alias("token"), *[F.lit(0).cast(t).alias(c) for c, t in (("tf", "long"), ("size", "long"), ("known", "long"), ("base", "double"))], "score")
         parts = parts.filter("batch is null").select(found.columns).union(found)
     met = parts.join(model.counts, "token", "left")
@@ -526,63 +601,80 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: st
     )
 
 
+def routes_of(total: int, pieces: int, most_bytes: int, cores: int) -> int:
+    """Parts that a filter of so many bytes is dealt out in: none above ``most_bytes`` but a piece, and some for every core."""
+    return min(pieces, 1 << (max(-(-total // max(most_bytes, 1)), ROUTES * cores) - 1).bit_length())
+
+
 def _routed(texts: DataFrame, model: Model, stage: Stage) -> DataFrame:
-    """Rows (row, score) from batches (batch, rows, sizes, hashes) of texts.
+    """Rows (row, score) from batches (batch, rows, sizes, hashes, codes) of texts.
 
-    A route is a run of the filter's pieces of at most ``most_bytes``, or one piece. Its task
-    reads them first, and then answers the batches' n-grams that lie there with their levels.
+    A route is a run of the filter's pieces. Its task reads them first, and then answers the batches' n-grams
+    that lie there with their levels. There are several routes for every core, whatever the filter's size.
     """
     f, n, v, order, strength = model.filter, model.n, model.v, model.order, model.strength
     shape = (f.bits, f.probes, f.base, f.max_level, f.pieces)
     total = f.bits // 8
-    routes = min(f.pieces, 1 << max(0, (total - 1) // max(model.most_bytes, 1)).bit_length())
+    routes = routes_of(total, f.pieces, model.most_bytes, texts.sparkSession.sparkContext.defaultParallelism)
     part = total // routes
     schema = "route int, batch string, piece int, data binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = Hasher()([END])[0]
         for batch in batches:
-            for name, sizes, hashes in zip(*(column(batch, i) for i in (0, 2, 3))):
-                own = all_grams(split(sizes, hashes), end, order)
+            for name, sizes, hashes, codes in zip(*(column(batch, i) for i in (0, 2, 3, 4))):
+                distinct, again = unpack_tokens(hashes, codes)
+                own = all_grams(distinct[again], np.array(sizes), distinct, end, order)
                 at = piece_of(own, routes)
-                some = np.unique(at)
-                cuts = [own[at == r] for r in some]
-                k = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32), pa.int32()), pa.array([name] * k, pa.string()), pa.array([None] * k, pa.int32()), pa.array([pack_hashes(c) for c in cuts], pa.binary())], ["route", "batch", "piece", "data"])
-
-    def split(sizes: list[int], hashes: bytes) -> list[np.ndarray]:
-        return np.split(np.frombuffer(hashes, np.uint64), np.cumsum(sizes)[:-1])
+                first = runs(at)
+                k = len(first)
+                cuts = [pack_hashes(x) for x in np.split(own, first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int32), pa.int32()), pa.array([name] * k, pa.string()), pa.nulls(k, pa.int32()), pa.array(cuts, pa.binary())], ["route", "batch", "piece", "data"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, filt = None, None
+        now, filt, names, held, size = None, None, [], [], 0
+
+        def out() -> pa.RecordBatch:
+            found = filt.levels(np.concatenate(held)).astype(np.uint8)
+            cut = [x.tobytes() for x in np.split(found, np.cumsum([len(h) for h in held])[:-1])]
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(names), pa.int32()), pa.array(names, pa.string()), pa.array(cut, pa.binary())], ["route", "batch", "data"])
+
         for batch in batches:
             for route, name, piece, data in zip(*(column(batch, i) for i in range(4))):
+                if held and (route != now or size > ASKED):
+                    yield out()
+                    names, held, size = [], [], 0
                 if route != now:
                     now, filt = route, Filter(np.zeros(part, np.uint8), *shape, start=route * part * 8)
                 if name is None:
-                    at = piece * (total // f.pieces) - route * part
-                    filt.data[at : at + len(data)] = np.frombuffer(data, np.uint8)
+                    lay_bitmap(filt.data, piece * (total // f.pieces) - route * part, data)
                 else:
-                    found = filt.levels(unpack_hashes(data)).astype(np.uint8).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([route], pa.int32()), pa.array([name], pa.string()), pa.array([found], pa.binary())], ["route", "batch", "data"])
+                    names.append(name)
+                    held.append(unpack_hashes(data))
+                    size += len(held[-1])
+        if held:
+            yield out()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = Hasher()([END])[0]
         name, rows, texts, parts = None, None, None, []
 
         def out() -> pa.RecordBatch:
-            level = np.concatenate([np.frombuffer(x, np.uint8) for x in parts]).astype(np.int64)
-            own = text_scores(texts, end, Answers(all_grams(texts, end, order), level, f.base), n, v, order, strength)
+            sizes, (distinct, again) = np.array(texts[0]), unpack_tokens(*texts[1:])
+            hashes = distinct[again]
+            level = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+            answers = Answers(all_grams(hashes, sizes, distinct, end, order), level, f.base)
+            own = text_scores(hashes, sizes, distinct, again, end, answers, n, v, order, strength)
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(own, pa.float64())], ["row", "score"])
 
         for batch in batches:
-            for one, route, ids, sizes, data in zip(*(column(batch, i) for i in range(5))):
+            for one, route, ids, sizes, data, codes in zip(*(column(batch, i) for i in range(6))):
                 if one != name:
                     if name is not None:
                         yield out()
                     name, parts = one, []
                 if route is None:
-                    rows, texts = ids, split(sizes, data)
+                    rows, texts = ids, (sizes, data, codes)
                 else:
                     parts.append(data)
         if name is not None:
@@ -592,7 +684,7 @@ def _routed(texts: DataFrame, model: Model, stage: Stage) -> DataFrame:
     filters = model.pieces.select(F.shiftright("piece", f.pieces.bit_length() - routes.bit_length()).alias("route"), F.lit(None).cast("string").alias("batch"), "piece", F.col("bitmap").alias("data"))
     # nulls come first: a route's pieces before its batches, a batch's texts before its answers
     answers = stage.put(asked.union(filters).repartition(routes, "route").sortWithinPartitions("route", "batch").mapInArrow(answer, "route int, batch string, data binary"), "answers")
-    both = texts.select("batch", F.lit(None).cast("int").alias("route"), "rows", "sizes", F.col("hashes").alias("data")).union(
-        answers.select("batch", "route", F.lit(None).cast("array<long>"), F.lit(None).cast("array<long>"), "data")
+    both = texts.select("batch", F.lit(None).cast("int").alias("route"), "rows", "sizes", F.col("hashes").alias("data"), "codes").union(
+        answers.select("batch", "route", F.lit(None).cast("array<long>"), F.lit(None).cast("array<long>"), "data", F.lit(None).cast("binary"))
     )
     return both.repartition("batch").sortWithinPartitions("batch", "route").mapInArrow(finish, "row long, score double")

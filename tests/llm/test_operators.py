@@ -320,6 +320,40 @@ def test_lm_filter_grows(spark, texts):
     assert sizes == sorted(sizes) and sizes[-1] > sizes[0]
 
 
+def test_lm_words_at_once():
+    """Words cut and hashed in numpy are those of a text alone, whatever stands in it."""
+    rng = np.random.default_rng(1)
+    own = [b"", b" ", b"a", b"  A\tbc\x0bD\x1c\xc3\x89 \x00 \x00\x00", b"x" * 64 + b" " + b"x" * 65 + b" " + b"y" * 200, b"\n\n"]
+    own += [bytes(rng.choice(np.frombuffer(b"aBc \n\xc3\x89\x85", np.uint8), 300)) for _ in range(50)]
+    want = [bloomlm.tokens(t) for t in own]
+    block, flat = bloomlm.Block.of(own), [w for t in want for w in t]
+    assert block.sizes.tolist() == [len(t) for t in want] and block.tokens_at(np.arange(len(flat))) == flat
+    assert (block.hashes == bloomlm.Hasher()(flat)).all() and len(set(block.hashes.tolist())) == len(set(flat))
+    batch = bloomlm.pa.RecordBatch.from_arrays([bloomlm.pa.array(own, bloomlm.pa.binary())], ["text"])
+    assert Counter({w: n for b in bloomlm._token_counts(iter([batch])) for w, n in zip(*(c.to_pylist() for c in b.columns))}) == Counter(flat)
+
+
+def test_lm_routes_for_every_core(spark, docs, monkeypatch):
+    """A filter a little too large to broadcast is answered by many tasks, not by one for every 128 MB of it."""
+    kept, put = {}, Stage.put
+    monkeypatch.setattr(Stage, "put", lambda self, df, name: kept.setdefault(name, put(self, df, name)))
+    bits = bloomlm.train(docs, Stage(spark, "t")).filter.bits
+    kept.clear()
+    model = bloomlm.train(docs, Stage(spark, "t"), most_bytes=bits // 16)
+    assert bloomlm.score_documents(docs, model).count() == docs.count()
+    assert kept["answers"].select("route").distinct().count() >= min(model.filter.pieces, 4 * spark.sparkContext.defaultParallelism)
+
+
+def test_lm_bitmaps_do_not_multiply():
+    """What stands together of a piece makes one bitmap, however many rows it is."""
+    h = [np.unique(np.random.default_rng(k).integers(0, 1 << 60, 500, dtype=np.uint64) & bloomlm.KEPT) for k in range(6)]
+    rows = [[0] * 6, [bloomlm.pack_hashes(x) for x in h], [np.ones(len(x), np.uint8).tobytes() for x in h]]
+    batch = bloomlm.pa.RecordBatch.from_arrays([bloomlm.pa.array(x, t) for x, t in zip(rows, (bloomlm.pa.int32(), bloomlm.pa.binary(), bloomlm.pa.binary()))], ["shard", "hashes", "levels"])
+    (made,) = bloomlm._pieces(iter([batch]), 4, 1 << 18, 1)
+    f = bloomlm.Filter(np.frombuffer(made.column(1)[0].as_py(), np.uint8), 1 << 18, 4, 1.5, 1, 1)
+    assert all((f.levels(x) == 1).all() for x in h)
+
+
 def test_bloom_filter_counts():
     rng = np.random.default_rng(0)
     h = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64) & bloomlm.KEPT)
