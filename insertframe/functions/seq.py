@@ -54,7 +54,11 @@ def mostly_bases(cleaned: Column) -> Column:
 
 
 def revcomp(raw: Column) -> Column:
-    return F.reverse(F.translate(clean(raw), "ATUGC", "TAACG"))
+    return revcomp_of(clean(raw))
+
+
+def revcomp_of(cleaned: Column) -> Column:
+    return F.reverse(F.translate(cleaned, "ATUGC", "TAACG"))
 
 
 def translate(raw: Column, frame: int = 0) -> Column:
@@ -209,6 +213,11 @@ def protein_of(cleaned: Column) -> Column:
     return kernels.protein(cleaned, _code())
 
 
+def protein_to_stop(raw: Column) -> Column:
+    """What ``translate_to_stop`` gives, in numpy: for whole columns of long sequences."""
+    return kernels.protein_to_stop(raw, _code())
+
+
 def best_frame_protein(raw: Column) -> Column:
     """Of three forward frames the longest protein before a stop, the lowest frame on ties."""
     return kernels.best_frame(clean(raw), _code())
@@ -217,11 +226,19 @@ def best_frame_protein(raw: Column) -> Column:
 def locate_orf(raw: Column, leader: Column) -> Column:
     """The translation from the earliest leader (its first 8 residues) in any forward frame, by
     residue and then by frame; frame 0 from the start where there is none."""
-    return kernels.orf_from(clean(raw), F.left(leader, F.lit(8)), _code())
+    return locate_orf_in(clean(raw), leader)
+
+
+def locate_orf_in(cleaned: Column, leader: Column) -> Column:
+    return kernels.orf_from(cleaned, F.left(leader, F.lit(8)), _code())
 
 
 def extract_insert(raw: Column, vector: Column, oh5_end: Column, core_len: Column) -> Column:
     """The insert of a read: placed by the first 30 letters of the leader, null where it is not whole."""
+    return extract_insert_from(clean(raw), vector, oh5_end, core_len)
+
+
+def extract_insert_from(cleaned: Column, vector: Column, oh5_end: Column, core_len: Column) -> Column:
 
     def of(s: Column) -> Column:
         v = clean(vector)
@@ -230,4 +247,4 @@ def extract_insert(raw: Column, vector: Column, oh5_end: Column, core_len: Colum
         start = at - 1 + oh5_end
         return F.when((at > 0) & (start + core_len <= F.length(s)), F.substring(s, start + 1, core_len))
 
-    return let(clean(raw), of)
+    return let(cleaned, of)

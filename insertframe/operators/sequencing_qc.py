@@ -2,13 +2,16 @@
 
 Reads are oriented by an Arrow kernel against the few library vectors; expected proteins come
 from equi-joins with the order's cores and the panel; the verdict is one ordered CASE. Each
-alignment runs only for reads that reach it. The search for swapped samples pairs only reads with
+alignment runs only for reads that reach it: those that the verdict doesn't look at are aligned for the columns that
+show them, in a step of their own that goes where these columns aren't asked for. A read that is as expected is
+not aligned where the scores prove the diagonal best. The search for swapped samples pairs only reads with
 substitutions with the panel, distinct proteins once; for it the reads' own columns are computed once
 and kept in the shared folder.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +60,12 @@ def mutations(observed: Column, expected: Column, leader: Column) -> Column:
     return F.when(observed == expected, F.array().cast(MUTATIONS)).otherwise(F.aggregate(pairs, start, step, lambda s: s["m"]))
 
 
+#: Identity, gaps counted, above which a read is the vector without an insert.
+EMPTY_IDENTITY = 0.97
+#: Residues whose alignment with themselves is the diagonal by most scores.
+RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
+
+
 def run(reads: DataFrame, library: Library, project: Project, cores: DataFrame | None = None, truth: DataFrame | None = None, mode: str = "full", overrides: DataFrame | None = None) -> DataFrame:
     """Verdicts of reads (record_id, sequence, ...).
 
@@ -83,13 +92,17 @@ def run(reads: DataFrame, library: Library, project: Project, cores: DataFrame |
     assigned = {x: project.assignments[c] for x, c in seq.CLASS_OF.items() if library.vector(project.assignments.get(c)) is not None}
     df = df.withColumn("use", F.coalesce(_case(F.col("locus"), assigned, "string"), F.col("backbone_vector")))
     # a few rows of project settings
-    dim = F.broadcast(vectors_frame(spark, vectors).drop("ord"))
+    ends = F.col("vector_seq"), F.col("oh5_end"), F.col("oh3_start")
+    dim = vectors_frame(spark, vectors).drop("ord").withColumn("leader_aa", seq.translate(F.left(ends[0], ends[1])))
+    dim = F.broadcast(dim.withColumn("vector_aa", seq.translate_to_stop(seq.assemble(ends[0], F.lit(""), *ends[1:]))))
     df = df.join(dim, df["use"] == dim["vector_id"], "left")
     backs = F.broadcast(vectors_frame(spark, vectors).select(F.col("vector_id").alias("back_id"), F.col("display_name").alias("back_name"), F.col("vector_class").alias("back_class")))
     df = df.join(backs, df["backbone_vector"] == backs["back_id"], "left")
     back = F.col("back_class")
     class_ok = (chain == "unknown") | F.when(chain == "light", back.isin("kappa", "lambda")).otherwise(back == chain)
     df = df.withColumn("wrong", F.coalesce((F.col("backbone_identity") >= settings.backbone_identity_min) & ~class_ok, F.lit(False)))
+    # a read in the wrong vector isn't looked at any more
+    df = df.withColumn("working", F.when(~F.col("wrong"), F.col("working")))
 
     key = upper_col(F.col("ab_id"))
     effective = F.when((chain == "light") & F.col("locus").isin("IGK", "IGL"), _case(F.col("locus"), seq.CLASS_OF, "string")).otherwise(chain)
@@ -103,29 +116,44 @@ def run(reads: DataFrame, library: Library, project: Project, cores: DataFrame |
         df = df.join(own, key == F.col("truth_key"), "left").withColumn("truth", F.when(chain == "heavy", F.col("heavy")).otherwise(F.col("light")))
     else:
         df = df.withColumn("truth", F.lit(None).cast("string"))
-    v, oh5, oh3 = F.col("vector_seq"), F.col("oh5_end"), F.col("oh3_start")
-    df = df.withColumn("leader_aa", seq.translate(F.left(v, oh5)))
-    by_core = seq.translate_to_stop(seq.assemble(v, F.col("expected_core"), oh5, oh3))
+    v, oh5, oh3 = ends
+    has_core = F.col("expected_core").isNotNull()
+    df = df.withColumn("expected", v.isNotNull() & (has_core | F.col("truth").isNotNull()))
+    df = df.withColumn("go", F.col("enough") & ~F.col("wrong") & F.col("use").isNotNull() & F.col("expected"))
+    by_core = seq.protein_to_stop(F.when(F.col("go") & has_core, seq.assemble(v, F.col("expected_core"), oh5, oh3)))
     by_truth = F.concat(F.col("leader_aa"), truth_protein(F.col("truth")), seq.translate_to_stop(F.substring(v, oh3 + 1, F.length(v))))
-    df = df.withColumn("expected_aa", F.when(F.col("expected_core").isNotNull(), by_core).when(F.col("truth").isNotNull(), by_truth))
-    go = F.col("enough") & ~F.col("wrong") & F.col("use").isNotNull() & F.col("expected_aa").isNotNull()
-    df = df.withColumn("go", go).withColumn("orf", seq.locate_orf(F.when(F.col("go"), F.col("working")), F.col("leader_aa")))
+    df = df.withColumn("core_aa", by_core).withColumn("orf", seq.locate_orf_in(F.when(F.col("go"), F.col("working")), F.col("leader_aa")))
+    df = df.withColumn("expected_aa", F.when(has_core, F.col("core_aa")).when(F.col("go"), by_truth))
     df = df.withColumn("observed_aa", seq.to_stop(F.col("orf"))).withColumn("through", F.col("observed_aa").contains(F.col("anchor")))
-    df = df.withColumn("al", kernels.align(F.col("observed_aa"), F.when(F.col("go"), F.col("expected_aa")), protein))
-    df = df.withColumn("empty_aa", F.when(F.col("through"), seq.translate_to_stop(seq.assemble(v, F.lit(""), oh5, oh3))))
+    df = df.withColumn("empty_aa", F.when(F.col("through"), F.col("vector_aa")))
     checks_empty = F.col("through") & (F.greatest(F.length("expected_aa") - F.length("empty_aa"), F.lit(0)) > 10)
+    # matches are at most the shorter one's residues, columns at least the longer one's
+    sizes = F.length("observed_aa"), F.length("empty_aa")
+    checks_empty = checks_empty & (F.least(*sizes) / F.greatest(*sizes, F.lit(1)) > EMPTY_IDENTITY)
     df = df.withColumn("empty_al", kernels.align(F.when(checks_empty, F.col("observed_aa")), F.when(checks_empty, F.col("empty_aa")), protein))
     few = F.col("empty_al.gaps") < F.floor(F.length("observed_aa") / 10) + 2
-    df = df.withColumn("empty", F.coalesce((kernels.identity(F.col("empty_al"), True) > 0.97) & few, F.lit(False)))
+    df = df.withColumn("empty", F.coalesce((kernels.identity(F.col("empty_al"), True) > EMPTY_IDENTITY) & few, F.lit(False)))
     clean_read = F.col("through") & ~F.col("empty")
-    df = df.withColumn("muts", F.when(clean_read, mutations(F.col("al.aligned_a"), F.col("al.aligned_b"), F.length("leader_aa"))))
+    same = F.col("observed_aa") == F.col("expected_aa")
+    if kernels.self_aligned(np.frombuffer(RESIDUES.encode(), np.uint8), protein) is None:
+        same = F.lit(False)
+    df = df.withColumn("same", F.col("go") & same & ~F.col("observed_aa").rlike(f"[^{RESIDUES}]"))
+    of = lambda asked: kernels.align(F.when(asked, F.col("observed_aa")), F.when(asked, F.col("expected_aa")), protein)
+    df = df.withColumn("al", of(clean_read & ~F.col("same")))
+    # for the columns that show it alone
+    df = df.withColumn("other_al", of(F.col("go") & ~F.col("same") & ~clean_read))
+    shown = lambda of_same, name: F.when(F.col("go"), F.when(F.col("same"), of_same).otherwise(F.coalesce(F.col(f"al.{name}"), F.col(f"other_al.{name}"))))
+    found = F.when(F.col("same"), F.array().cast(MUTATIONS)).otherwise(mutations(F.col("al.aligned_a"), F.col("al.aligned_b"), F.length("leader_aa")))
+    df = df.withColumn("muts", F.when(clean_read, found))
     df = df.withColumn("mutated", F.coalesce(F.size("muts") > 0, F.lit(False)))
-    df = df.withColumn("silent_core", F.when(clean_read & ~F.col("mutated") & F.col("expected_core").isNotNull(), seq.extract_insert(F.col("working"), v, oh5, F.length("expected_core"))))
-    df = df.withColumn("nt", kernels.align(F.col("silent_core"), F.when(F.col("silent_core").isNotNull(), F.col("expected_core")), nucleotide))
+    df = df.withColumn("silent_core", F.when(clean_read & ~F.col("mutated") & has_core, seq.extract_insert_from(F.col("working"), v, oh5, F.length("expected_core"))))
+    # equal ones have no change, where the diagonal is best
+    asked = F.col("silent_core") != F.col("expected_core") if kernels.self_aligned(np.zeros(1, np.uint8), nucleotide) is not None else F.col("silent_core").isNotNull()
+    df = df.withColumn("nt", kernels.align(F.when(asked, F.col("silent_core")), F.when(asked, F.col("expected_core")), nucleotide))
     if truth is not None:
         df = df.withColumn("obs_v", F.when(F.col("mutated"), F.substring(F.col("observed_aa"), F.length("leader_aa") + 1, F.length("observed_aa"))))
         # what the verdict doesn't look at any more is not kept
-        df = df.drop("sequence", "clean", "fit", "working", "vector_seq", "core_key", "expected_core", "truth_key", "heavy", "light", "truth", "empty_aa", "empty_al", "silent_core")
+        df = df.drop("sequence", "clean", "fit", "working", "vector_seq", "core_key", "expected_core", "truth_key", "heavy", "light", "truth", "core_aa", "empty_aa", "vector_aa", "empty_al", "silent_core")
         df = _swaps(df, truth, protein)
     else:
         df = df.withColumn("swap", F.lit(None).cast("string"))
@@ -137,7 +165,7 @@ def run(reads: DataFrame, library: Library, project: Project, cores: DataFrame |
         (~F.col("enough"), "INSUFFICIENT_READ", F.lit("read too short to cover the insert/junction")),
         (F.col("wrong"), "WRONG_VECTOR", F.concat(F.lit("backbone matches "), F.col("back_name"), F.lit(" ("), F.format_string("%.1f", F.col("backbone_identity") * 100), F.lit("% id) but the name says "), chain)),
         (F.col("use").isNull(), "INSUFFICIENT_READ", F.lit("no reference vector available to verify against")),
-        (F.col("expected_aa").isNull(), "INSUFFICIENT_READ", F.lit("no expected sequence (order or ground truth) for this antibody")),
+        (~F.col("expected"), "INSUFFICIENT_READ", F.lit("no expected sequence (order or ground truth) for this antibody")),
         (~F.col("through"), "JUNCTION_FRAMESHIFT", F.concat(F.lit("ORF diverges and hits a premature stop (aa "), F.coalesce(stop.cast("string"), F.lit("?")), F.lit("); no read-through into the constant region ("), F.col("anchor"), F.lit(" absent)"))),
         (F.col("empty"), "EMPTY_VECTOR", F.lit("leader reads straight into the constant region with no variable domain (empty/religated vector)")),
         (F.col("swap").isNotNull(), "WRONG_INSERT_SWAP", F.concat(F.lit("observed insert does not match "), F.col("ab_id"), F.lit(" but matches another panel member ("), F.col("swap"), F.lit(")"))),
@@ -165,10 +193,10 @@ def run(reads: DataFrame, library: Library, project: Project, cores: DataFrame |
         F.when(F.col("kind") == "JUNCTION_FRAMESHIFT", stop).alias("premature_stop_aa"),
         F.when(F.col("go"), F.col("through")).alias("reads_through"),
         F.when(F.col("kind") == "WRONG_INSERT_SWAP", F.col("swap")).alias("suspected_identity"),
-        F.when(F.col("go"), F.col("al.aligned_a")).alias("aligned_observed"),
-        F.when(F.col("go"), F.col("al.aligned_b")).alias("aligned_expected"),
+        shown(F.col("observed_aa"), "aligned_a").alias("aligned_observed"),
+        shown(F.col("expected_aa"), "aligned_b").alias("aligned_expected"),
         F.when(F.col("go"), F.length("leader_aa")).alias("leader_aa_len"),
-        F.when(F.col("go"), F.col("al.gaps")).alias("n_gap_columns"),
+        shown(F.lit(0), "gaps").alias("n_gap_columns"),
     )
 
 

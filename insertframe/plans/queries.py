@@ -540,6 +540,14 @@ def panel_swap(spark, d):
     return sequencing_qc.run(moved, lib, project, cores, truth).select("record_idx", "ab_id", "kind", "suspected_identity")
 
 
+def _spread(letters: Column) -> Column:
+    """A codon C.C for every nucleotide that ``nt`` makes of cleaned letters: one translation, and no regular expression."""
+    out = F.translate(letters, ALPHABET, "".join("0123"["ACGT".index(c)] for c in DEALT))
+    for digit, c in enumerate("ACGT"):
+        out = F.replace(out, F.lit(str(digit)), F.lit(f"C{c}C"))
+    return out
+
+
 # a second vector, with a constant region and a backbone of its own
 _KAPPA = "ATGGCTCAAACCGATT" + OH["IGK"][0], OH["IGK"][1] + "GTACCGGATGACTCTAACTGA"
 _KINDS = ("PASS", "WRONG_VECTOR", "EMPTY_VECTOR", "INSUFFICIENT_READ")
@@ -557,13 +565,15 @@ def sequencing_qc_vectors(spark, d):
     leader, constant = _KAPPA
     other = library.Vector("v1", "kappa", leader + constant + "GGATTACATC" * 30, len(leader), len(leader), "YRMTLT", "planted kappa", features={"constant_region": {"start": len(leader) + 1, "end": len(leader) + len(constant)}})
     lib = library.Library([lib.vectors[0], other], lib.overhang_sets, lib.profiles)
-    rows = _docs(spark, d).select("doc_id", F.regexp_replace("nt", "(.)", "C$1C").alias("core"))
+    rows = _table(spark, d, "documents").select("doc_id", seq.clean(F.coalesce("text", F.lit(""))).alias("letters"))
     kind = F.col("doc_id") % 4
+    # what a read shows of its insert: nothing, its beginning or all
+    shown = F.when(kind == 2, F.lit("")).when(kind == 3, F.left("letters", F.lit(59))).otherwise(F.col("letters"))
     build = lambda v, core: seq.assemble(F.lit(v.clean), core, F.lit(v.oh5_end), F.lit(v.oh3_start))
     own = lib.vectors[0]
-    read = F.when(kind == 1, build(other, F.col("core"))).when(kind == 2, build(own, F.lit(""))).when(kind == 3, F.left(build(own, F.col("core")), F.lit(59))).otherwise(seq.revcomp(seq.rotate(build(own, F.col("core")), F.lit(77))))
-    reads = rows.select(F.col("doc_id").alias("record_idx"), F.concat(F.lit("ab"), F.col("doc_id").cast("string"), F.lit("_heavy")).alias("record_id"), read.alias("sequence"))
-    cores = rows.select(F.concat(F.lit("AB"), F.col("doc_id").cast("string")).alias("ab_key"), F.lit("heavy").alias("core_class"), "core")
+    read = F.when(kind == 1, build(other, F.col("core"))).when(kind == 2, build(own, F.lit(""))).when(kind == 3, F.left(build(own, F.col("core")), F.lit(59))).otherwise(seq.revcomp_of(seq.rotate(build(own, F.col("core")), F.lit(77))))
+    reads = rows.select("doc_id", _spread(shown).alias("core")).select(F.col("doc_id").alias("record_idx"), F.concat(F.lit("ab"), F.col("doc_id").cast("string"), F.lit("_heavy")).alias("record_id"), read.alias("sequence"))
+    cores = rows.select(F.concat(F.lit("AB"), F.col("doc_id").cast("string")).alias("ab_key"), F.lit("heavy").alias("core_class"), _spread(F.col("letters")).alias("core"))
     return sequencing_qc.run(reads, lib, project, cores).select("record_idx", "kind", "backbone_vector")
 
 

@@ -89,6 +89,58 @@ def test_marks_that_are_there_letter_by_letter(monkeypatch):
     assert kernels.normalize(word(9) + marks[0] + word(3), marks[0])[1:] == (False, 9)
 
 
+def test_protein_of_any_text(spark):
+    """The translation in numpy is that of the expression, whatever stands in the text."""
+    r = random.Random(4)
+    texts = [None, "", "at", "É-a t\u0130g \U0001f600", *("".join(r.choices("ACGTUNacgtuxz *1é", k=r.randrange(60))) for _ in range(200))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(seq.protein_to_stop(F.col("t")).alias("a"), seq.translate_to_stop(F.col("t")).alias("b")).collect()
+    assert all(x["a"] == x["b"] for x in rows) and sum(x["a"] is None for x in rows) == 1
+
+
+def test_place_is_the_first_of_a_circle():
+    r = random.Random(8)
+    for _ in range(3000):
+        text, mark = ("".join(r.choices("AC", k=r.randrange(n))) for n in (14, 6))
+        want = (text + text[: len(mark) - 1]).find(mark) if 0 < len(mark) <= len(text) else -1
+        assert kernels.place(text, mark) == want, (text, mark)
+
+
+def test_a_strand_letter_by_letter_needs_no_search(monkeypatch):
+    """A reversed read that has the landmark is told without a comparison at every offset of the other strand."""
+    r = random.Random(5)
+    word = lambda n: "".join(r.choices("ACGT", k=n))
+    mark, rest = word(30), word(200)
+    want = kernels.normalize(kernels.reverse_complement(rest + mark), mark)
+    monkeypatch.setattr(kernels, "_hits", None)
+    assert kernels.normalize(kernels.reverse_complement(rest + mark), mark) == want == (mark + rest, True, 200)
+
+
+def test_verdicts_align_no_more_than_they_look_at(spark, monkeypatch):
+    """Whole and empty reads of long inserts get verdicts with no alignment of unlike lengths; the columns that show them still have it."""
+    lib, project = queries._planted()
+    v, r = lib.vectors[0], random.Random(6)
+    cores = {f"M{k}": "".join("C" + r.choice("ACGT") + "C" for _ in range(70 * (k + 1))) for k in range(4)}
+    insert = lambda k, c: ("", c, c[:-1], c[:30] + "TGG" + c[33:])[k]
+    reads = spark.createDataFrame([(k, f"{m}_heavy", v.clean[: v.oh5_end] + insert(k, c) + v.clean[v.oh3_start :]) for k, (m, c) in enumerate(cores.items())], "record_idx long, record_id string, sequence string")
+    own = spark.createDataFrame([(m, "heavy", c) for m, c in cores.items()], "ab_key string, core_class string, core string")
+    kinds = ["EMPTY_VECTOR", "PASS", "JUNCTION_FRAMESHIFT", "POINT_MUTATION"]
+    rows = sequencing_qc.run(reads, lib, project, own).orderBy("record_idx").collect()
+    assert [x["kind"] for x in rows] == kinds
+    for x in rows:
+        a, b = (x[c].replace("-", "") for c in ("aligned_observed", "aligned_expected"))
+        assert [x["aligned_observed"], x["aligned_expected"], x["n_gap_columns"]] == [kernels.global_affine(a, b, kernels.protein_scoring())[k] for k in (1, 2, 5)]
+    assert rows[0]["n_gap_columns"] >= 70 and rows[1]["n_gap_columns"] == 0 and len(rows[3]["mutations"]) == 1
+    align = kernels.global_affine
+
+    def only_alike(a, b, scoring):
+        if len(a) != len(b):
+            raise AssertionError("unlike lengths are aligned")
+        return align(a, b, scoring)
+
+    monkeypatch.setattr(kernels, "global_affine", only_alike)
+    assert [x["kind"] for x in sequencing_qc.run(reads, lib, project, own).select("record_idx", "kind").orderBy("record_idx").collect()] == kinds
+
+
 def test_frames_and_windows_by_the_batch(spark):
     """The three frames and the windows of GC are kernels, equal to plain ones on odd sequences."""
     from insertframe.sources import plain
